@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, hamming, jaccard, neardup, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_near_duplicate_vectors": neardup.op2_near_duplicate_vectors,
+        "op4_url_filter": urlfilter.op4_url_filter,
+        "op7_jaccard_join": jaccard.op7_jaccard_join,
+        "op10_hamming_top_k": hamming.op10_hamming_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_url_filter": urlfilter.OP4_SQL,
+        "op10_hamming_top_k": hamming.OP10_SQL,
+    }
