@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hamming, jaccard, neardup, urlfilter
+from . import bpe, hamming, htmltext, jaccard, neardup, secrets, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_near_duplicate_vectors": neardup.op2_near_duplicate_vectors,
+        "op3_secrets": secrets.op3_secrets,
         "op4_url_filter": urlfilter.op4_url_filter,
         "op7_jaccard_join": jaccard.op7_jaccard_join,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_html_text": htmltext.op9_html_text,
         "op10_hamming_top_k": hamming.op10_hamming_top_k,
     }
 
