@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hamming, htmltext, jaccard, neardup, secrets, toxicity, urlfilter
+from . import bpe, hamming, htmltext, jaccard, neardup, packing, pii, secrets, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_duplicate_vectors": neardup.op2_near_duplicate_vectors,
         "op3_secrets": secrets.op3_secrets,
         "op4_url_filter": urlfilter.op4_url_filter,
+        "op5_pii": pii.op5_pii,
+        "op6_packing": packing.op6_packing,
         "op7_jaccard_join": jaccard.op7_jaccard_join,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_html_text": htmltext.op9_html_text,

@@ -288,6 +288,20 @@ def score(documents: DataFrame, model: dict | None, id_col: str = "doc_id", text
     return documents.select(documents[id_col].alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def clean(documents: DataFrame, model: dict | None, text_col: str = "text", limit: float = PREDICTED) -> DataFrame:
+    """The documents with a score below ``limit``, all columns, in one pass."""
+    small_batches(documents.sparkSession)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([score_text(t or "", sent.value) < limit for t in texts], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole text of ``documents``; a third of the documents is held out."""
     documents = table(spark, sf_dir, "documents")
