@@ -1,16 +1,16 @@
 """Toxicity by a subsequence string-kernel support vector machine.
 
-The kernel compares two words by the three-letter subsequences that they share,
-with up to two letters between (each step costs a factor DECAY), the borders of
-a word counting as letters.  So ``st-upid``, ``stXupid`` and ``s t u p i d`` stay
+The kernel compares two words by the subsequences of three and four letters that
+they share, with up to two letters between (each step costs a factor DECAY), the
+borders of a word counting as letters.  So ``st-upid``, ``stXupid`` and ``s t u p i d`` stay
 near ``stupid``.  Nystroem landmarks give the machine its features.  Since the
 kernel is a sum over subsequences, the trained machine folds into one table of
 weights by subsequence, and a text is scored in one vectorised pass.
 
 Only texts are labelled, so words of toxic texts are instances of bags: each
 toxic text gives the words that speak most for it, and the machine chooses anew
-once it is trained.  A text's score is a logistic function of its two highest
-words.
+once it is trained.  A text's score is a logistic function of its highest words
+and of its length.
 
 Defined results: a null text is the empty text; a text without words has the
 score of no evidence; without labels of both kinds all scores are 0; repeated
@@ -21,6 +21,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,13 +35,21 @@ from .common import small_batches, table, text_of
 
 #: The model is fitted on this many labelled texts of either kind at most, those of smallest hash.
 TRAINING_TEXTS = 3000
-LANDMARKS = 96
+LANDMARKS = 192
 DECAY = 0.7
+#: Rounds of choosing instances and training.
+STEPS = 3
+RIDGE = 20.0
 PREDICTED = 0.7
 _BITS = 6
 _BORDER, _DROP = 0, 63
-#: (second, third) offsets of a subsequence
-_STEPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
+#: offsets of a subsequence's letters from its first
+_STEPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)]
+#: numbers of subsequences: those of three letters as they are, those of four by a hash
+_THREE, _FOUR = 1 << 3 * _BITS, 1 << 20
+_SIZE = _THREE + _FOUR
+#: highest words that the final function sees
+_HIGHEST = 4
 _ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßğ"
 _NONE = -2.0
 
@@ -66,7 +75,7 @@ def _alphabet() -> np.ndarray:
 _classes: list[np.ndarray] = []
 
 
-def letters(text: str) -> np.ndarray:
+def letters(text: str, join: bool = True) -> np.ndarray:
     """Classes of the letters of a text, words between single borders."""
     if not _classes:
         _classes.append(_alphabet())
@@ -74,7 +83,7 @@ def letters(text: str) -> np.ndarray:
     c = _classes[0][np.minimum(points, 0xFFFF)]
     c = np.concatenate([[_BORDER], c[c != _DROP], [_BORDER]]).astype(np.uint8)
     c = c[np.concatenate([[True], (c[1:] != _BORDER) | (c[:-1] != _BORDER)])]
-    if len(c) > 4:  # letters that stand alone side by side are one word
+    if join and len(c) > 4:  # letters that stand alone side by side are one word
         border = c == _BORDER
         alone = np.zeros(len(c), bool)
         alone[1:-1] = border[:-2] & ~border[1:-1] & border[2:]
@@ -88,13 +97,18 @@ def occurrences(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """For each kind of step: subsequence numbers, the positions of their second letter, and the span."""
     n = len(c)
     borders = np.cumsum(c == _BORDER)
-    wide = c.astype(np.int32)
-    for second, third in _STEPS:
-        if n <= third:
-            return
-        first = np.flatnonzero(borders[third - 1 : n - 1] == borders[: n - third])  # no border inside
-        code = (wide[first] << 2 * _BITS) | (wide[first + second] << _BITS) | wide[first + third]
-        yield code, first + second, third
+    wide = c.astype(np.int64)
+    for steps in _STEPS:
+        last = steps[-1]
+        if n <= last:
+            continue
+        first = np.flatnonzero(borders[last - 1 : n - 1] == borders[: n - last])  # no border inside
+        code = wide[first]
+        for step in steps:
+            code = (code << _BITS) | wide[first + step]
+        if len(steps) == 3:
+            code = _THREE + ((code * 0x9E3779B1 >> 16) & (_FOUR - 1))
+        yield code, first + steps[0], last
 
 
 def word_scores(c: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -113,17 +127,23 @@ def word_scores(c: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
 def _norm(size: np.ndarray) -> np.ndarray:
     """Length of a word's feature vector, with repeated subsequences taken as different."""
     n = np.maximum(size, 1)
-    return np.sqrt(n * DECAY**4 + 2 * np.maximum(n - 1, 0) * DECAY**6 + 3 * np.maximum(n - 2, 0) * DECAY**8)
+    times = {last: np.maximum(n + 2 - last, 0) for last in (2, 3, 4)}
+    return np.sqrt(sum(times[steps[-1]] * DECAY ** (2 * steps[-1]) for steps in _STEPS))
 
 
-def _features(word: str) -> dict[int, float]:
-    c = letters(word)
-    out: Counter = Counter()
-    for code, _, span in occurrences(c):
-        for k in code.tolist():
-            out[k] += DECAY**span
-    n = float(_norm(np.array([len(c) - 2]))[0])
-    return {k: v / n for k, v in out.items()}
+def _counts(words: list[str], number: np.ndarray, width: int) -> np.ndarray:
+    """Feature rows of words over the subsequences that ``number`` maps to 0 .. width - 1."""
+    c = letters(" ".join(words), join=False)
+    border = np.flatnonzero(c == _BORDER)
+    word = np.cumsum(c == _BORDER) - 1
+    cells, values = [], []
+    for code, place, span in occurrences(c):
+        k = number[code]
+        has = k >= 0
+        cells.append(word[place][has] * width + k[has])
+        values.append(np.full(len(cells[-1]), DECAY**span))
+    out = np.bincount(np.concatenate(cells), np.concatenate(values), len(words) * width)
+    return out.reshape(len(words), width) / _norm(np.diff(border) - 1)[:, None]
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -150,7 +170,7 @@ def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()]
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Weights of a linear machine under the squared hinge loss, by Newton steps on the active rows."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -167,96 +187,82 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
+def _heads(word: str) -> list[str]:
+    """The word and its beginnings of four letters and more."""
+    return [word + "$", *(word[:k] for k in range(4, min(len(word), 9) + 1))]
+
+
 def fit(texts: list[str], toxic: list[int]) -> dict | None:
     """Weights by subsequence and the final logistic function; None without both labels."""
     if len(set(toxic)) < 2:
         return None
     marked = [t for t, y in zip(texts, toxic, strict=True) if y]
-    clean = [t for t, y in zip(texts, toxic, strict=True) if not y]
-    # sentences that speak for toxicity are those with words seen far more in toxic texts
-    bags = [[set(_words(s)) for s in sentences(t)] for t in marked]
-    in_marked = Counter(w for bag in bags for w in set().union(*bag, set()))
-    in_clean = Counter(w for t in clean for w in set(_words(t)))
-    odds = {w: np.log((n + 0.1) / (len(marked) + 1)) - np.log((in_clean[w] + 0.1) / (len(clean) + 1)) for w, n in in_marked.items()}
-    seeds: Counter = Counter()
-    for bag in bags:
-        for words in sorted((sorted(s, key=lambda w: (-odds[w], w)) for s in bag if s), key=lambda s: (-odds[s[0]], s[0]))[:2]:
-            seeds[words[0]] += 1
+    bags = [[w for w in map(set, map(_words, sentences(t))) if w] for t in marked]
+    spoken = [set(_words(t)) for t, y in zip(texts, toxic, strict=True) if not y]
+    # at first, a sentence speaks for toxicity by beginnings of words that toxic texts have far more often
+    in_marked = Counter(w for bag in bags for w in set().union(*bag))
+    in_clean = Counter(w for words in spoken for w in words)
+    far, near = (Counter(g for words in side for g in {g for w in words for g in _heads(w)}) for side in ([set().union(*bag) for bag in bags], spoken))
+    value = {w: max(math.log((far[g] + 1) / (len(bags) + 1)) - math.log((near[g] + 1) / (len(spoken) + 1)) for g in _heads(w)) for w in in_marked}
     negative = sorted(in_clean, key=lambda w: (-in_clean[w], w))
-    negative = [*negative[:4000], *negative[4000 :: max(1, len(negative) // 16000)]]
-    table_, bias = None, 0.0
-    for step in range(2):
-        positive = [w for w, n in sorted(seeds.items(), key=lambda x: (-x[1], x[0])) if in_clean[w] <= 0.02 * in_marked[w]][:4000] or [seeds.most_common(1)[0][0]]
+    negative = [*negative[:8000], *negative[8000 :: max(1, len(negative) // 16000)]]
+    weights, bias = None, 0.0
+    for _ in range(STEPS):
+        seeds: Counter = Counter()
+        for bag in bags:  # each text's best sentences give their best word
+            best = sorted((max((value[w], w) for w in s) for s in bag), reverse=True)[:3]
+            seeds.update(w for k, (v, w) in enumerate(best) if k == 0 or v > 0)
+        positive = [w for w, n in sorted(seeds.items(), key=lambda x: (-x[1], x[0])) if in_clean[w] <= 0.02 * in_marked[w]][:4000] or [w for w, _ in seeds.most_common(1)]
+        if not positive:
+            return None
         rows = [*positive, *negative]
-        chosen = [*positive[: LANDMARKS * 2 // 3], *negative[:: max(1, len(negative) // (LANDMARKS // 3))]][:LANDMARKS]
-        marks = [_features(w) for w in chosen]
-        by_code: dict[int, list[tuple[int, float]]] = {}
-        for k, m in enumerate(marks):
-            for code, v in m.items():
-                by_code.setdefault(code, []).append((k, v))
-
-        def kernel(words: list[str], by_code=by_code, marks=marks) -> np.ndarray:
-            out = np.zeros((len(words), len(marks)))
-            for i, w in enumerate(words):
-                for code, v in _features(w).items():
-                    for k, u in by_code.get(code, ()):
-                        out[i, k] += v * u
-            return out
-
-        values, vectors = np.linalg.eigh(kernel(chosen))
+        marks = list(dict.fromkeys([*positive[: LANDMARKS * 2 // 3], *negative[:: max(1, len(negative) // (LANDMARKS // 3))][: LANDMARKS // 3]]))
+        codes = np.unique(np.concatenate([code for code, _, _ in occurrences(letters(" ".join(marks), join=False))]))
+        number = np.full(_SIZE, -1, np.int64)
+        number[codes] = np.arange(len(codes))
+        landmarks = _counts(marks, number, len(codes))
+        values, vectors = np.linalg.eigh(landmarks @ landmarks.T)
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])  # Nystroem map
+        x = np.vstack([_counts(rows[k : k + 500], number, len(codes)) @ (landmarks.T @ root) for k in range(0, len(rows), 500)])
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        weight = np.array([seeds[w] / sum(seeds[v] for v in positive) for w in positive] + [1 / len(negative)] * len(negative)) * len(rows) / 2
-        w = _machine(kernel(rows) @ root, y, weight)
-        alpha, bias = root @ w[:-1], float(w[-1])
-        table_ = np.zeros(1 << 3 * _BITS, np.float64)
-        for a, m in zip(alpha, marks, strict=True):
-            for code, v in m.items():
-                table_[code] += a * v
-        if step == 0:  # choose the instances of each toxic text anew
-            seeds = Counter()
-            for t in marked:
-                words = sorted(set(_words(t)))
-                best = sorted(zip((-_each(words, table_, bias)).tolist(), words, strict=True))[:2]
-                seeds.update(word for value, word in best if -value > 0)
-            seeds = seeds or Counter(positive)
-    high = np.array([_top(t, table_, bias) for t in texts])
+        share = np.array([np.sqrt(seeds[w]) for w in positive])
+        weight = np.concatenate([share / share.sum(), np.full(len(negative), 1 / len(negative))]) * len(rows) / 2
+        w = _machine(x, y, weight)
+        weights, bias = np.zeros(_SIZE), float(w[-1])
+        weights[codes] = landmarks.T @ (root @ w[:-1])
+        every = list(in_marked)
+        value = dict(zip(every, word_scores(letters(" ".join(every), join=False), weights, bias).tolist(), strict=True))
+    x = np.array([_evidence(t, weights, bias) for t in texts])
     y = np.array(toxic, float)
-    x = np.column_stack([high, np.ones(len(high))])
-    w, balance = np.zeros(3), np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w, balance = np.zeros(x.shape[1]), np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(50):  # ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (balance * (p - y)) + 0.5 * w
-        turn = (x * (balance * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3)
+        turn = (x * (balance * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w))
         move = np.linalg.solve(turn, slope)
         w -= move
         if np.abs(move).max() < 1e-8:
             break
-    return {"weights": table_.astype(np.float32), "bias": bias, "last": w}
-
+    return {"weights": weights.astype(np.float32), "bias": bias, "last": w}
 
-def _each(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """Value of each single word."""
-    return np.array([word_scores(letters(w), weights, bias).max(initial=_NONE) for w in words])
 
-
-def _top(text: str, weights: np.ndarray, bias: float) -> tuple[float, float]:
-    """The two highest words, from -2 to 2."""
+def _evidence(text: str, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The highest words, from -2 to 2, in falling order; the logarithm of the number of words; one."""
     values = np.clip(word_scores(letters(text), weights, bias), -2, 2)
-    if len(values) < 2:
-        return (float(values[0]) if len(values) else _NONE), _NONE
-    second, first = np.partition(values, len(values) - 2)[-2:]
-    return float(first), float(second)
+    out = np.full(_HIGHEST + 2, _NONE)
+    high = np.sort(np.partition(values, -_HIGHEST)[-_HIGHEST:] if len(values) > _HIGHEST else values)[::-1]
+    out[: len(high)] = high
+    out[-2:] = math.log1p(len(values)) / 5, 1
+    return out
 
 
 def score_text(text: str, model: dict | None) -> float:
     """Toxicity of one text, 0 to 1."""
     if model is None:
         return 0.0
-    first, second = _top(text, model["weights"], model["bias"])
-    w = model["last"]
-    return float(1 / (1 + np.exp(-np.clip(first * w[0] + second * w[1] + w[2], -30, 30))))
+    value = _evidence(text, model["weights"], model["bias"]) @ model["last"]
+    return float(1 / (1 + np.exp(-np.clip(value, -30, 30))))
 
 
 def _fold(column: str):
