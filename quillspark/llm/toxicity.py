@@ -25,6 +25,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from sys import intern
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, text_of
 
 #: The model is fitted on this many labelled texts of either kind at most, those of smallest hash.
-TRAINING_TEXTS = 3000
+TRAINING_TEXTS = 2000
 LANDMARKS = 192
 DECAY = 0.7
 #: Rounds of choosing instances and training.
@@ -161,7 +164,7 @@ def _words(text: str) -> list[str]:
             out.append(run)
             run = ""
         if word:
-            out.append(word)
+            out.append(intern(word))
     return out
 
 
@@ -187,9 +190,22 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RI
     return w
 
 
-def _heads(word: str) -> list[str]:
-    """The word and its beginnings of four letters and more."""
-    return [word + "$", *(word[:k] for k in range(4, min(len(word), 9) + 1))]
+_SLOTS = 1 << 22
+
+
+@lru_cache(1 << 16)
+def _heads(word: str) -> tuple[int, ...]:
+    """Slots of the word and of its beginnings of four letters and more, in counters of a fixed size."""
+    found = [word + "$", *(word[:k] for k in range(4, min(len(word), 8) + 1))]
+    return tuple(crc32(x.encode()) & (_SLOTS - 1) for x in found)
+
+
+def _head_counts(texts: list[set[str]]) -> np.ndarray:
+    """In how many texts each slot is met."""
+    out = np.zeros(_SLOTS, np.int32)
+    for words in texts:
+        out[np.unique(np.fromiter((k for w in words for k in _heads(w)), np.int64))] += 1
+    return out
 
 
 def fit(texts: list[str], toxic: list[int]) -> dict | None:
@@ -202,10 +218,12 @@ def fit(texts: list[str], toxic: list[int]) -> dict | None:
     # at first, a sentence speaks for toxicity by beginnings of words that toxic texts have far more often
     in_marked = Counter(w for bag in bags for w in set().union(*bag))
     in_clean = Counter(w for words in spoken for w in words)
-    far, near = (Counter(g for words in side for g in {g for w in words for g in _heads(w)}) for side in ([set().union(*bag) for bag in bags], spoken))
-    value = {w: max(math.log((far[g] + 1) / (len(bags) + 1)) - math.log((near[g] + 1) / (len(spoken) + 1)) for g in _heads(w)) for w in in_marked}
+    far, near = _head_counts([set().union(*bag) for bag in bags]), _head_counts(spoken)
+    odds = np.log((far + 1.0) / (len(bags) + 1)) - np.log((near + 1.0) / (len(spoken) + 1))
+    del far, near, spoken
+    value = {w: max(odds[g] for g in _heads(w)) for w in in_marked}
     negative = sorted(in_clean, key=lambda w: (-in_clean[w], w))
-    negative = [*negative[:8000], *negative[8000 :: max(1, len(negative) // 16000)]]
+    negative = [*negative[:4000], *negative[4000 :: max(1, len(negative) // 8000)]]
     weights, bias = None, 0.0
     for _ in range(STEPS):
         seeds: Counter = Counter()
@@ -224,7 +242,7 @@ def fit(texts: list[str], toxic: list[int]) -> dict | None:
         values, vectors = np.linalg.eigh(landmarks @ landmarks.T)
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])  # Nystroem map
-        x = np.vstack([_counts(rows[k : k + 500], number, len(codes)) @ (landmarks.T @ root) for k in range(0, len(rows), 500)])
+        x = np.vstack([_counts(rows[k : k + 200], number, len(codes)) @ (landmarks.T @ root) for k in range(0, len(rows), 200)])
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         share = np.array([np.sqrt(seeds[w]) for w in positive])
         weight = np.concatenate([share / share.sum(), np.full(len(negative), 1 / len(negative))]) * len(rows) / 2
@@ -232,7 +250,9 @@ def fit(texts: list[str], toxic: list[int]) -> dict | None:
         weights, bias = np.zeros(_SIZE), float(w[-1])
         weights[codes] = landmarks.T @ (root @ w[:-1])
         every = list(in_marked)
-        value = dict(zip(every, word_scores(letters(" ".join(every), join=False), weights, bias).tolist(), strict=True))
+        for k in range(0, len(every), 20_000):
+            part = every[k : k + 20_000]
+            value.update(zip(part, word_scores(letters(" ".join(part), join=False), weights, bias).tolist(), strict=True))
     x = np.array([_evidence(t, weights, bias) for t in texts])
     y = np.array(toxic, float)
     w, balance = np.zeros(x.shape[1]), np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
