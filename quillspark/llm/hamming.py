@@ -7,6 +7,7 @@ code within a distance of m * (r + 1) - 1 has been met, so a query ends when
 its k-th verified distance is no larger.  Nothing is capped: the radius grows to
 the width of a segment if it must, and then every code has been met.
 
+Once k + 1 ids are known, hits farther than the last of them are dropped at once.
 Equal codes are one row in the index, and equal query codes are searched once;
 a code's ids beyond the k + 1 smallest can't be among the first k.
 
@@ -29,49 +30,66 @@ from .common import table, written
 SEGMENT = 16
 
 
-def sign_code(vector: Column) -> Column:
-    """Signs of a vector as an array of 16-bit segments; null where there is none."""
-    bits = F.transform(vector, lambda x: F.when(x > 0, 1).otherwise(0))
-    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(vector) / SEGMENT).cast("int") - 1), lambda s: F.aggregate(F.slice(bits, s * SEGMENT + 1, SEGMENT), F.lit(0), lambda a, b: a * 2 + b))
+def _packed(bits: Column, size: int, kind: str) -> Column:
+    """Bits in groups of ``size``, each as a number."""
+    groups = F.sequence(F.lit(0), F.ceil(F.size(bits) / size).cast("int") - 1)
+    zero = F.lit(0).cast(kind)
+    return F.transform(groups, lambda g: F.aggregate(F.slice(bits, g * size + 1, size), zero, lambda n, b: F.shiftleft(n, 1).bitwiseOR(b.cast(kind))))
+
+
+def sign_code(vector: Column, size: int = 64, kind: str = "long") -> Column:
+    """Signs of a vector in words of 64 bits, or in segments; null where there is no code."""
     good = F.coalesce(F.size(vector) > 0, F.lit(False)) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
-    return F.when(good, cut)
+    return F.when(good, _packed(F.transform(vector, lambda x: (x > 0).cast("int")), size, kind))
 
 
 def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def _key(at: Column, value: Column) -> Column:
+    return F.shiftleft(at, SEGMENT).bitwiseOR(value)
+
+
 def top_k(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", is_query: Column | None = None) -> DataFrame:
     """``query_id, rank, neighbour_id, distance`` for every row that ``is_query`` picks, against all rows."""
     is_query = F.col(id_col) % 50 == 0 if is_query is None else is_query
-    coded = rows.select(rows[id_col].cast("long").alias("id"), sign_code(rows[vector_col]).alias("code"), F.size(vector_col).alias("width"), is_query.alias("asks"))
+    vector = rows[vector_col]
+    coded = rows.select(rows[id_col].cast("long").alias("id"), sign_code(vector).alias("code"), sign_code(vector, SEGMENT, "int").alias("segments"), F.size(vector).alias("width"), is_query.alias("asks"))
     coded = written(coded.where("code is not null and id is not null"), "codes")
     # the k + 1 smallest ids of each code; the limit works before the shuffle too
     first = Window.partitionBy("code", "width").orderBy("id")
-    kept = coded.select("id", "code", "width").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
-    codes = written(kept.groupBy("code", "width").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("n", F.size("ids")), "distinct-codes")
-    index = written(codes.select("code", "width", "n", F.posexplode("code").alias("segment", "value")), "segments")
-    asked = coded.where("asks").select("code", "width").distinct()
-    open_queries = written(asked.select(F.col("code").alias("asked"), "width"), "open")
+    kept = coded.select("id", "code", "segments", "width").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
+    codes = written(kept.groupBy("code", "segments", "width").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("n", F.size("ids")), "distinct-codes")
+    index = codes.select("code", "width", "n", F.posexplode("segments").alias("at", "value")).select("code", "width", "n", _key(F.col("at"), F.col("value")).alias("key"))
+    index = written(index, "segments")
+    tasks = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = coded.where("asks").select(F.col("code").alias("asked"), "segments", "width").distinct()
+    open_queries = written(asked.withColumn("most", F.col("width")), "open")
     kept_hits, answers = None, None
     for radius in range(SEGMENT + 1):
         masks = [sum(1 << b for b in chosen) for chosen in combinations(range(SEGMENT), radius)]
-        probes = open_queries.select("asked", "width", F.posexplode("asked").alias("segment", "of"))
-        probes = probes.select("asked", "width", "segment", F.explode(F.transform(F.lit(masks), lambda m: m.bitwiseXOR(F.col("of")))).alias("value"))
-        hits = probes.join(index, ["segment", "value", "width"]).select("asked", "width", "code", "n", _distance("asked", "code").alias("distance")).distinct()
-        hits = hits if kept_hits is None else hits.unionByName(kept_hits).distinct()
+        # a few queries stand for very many probes: they are dealt out first, and probes are never broadcast
+        probes = open_queries.repartition(tasks, "asked").select("asked", "width", "most", F.posexplode("segments").alias("at", "of"))
+        near = F.transform(F.lit(masks), lambda m: _key(F.col("at"), m.bitwiseXOR(F.col("of"))))
+        probes = probes.select("asked", "width", "most", F.explode(near).alias("key"))
+        met = probes.hint("merge").join(index, ["key", "width"]).select("asked", "width", "most", "code", "n", _distance("asked", "code").alias("distance"))
+        hits = met.where("distance <= most").drop("most")
+        hits = (hits if kept_hits is None else hits.unionByName(kept_hits)).distinct()
         # in order of distance, codes are needed until k + 1 ids stand before; of the last distance all are
-        ranked = hits.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("asked", "width").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        closer = Window.partitionBy("asked", "width").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
+        ranked = hits.withColumn("before", F.coalesce(F.sum("n").over(closer), F.lit(0)))
         hits = written(ranked.where(F.col("before") < k + 1).drop("before"), "hits")
         sums = hits.groupBy("asked", "width").agg(F.sum("n").alias("found"), F.max("distance").alias("worst"))
-        state = open_queries.join(sums, ["asked", "width"], "left")
+        full = F.coalesce(F.col("found") >= k + 1, F.lit(False))
         sure = F.ceil(F.col("width") / SEGMENT) * (radius + 1) - 1
-        ended = F.lit(True) if radius == SEGMENT else F.coalesce((F.col("found") >= k + 1) & (F.col("worst") <= sure), F.lit(False))
-        state = written(state.select("asked", "width", ended.alias("ended")), "state")
-        done = hits.join(state.where("ended"), ["asked", "width"], "left_semi")
+        ended = F.lit(True) if radius == SEGMENT else full & (F.col("worst") <= sure)
+        state = open_queries.drop("most").join(sums, ["asked", "width"], "left")
+        state = written(state.select("asked", "segments", "width", F.when(full, F.col("worst")).otherwise(F.col("width")).alias("most"), ended.alias("ended")), "state")
+        done = hits.join(state.where("ended").select("asked", "width"), ["asked", "width"], "left_semi")
         answers = done if answers is None else answers.unionByName(done)
-        open_queries = state.where("not ended").select("asked", "width")
-        kept_hits = hits.join(open_queries, ["asked", "width"], "left_semi")
+        open_queries = state.where("not ended").drop("ended")
+        kept_hits = hits.join(open_queries.select("asked", "width"), ["asked", "width"], "left_semi")
         if open_queries.isEmpty():
             break
     # expand codes to ids, then equal queries
