@@ -181,7 +181,6 @@ def parse_year(identifier: str | None, text: str | None = None) -> int | None:
     return short_title(text) if year is None and text else year
 
 
-@F.pandas_udf("int")
 def _slow(identifier: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([parse_year(i, t) for i, t in zip(identifier, text, strict=True)], dtype="Int32")
 
@@ -199,5 +198,5 @@ def year_of(identifier: Column | str, text: Column | str | None = None) -> Colum
     i = F.col(identifier) if isinstance(identifier, str) else identifier
     t = F.lit(None).cast("string") if text is None else F.col(text) if isinstance(text, str) else text
     quick = fast_year(i)
-    slow = _slow(F.when(quick.isNull(), i), F.when(quick.isNull(), t))
+    slow = F.pandas_udf(_slow, "int")(F.when(quick.isNull(), i), F.when(quick.isNull(), t))
     return F.coalesce(quick, slow)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -170,10 +172,6 @@ _FIRST_OBJECT = re.compile(r"\s*")
 
 def first_object(text) -> Column:
     """The first complete JSON object of a text with more after it."""
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def read(values: pd.Series) -> pd.Series:
         def one(value):
@@ -184,5 +182,4 @@ def first_object(text) -> Column:
 
         return values.map(one)
 
-    whole = F.try_parse_json(_c(text))
-    return F.when(whole.isNotNull(), _c(text)).otherwise(read(F.when(whole.isNull(), _c(text))))
+    return read(_c(text))

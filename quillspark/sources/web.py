@@ -22,7 +22,7 @@ def links(html: Column | str) -> Column:
 def listed_acts(pages: DataFrame, html: str, kind: str) -> DataFrame:
     """Addresses of acts on listing pages: links of the type that end in contents, without that segment."""
     found = pages.select("*", F.explode(links(html)).alias("link"))
-    good = F.col("link").startswith(F.concat(F.lit("/"), F.col(kind))) & F.col("link").rlike("/contents(/made)?$")
+    good = F.col("link").startswith(f"/{kind}") & F.col("link").rlike("/contents(/made)?$")
     return found.where(good).withColumn("link", F.regexp_replace("link", "/contents(/made)?$", ""))
 
 
