@@ -215,7 +215,7 @@ def main_text(page: str) -> str:
     has = any(b.article and not b.aside for b in found)
     none = Block("", 0, 0, False, False, False)
     out = []
-    for before, block, after in zip([none, *found[:-1]], found, [*found[1:], none], strict=True):
+    for before, block, after in zip([none, *found][: len(found)], found, [*found, none][1:], strict=True):
         row = (block.words, block.density, before.words, before.density, after.words, after.density, block.article, block.aside, block.heading, has)
         if decide(_trees[0], row):
             out.append(block.text)
