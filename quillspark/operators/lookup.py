@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.uri import uuid5
@@ -28,10 +28,25 @@ def joined_text(order: list[Column], text: Column, between: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["text"]), between)
 
 
-def full_text(provisions: DataFrame, *, act_col: str = "legislation_id", kind_col: str = "provision_type", number_col: str = "number", text_col: str = "text", id_col: str = "id") -> DataFrame:
-    """``act, full_text``: sections before schedules, each by number."""
+def page(rows: DataFrame, order: list[Column], size: int, offset: int = 0) -> DataFrame:
+    """A page of ordered rows with ``position`` and the ``total`` of all.
+
+    Every task keeps its own first rows, so only a page is sorted in one place.
+    """
+    first = rows.orderBy(*order).limit(offset + size)
+    placed = first.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return placed.where(F.col("position") > offset).join(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
+def full_text(provisions: DataFrame, *, most: int = MOST_PROVISIONS, act_col: str = "legislation_id", kind_col: str = "provision_type", number_col: str = "number", text_col: str = "text", id_col: str = "id") -> DataFrame:
+    """``act, full_text``: sections before schedules, each by number, the first ``most`` of an act.
+
+    The limit is set before the shuffle too, so no act is an unbounded group.
+    """
     order = [F.when(F.col(kind_col) == "section", 0).otherwise(1), F.coalesce(number_col, F.lit(0)), F.col(id_col)]
-    out = provisions.groupBy(act_col).agg(joined_text(order, F.col(text_col), "\n\n").alias("full_text"))
+    place = F.row_number().over(Window.partitionBy(act_col).orderBy(*order))
+    chosen = provisions.withColumn("__place", place).where(F.col("__place") <= most)
+    out = chosen.groupBy(act_col).agg(joined_text(order, F.col(text_col), "\n\n").alias("full_text"))
     return out.withColumn("full_text", F.when(F.trim("full_text") == "", NO_TEXT).otherwise(F.col("full_text")))
 
 

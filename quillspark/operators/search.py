@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.uri import uuid5
-from quillspark.operators import fusion, vectors
+from quillspark.operators import filters, fusion, vectors
 
 POOL, PER_ACT, TITLES, BOOST = 200, 10, 20, 0.3
 
@@ -65,4 +65,41 @@ def act_search(sections: DataFrame, titles: DataFrame, acts: DataFrame, *, size:
     page = ordered.where(F.col("position").between(offset + 1, offset + size))
     known = acts.select(F.col("id").alias("act"), *(F.col(c).alias(f"own_{c}") for c in ("title", "type", "year")), F.lit(True).alias("known"))
     out = page.join(known, "act", "left")
-    return out.select("position", "act", *(F.when(F.col("known"), F.col(f"own_{c}")).otherwise(F.col(f"stub_{c}")).alias(c) for c in ("title", "type", "year")), F.when(F.col("known"), "").otherwise("stub").alias("status"), "sections", "total")
+    return out.select(F.col("position").cast("long").alias("position"), "act", *(F.when(F.col("known"), F.col(f"own_{c}")).otherwise(F.col(f"stub_{c}")).alias(c) for c in ("title", "type", "year")), F.when(F.col("known"), "").otherwise("stub").alias("status"), "sections", "total")
+
+
+def section_search(sections: DataFrame, text: str, vector: Sequence[float] | None, size: int = 10, offset: int = 0, **request) -> DataFrame:
+    """Provisions by text and vector, or by text alone, or only filtered; ``request`` is that of ``filters.provisions``."""
+    return hybrid(sections, text, vector, size, offset=offset, where=filters.provisions(**request))
+
+
+def title_search(acts: DataFrame, text: str, vector: Sequence[float] | None, size: int = TITLES, **request) -> DataFrame:
+    """Acts by their titles, scores as shares of the best."""
+    found = hybrid(acts, text, vector, size, where=filters.acts(**request), dense_limit=max(30, 3 * size), sparse_limit=max(8, int(0.8 * size)))
+    return fusion.by_max(found)
+
+
+def case_search(cases: DataFrame, text: str, vector: Sequence[float] | None, size: int = 20, offset: int = 0, *, id_col: str = "id", text_col: str = "text", vector_col: str = "dense", vectors_of: DataFrame | None = None, **request) -> DataFrame:
+    """Judgments, their sections or their summaries by reciprocal rank; ``on_page`` and ``total`` count the page and all that pass the filter."""
+    where = filters.cases(**request)
+    page = hybrid(cases, text, vector, size, offset=offset, where=where, how="rrf", id_col=id_col, text_col=text_col, vector_col=vector_col, vectors_of=vectors_of)
+    counts = cases.where(where).agg(F.count("*").alias("total"))
+    here = page.agg(F.count("*").alias("on_page"))
+    return page.join(F.broadcast(here)).join(F.broadcast(counts))
+
+
+def note_search(notes: DataFrame, text: str, vector: Sequence[float] | None, size: int = 20, **request) -> DataFrame:
+    """Explanatory notes by reciprocal rank; lists as long as the page, no offset."""
+    return hybrid(notes, text, vector, size, where=filters.notes(**request), how="rrf", dense_limit=size, sparse_limit=size)
+
+
+def bulk_search(rows: DataFrame, text: str, vector: Sequence[float] | None, size: int = 100, **request) -> DataFrame:
+    """Fused by distribution, scores in hundredths of the best."""
+    found = hybrid(rows, text, vector, size, where=filters.bulk(**request))
+    return fusion.by_max(found).select("id", fusion.percent(F.col("score")).alias("score"))
+
+
+def act_lookup(acts: DataFrame, kind: str, year: int, number: int) -> DataFrame:
+    """The act of a type, year and number; nothing for a year or number that can't be."""
+    valid = filters.valid_lookup(F.lit(year), F.lit(number))
+    return acts.where(valid & (F.col("type") == kind) & (F.col("year") == year) & (F.col("number") == number)).limit(1)

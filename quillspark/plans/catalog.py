@@ -131,6 +131,28 @@ def filter_only_search_empty(spark, d):
     return search.hybrid(docs(spark, d), " ", None, 0, where=F.col("lang") == "fr")
 
 
+@query(f"SELECT x.*, (SELECT count(*) FROM documents WHERE lang IN ('en', 'fr')) AS total, count(*) OVER () AS on_page FROM (SELECT id, round(score, 6) AS score FROM ({_top(_sparse(where=chr(34) + 'lang' + chr(34) + ' IN ' + str(('en', 'fr'))), 12)})) x")
+def case_search(spark, d):
+    return _rounded(search.case_search(docs(spark, d), TEXT, None, 12, courts=["en", "fr"], court_column="lang"))
+
+
+@query(f"WITH a AS ({_top(_sparse(where='n_chars >= 700'), 30)}) SELECT id, round(100 * score / (SELECT max(score) FROM a), 2) AS score FROM a")
+def bulk_search(spark, d):
+    return search.bulk_search(docs(spark, d), TEXT, None, 30, first=700, year_column="n_chars")
+
+
+@query(f"WITH a AS ({_top(_sparse('(SELECT * FROM benchmark)', 'item_id'), 15)}) SELECT id, round(score / (SELECT max(score) FROM a), 6) AS score FROM a")
+def title_search(spark, d):
+    acts = t(spark, d, "benchmark").withColumnRenamed("item_id", "id").withColumns({"type": F.lit("ukpga"), "year": F.lit(2000)})
+    return _rounded(search.title_search(acts, TEXT, None, 15, category="primary", first=1990))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size = 7 AND p_partkey = 10 AND p_brand = (SELECT p_brand FROM part WHERE p_partkey = 10) AND false")
+def lookup_of_impossible_year(spark, d):
+    acts = t(spark, d, "part").select("p_partkey", "p_size", F.col("p_brand").alias("type"), F.col("p_size").alias("year"), F.col("p_partkey").alias("number"))
+    return search.act_lookup(acts, "any", 7, 10).select("p_partkey", "p_size")
+
+
 @query(f"WITH a AS ({_top(_DENSE, 30)}) SELECT id, round(score / (SELECT CASE WHEN max(score) > 0 THEN max(score) ELSE 1 END FROM a), 6) AS score FROM a")
 def normalised_by_max(spark, d):
     return _rounded(fusion.by_max(vectors.dense_top_k(embedded(spark, d), asked(spark, d), 30)))
@@ -445,8 +467,7 @@ def top_ten_of_each(spark, d):
 @query("SELECT source, n, position, total FROM (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS position, count(*) OVER () AS total FROM documents GROUP BY source) WHERE position BETWEEN 6 AND 15")
 def page_of_groups(spark, d):
     groups = t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    everything = Window.orderBy(F.desc("n"), "source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return groups.select("source", "n", F.row_number().over(Window.orderBy(F.desc("n"), "source")).cast("long").alias("position"), F.count("*").over(everything).alias("total")).where("position between 6 and 15")
+    return lookup.page(groups, [F.desc("n"), F.col("source")], 10, 5)
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations")
@@ -718,3 +739,56 @@ def fixed_window_counts(spark, d):
 def category_sizes(spark, d):
     rows = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(x).alias("type")) for c, xs in CATEGORIES.items() for x in xs))
     return spark.sql("select 1 as one").select(F.explode(rows).alias("r")).groupBy("r.category").agg(F.count("*").alias("n"))
+
+
+# --- shredders --------------------------------------------------------------
+
+
+@query("SELECT doc_id, 'Housing Act ' || (1900 + doc_id % 100) AS act, (doc_id % 50 + 1)::VARCHAR AS section FROM documents")
+def references_in_text(spark, d):
+    from quillspark import shred
+    from quillspark.shred import references
+
+    n = F.col("doc_id")
+    text = F.concat(F.lit("as required under section "), (n % 50 + 1).cast("string"), F.lit("(2) of the Housing Act "), (n % 100 + 1900).cast("string"), F.lit(", and no other."))
+    good, _ = shred.rows(t(spark, d, "documents").select("doc_id", text.alias("x")), references.find, references.REFERENCE, "x", "doc_id")
+    return good
+
+
+@query("SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN 1837 + doc_id % 60 WHEN 1 THEN 1910 + doc_id % 20 ELSE 1700 + doc_id % 200 END)::INT AS year FROM documents")
+def regnal_years_of_damaged_citations(spark, d):
+    from quillspark.functions.regnal import year_of
+
+    n = F.col("doc_id")
+    cited = F.when(n % 3 == 0, F.concat((n % 60 + 1).cast("string"), F.lit(" Vict. c. xii"))).when(n % 3 == 1, F.concat((n % 20 + 1).cast("string"), F.lit("-Geo-5-c-7"))).otherwise(F.concat(F.lit("local/Some_Railway_Act_"), (n % 200 + 1700).cast("string"), F.lit("_c.86")))
+    return t(spark, d, "documents").select("doc_id", year_of(cited).alias("year"))
+
+
+@query("SELECT page_id, 'u/' || page_id || '/section/' || s AS uri, s::VARCHAR AS number, chr(10) || s || ') Words of ' || page_id || '. ' AS text FROM (SELECT page_id, unnest([1, 2]) AS s FROM pages)")
+def provisions_of_acts(spark, d):
+    from quillspark import shred
+    from quillspark.shred import clml
+
+    i = F.col("page_id").cast("string")
+    one = [F.concat(F.lit('<P1 IdURI="u/'), i, F.lit(f'/section/{s}"><Pnumber>{s}</Pnumber><P1para><Text>Words of '), i, F.lit(".</Text></P1para></P1>")) for s in (1, 2)]
+    xml = F.concat(F.lit('<Legislation xmlns="urn:x"><Body>'), *one, F.lit("</Body></Legislation>"))
+    good, _ = shred.rows(t(spark, d, "pages").select("page_id", xml.alias("x")), clml.provisions, clml.PROVISION, "x", "page_id")
+    return good.select("page_id", "uri", "number", F.concat(F.lit("\n"), "text").alias("text"))
+
+
+@query("SELECT page_id, 'Commentary' AS route, 'Text ' || page_id AS text, 0::INT AS position FROM pages")
+def notes_of_pages(spark, d):
+    from quillspark import shred
+    from quillspark.shred import pages
+
+    page = F.concat(F.lit("<body><h2>Commentary</h2><p>Text "), F.col("page_id").cast("string"), F.lit("</p></body>"))
+    good, _ = shred.rows(t(spark, d, "pages").select("page_id", page.alias("x")), pages.notes, pages.NOTE, "x", "page_id")
+    return good.select("page_id", F.array_join("route", "/").alias("route"), "text", F.col("order").alias("position"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 200 WHEN event_id > 600 THEN 429 ELSE 200 END::INT AS status, greatest(0, 600 - event_id)::BIGINT AS left_minute FROM events""")
+def rate_limit_decisions(spark, d):
+    from quillspark.streaming.ratelimit import EXEMPT, decide
+
+    path = F.when(F.col("event_type") == "click", EXEMPT).otherwise("/x")
+    return t(spark, d, "events").select("event_id", decide(F.col("event_id"), F.lit(1), path).alias("x")).select("event_id", "x.status", "x.left_minute")
