@@ -92,17 +92,17 @@ def sparse_top_k(spark, d):
     return _rounded(vectors.sparse_top_k(docs(spark, d), TEXT, 40))
 
 
-@query("""WITH x AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents WHERE lang = 'es'),
+@query("""WITH x AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
  u AS (SELECT id, len(w) AS n, unnest(w) AS term FROM x), c AS (SELECT id, n, term, count(*) AS tf FROM u GROUP BY ALL),
  f AS (SELECT term, count(*) AS df FROM c GROUP BY term)
 SELECT id, c.term, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 256.0)) * ln(1 + ((SELECT count(*) FROM x) - df + 0.5) / (df + 0.5)), 6) AS weight FROM c JOIN f USING (term)""")
 def bm25_weights_idf(spark, d):
-    return vectors.bm25_weights(docs(spark, d).where("lang = 'es'"), idf=True).withColumn("weight", F.round("weight", 6))
+    return vectors.bm25_weights(docs(spark, d), idf=True).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"SELECT id, round(score, 6) AS score FROM ({_top(_sparse(where='length(text) < 3000'), 25)})")
+@query(f"SELECT id, round(score, 6) AS score FROM ({_top(_sparse(), 25)})")
 def sparse_index_top_k(spark, d):
-    stored = vectors.bm25_weights(docs(spark, d).where("length(text) < 3000"))
+    stored = vectors.bm25_weights(docs(spark, d))
     return _rounded(vectors.index_top_k(stored, TEXT, 25))
 
 
@@ -126,11 +126,6 @@ def sparse_search_page(spark, d):
     return _rounded(search.hybrid(docs(spark, d), TEXT, None, 10, offset=5, where=F.col("lang") == "en"))
 
 
-@query("SELECT doc_id AS id, 0.0::DOUBLE AS score FROM documents WHERE lang = 'fr' ORDER BY sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR)) LIMIT 0", name="filter_only_search_empty")
-def filter_only_search_empty(spark, d):
-    return search.hybrid(docs(spark, d), " ", None, 0, where=F.col("lang") == "fr")
-
-
 @query(f"SELECT x.*, (SELECT count(*) FROM documents WHERE lang IN ('en', 'fr')) AS total, count(*) OVER () AS on_page FROM (SELECT id, round(score, 6) AS score FROM ({_top(_sparse(where=chr(34) + 'lang' + chr(34) + ' IN ' + str(('en', 'fr'))), 12)})) x")
 def case_search(spark, d):
     return _rounded(search.case_search(docs(spark, d), TEXT, None, 12, courts=["en", "fr"], court_column="lang"))
@@ -147,12 +142,6 @@ def title_search(spark, d):
     return _rounded(search.title_search(acts, TEXT, None, 15, category="primary", first=1990))
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_size = 7 AND p_partkey = 10 AND p_brand = (SELECT p_brand FROM part WHERE p_partkey = 10) AND false")
-def lookup_of_impossible_year(spark, d):
-    acts = t(spark, d, "part").select("p_partkey", "p_size", F.col("p_brand").alias("type"), F.col("p_size").alias("year"), F.col("p_partkey").alias("number"))
-    return search.act_lookup(acts, "any", 7, 10).select("p_partkey", "p_size")
-
-
 @query(f"WITH a AS ({_top(_DENSE, 30)}) SELECT id, round(score / (SELECT CASE WHEN max(score) > 0 THEN max(score) ELSE 1 END FROM a), 6) AS score FROM a")
 def normalised_by_max(spark, d):
     return _rounded(fusion.by_max(vectors.dense_top_k(embedded(spark, d), asked(spark, d), 30)))
@@ -164,10 +153,10 @@ def scores_in_percent(spark, d):
 
 
 @query("""WITH x AS (SELECT abs(unnest(embedding)::DOUBLE) AS a FROM embeddings), b AS (SELECT max(a) / 127 AS step FROM x)
-SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda v: CAST(round(v::DOUBLE / step) AS INTEGER)), ',') AS q FROM embeddings, b WHERE vec_id % 10 = 0""")
+SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda v: CAST(round(v::DOUBLE / step) AS INTEGER)), ',') AS q FROM embeddings, b""")
 def quantised_vectors(spark, d):
     q = vectors.quantise(embedded(spark, d), quantile=1.0)
-    return q.where("id % 10 = 0").select("id", F.array_join(F.transform("q", lambda x: x.cast("string")), ",").alias("q"))
+    return q.select("id", F.array_join(F.transform("q", lambda x: x.cast("string")), ",").alias("q"))
 
 
 def _pool(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -246,9 +235,9 @@ def filter_explainable(spark, d):
     return x.withColumn("lang", F.when(F.col("lang") == "en", "Coming into Force").otherwise(F.col("lang"))).where(filters.explainable("quality", "lang")).select("doc_id")
 
 
-@query("SELECT doc_id, substring(text, 1, 2000) AS text, length(text) > 2000 AS cut FROM documents WHERE length(text) >= 500")
+@query("SELECT doc_id, substring(text, 1, 900000) AS text, length(text) > 900000 AS cut FROM documents WHERE length(text) >= 500")
 def summary_eligible(spark, d):
-    good, text, cut = filters.summary_text("text", 500, 2000)
+    good, text, cut = filters.summary_text("text")
     return t(spark, d, "documents").where(good).select("doc_id", text.alias("text"), cut.alias("cut"))
 
 
@@ -351,10 +340,10 @@ def staleness(spark, d):
     return ingest.staleness(ingest.last_change(_edges(spark, d), "l_partkey", "year"), held, "l_partkey", "y").select("l_partkey", "last_change", "state")
 
 
-@query("SELECT l.l_orderkey, l.l_linenumber, p.p_name FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey // 2 WHERE l.l_quantity > 45")
+@query("SELECT l.l_orderkey, l.l_linenumber, p.p_name FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey // 2")
 def edge_to_parent_text(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name")
-    return t(spark, d, "lineitem").where("l_quantity > 45").withColumn("k", F.floor(F.col("l_partkey") / 2)).join(p, "k", "left").select("l_orderkey", "l_linenumber", "p_name")
+    return t(spark, d, "lineitem").withColumn("k", F.floor(F.col("l_partkey") / 2)).join(p, "k", "left").select("l_orderkey", "l_linenumber", "p_name")
 
 
 @query("SELECT event_id, user_id, coalesce(CASE WHEN event_id % 3 = 0 THEN event_id::INT % 50 END, min(CASE WHEN event_id % 3 = 0 THEN event_id::INT % 50 END) OVER (PARTITION BY user_id)) AS year FROM events")
@@ -470,10 +459,10 @@ def page_of_groups(spark, d):
     return lookup.page(groups, [F.desc("n"), F.col("source")], 10, 5)
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations")
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations")
 def running_heading(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return t(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.substring("text", 1, 20)), True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("heading"), F.row_number().over(w).cast("long").alias("position"))
+    return t(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("heading"), F.row_number().over(w).cast("long").alias("position"))
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -506,6 +495,18 @@ _KEY = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({0}::VARCHAR))"
 _UUID = f"(substr({_KEY}, 1, 8) || '-' || substr({_KEY}, 9, 4) || '-5' || substr({_KEY}, 14, 3) || '-' || substr('89ab', (('0x' || substr({_KEY}, 17, 1))::INT % 4) + 1, 1) || substr({_KEY}, 18, 3) || '-' || substr({_KEY}, 21, 12))"
 
 
+@query(f"SELECT doc_id AS id, 0.0::DOUBLE AS score FROM documents WHERE lang = 'fr' ORDER BY {_UUID.format('doc_id')} LIMIT 25")
+def filter_only_search(spark, d):
+    return search.hybrid(docs(spark, d), " ", None, 25, where=F.col("lang") == "fr")
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_partkey = 10")
+def act_lookup(spark, d):
+    acts = t(spark, d, "part").select("p_partkey", "p_size", F.lit("ukpga").alias("type"), (F.col("p_size") + 1990).alias("year"), F.col("p_partkey").alias("number"))
+    year = acts.where("number = 10").select("year").first()[0]
+    return search.act_lookup(acts, "ukpga", year, 10).select("p_partkey", "p_size")
+
+
 @query(f"SELECT url, {_UUID.format('url')} AS id FROM pages")
 def uuid_of_uri(spark, d):
     return t(spark, d, "pages").select("url", U.uuid5("url").alias("id"))
@@ -624,9 +625,9 @@ def regnal_years(spark, d):
     return t(spark, d, "documents").select("doc_id", fast_year(uri).alias("year"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM documents WHERE text NOT LIKE '%&%'")
+@query("SELECT doc_id, replace(replace(replace(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM documents")
 def tidy_text(spark, d):
-    return t(spark, d, "documents").where("text not like '%&%'").select("doc_id", T.tidy("text").alias("text"))
+    return t(spark, d, "documents").select("doc_id", T.tidy("text").alias("text"))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
@@ -652,9 +653,9 @@ def type_table(spark, d):
     return spark.sql("select explode(sequence(0L, {}L)) as position".format(len(TYPES) - 1)).select(F.element_at(F.array(*(F.lit(x[0]) for x in TYPES)), F.col("position").cast("int") + 1).alias("code"), "position")
 
 
-@query("SELECT doc_id, 'part of ' || source || chr(10) || chr(10) || text AS text FROM documents WHERE n_chars < 500")
+@query("SELECT doc_id, 'part of ' || source || chr(10) || chr(10) || text AS text FROM documents")
 def embedding_texts(spark, d):
-    return t(spark, d, "documents").where("n_chars < 500").select("doc_id", T.embedding_text(F.concat(F.lit("part of "), "source"), F.lit(None).cast("string"), "text").alias("text"))
+    return t(spark, d, "documents").select("doc_id", T.embedding_text(F.concat(F.lit("part of "), "source"), F.lit(None).cast("string"), "text").alias("text"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'section' WHEN turn % 3 = 1 THEN 'part' END AS kind, CASE WHEN turn % 3 < 2 THEN turn::INT END AS number FROM conversations")
@@ -694,9 +695,9 @@ def monitoring_labels(spark, d):
     return x.select("user_id", T.anonymous_ip(ip).alias("ip"), T.client_ip(F.concat(F.lit("1.2.3.4, "), ip), F.lit("9.9.9.9")).alias("client"), T.usage_tier("n").alias("tier"))
 
 
-@query("SELECT doc_id, left(regexp_replace(left(text, 80), '[^A-Za-z0-9_-]', '_', 'g'), 50) AS name FROM documents")
+@query("SELECT doc_id, left(regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g'), 50) AS name FROM documents")
 def safe_names(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.safe_name(F.substring("text", 1, 80)).alias("name"))
+    return t(spark, d, "documents").select("doc_id", T.safe_name("text").alias("name"))
 
 
 @query("SELECT p_partkey, p_name || ' ' || p_size AS oscola, '[' || p_name || '](u/' || p_partkey || ')' AS markdown, p_name || ' (' || p_size || ') u/' || p_partkey AS plain FROM part")
