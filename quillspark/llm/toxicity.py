@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, text_of
 
 #: The model is fitted on this many labelled texts of either kind at most, those of smallest hash.
-TRAINING_TEXTS = 2000
-LANDMARKS = 192
+TRAINING_TEXTS = 1000
+LANDMARKS = 160
 DECAY = 0.7
 #: Rounds of choosing instances and training.
 STEPS = 3
@@ -190,10 +190,10 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RI
     return w
 
 
-_SLOTS = 1 << 22
+_SLOTS = 1 << 21
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def _heads(word: str) -> tuple[int, ...]:
     """Slots of the word and of its beginnings of four letters and more, in counters of a fixed size."""
     found = [word + "$", *(word[:k] for k in range(4, min(len(word), 8) + 1))]
@@ -219,11 +219,11 @@ def fit(texts: list[str], toxic: list[int]) -> dict | None:
     in_marked = Counter(w for bag in bags for w in set().union(*bag))
     in_clean = Counter(w for words in spoken for w in words)
     far, near = _head_counts([set().union(*bag) for bag in bags]), _head_counts(spoken)
-    odds = np.log((far + 1.0) / (len(bags) + 1)) - np.log((near + 1.0) / (len(spoken) + 1))
+    ratio = (len(spoken) + 1) / (len(bags) + 1)
+    value = {w: math.log(max((far[g] + 1.0) / (near[g] + 1.0) for g in _heads(w)) * ratio) for w in in_marked}
     del far, near, spoken
-    value = {w: max(odds[g] for g in _heads(w)) for w in in_marked}
     negative = sorted(in_clean, key=lambda w: (-in_clean[w], w))
-    negative = [*negative[:4000], *negative[4000 :: max(1, len(negative) // 8000)]]
+    negative = [*negative[:3000], *negative[3000 :: max(1, len(negative) // 5000)]]
     weights, bias = None, 0.0
     for _ in range(STEPS):
         seeds: Counter = Counter()
