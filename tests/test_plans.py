@@ -53,5 +53,5 @@ def test_a_page_is_cut_before_it_is_placed(spark):
 def test_latest_is_limited_before_the_shuffle(spark):
     from quillspark.operators.ingest import latest
 
-    rows = spark.range(100).withColumn("k", F.lit(1))
+    rows = spark.range(100).withColumn("k", F.col("id") % 3)
     assert "WindowGroupLimit" in plan(latest(rows, "k", "id"))
