@@ -16,7 +16,8 @@ among the first few of each (the prefix).  The steps:
 
 Pairs inside one component are not looked at again, so no link that joins two
 components is lost and no pairs of a group of copies are listed.  Links are
-decided on 64-bit hashes of the shingles.
+decided on 64-bit hashes of the shingles.  Before whole sets are fetched, each
+pair's counts of hashes in fixed ranges bound what the two can share.
 
 Defined results: a null, empty or blank text has an empty set (``n_shingles``
 0) and links with nothing; repeated rows share a class; ties go to the smaller
@@ -39,6 +40,10 @@ from .components import components
 
 #: Counters of the shingle frequencies: 2 ** BITS, a fixed size at any input.
 BITS = 20
+#: Ranges of the hash whose counts bound the overlap of two sets.
+RANGES = 64
+#: Documents to verify up to this number are picked by a broadcast of their ids (8 bytes each), more by a shuffle.
+BROADCAST_IDS = 500_000
 _BLOCK = 1 << 14
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -147,13 +152,13 @@ def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, classes) -> DataFrame:
-    """``id, n, print, prefix, key``: size, digest of the set, prefix in the global order, digest of prefix and size."""
+    """``id, n, print, key, ranges, prefix``: size, digest of the set, digest of prefix and size, hashes in each range, prefix in the global order."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
         for batch in batches:
-            sizes, prints, keys, prefixes = [], [], [], []
+            sizes, prints, keys, ranges, prefixes = [], [], [], [], []
             for hashes in shingle_sets(_bytes(batch), width):
                 n = len(hashes)
                 p = n - -(-n * percent // 100) + 1 if n else 0
@@ -162,51 +167,75 @@ def _prefixes(docs: DataFrame, width: int, percent: int, classes) -> DataFrame:
                 sizes.append(n)
                 prints.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 keys.append(hashlib.blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
+                ranges.append(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32))
                 prefixes.append(first.view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
             flat = pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, flat)], ["id", "n", "print", "key", "prefix"])
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(ranges) + 1, dtype=np.int32) * RANGES), pa.array(np.concatenate([*ranges, np.empty(0, np.int32)])))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.binary()), counts, pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "print", "key", "ranges", "prefix"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, print binary, key binary, prefix array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, print binary, key binary, ranges array<int>, prefix array<long>")
 
 
-def _buckets(groups: DataFrame) -> DataFrame:
+def _buckets(groups: DataFrame, percent: int) -> DataFrame:
     """Rows of prefix shingles that several groups share: ``e, gid, n, pos, centre``.
 
-    One pass over rows sorted by shingle, size band and position; the first row
-    of a band is its centre.  Nothing of a bucket is held but its last row.
+    One pass over rows sorted by shingle and size.  A row that has no row of a
+    similar size beside it can't be in a pair; the row of a size band with the
+    lowest position is its centre.  Nothing of a bucket is held but its last row
+    and the band's centre so far.
     """
     rows = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "e")).withColumn("band", F.floor(F.log("n") / 0.1).cast("int"))
-    rows = rows.select("e", "band", "pos", "gid", "n").repartition("e").sortWithinPartitions("e", "band", "pos", "gid")
+    rows = rows.select("e", "band", "pos", "gid", "n").repartition("e").sortWithinPartitions("e", "n", "pos", "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, which the next batch decides about
         joined = False  # it has a neighbour before it
-        centre = 0
+        best = (0, 0)  # position and group of the open band's centre
         for batch in batches:
             if not batch.num_rows:
                 continue
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            e, band, gid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
-            same = np.concatenate([[joined if held is not None else False], e[1:] == e[:-1]])
+            e, band, gid, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
+            near = (e[1:] == e[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            same = np.concatenate([[joined if held is not None else False], near])
             new = np.concatenate([[held is None], (e[1:] != e[:-1]) | (band[1:] != band[:-1])])
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(e)), -1))
-            centres = np.where(lead >= 0, gid[lead], centre)
+            pos = batch.column(2).to_numpy(zero_copy_only=False)
+            group = np.cumsum(new)
+            order = np.lexsort((gid, pos, group))
+            first = order[np.flatnonzero(np.diff(group[order], prepend=-1))]
+            lead, at = gid[first].copy(), pos[first].copy()
+            if not new[0] and best < (at[0], lead[0]):
+                at[0], lead[0] = best
+            centres = lead[group - group[0]]
+            best = (int(at[-1]), int(lead[-1]))
             several = same | np.concatenate([same[1:], [False]])
             keep = np.flatnonzero(several[:-1])
             if len(keep):
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(keep)) for k in (0, 3, 4, 2)), pa.array(centres[keep])], ["e", "gid", "n", "pos", "centre"])
-            held, joined, centre = batch.slice(len(e) - 1), bool(same[-1]), centres[-1]
+            held, joined = batch.slice(len(e) - 1), bool(same[-1])
         if held is not None and joined:
-            yield pa.RecordBatch.from_arrays([*(held.column(k) for k in (0, 3, 4, 2)), pa.array([centre])], ["e", "gid", "n", "pos", "centre"])
+            yield pa.RecordBatch.from_arrays([*(held.column(k) for k in (0, 3, 4, 2)), pa.array([best[1]])], ["e", "gid", "n", "pos", "centre"])
 
     return rows.mapInArrow(run, "e long, gid long, n long, pos int, centre long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Distinct ends of pairs, to be broadcast if they are few."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _verified(pairs: DataFrame, every: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar enough, by the whole texts."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    pairs = written(pairs, f"{label}-candidates")
+    some = written(every.select("id", "n", "ranges").join(_ends(pairs), "id", "left_semi"), f"{label}-ranges")
+    x, y = (some.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}")) for c in "ab")
+    shared = F.aggregate(F.zip_with("ra", "rb", lambda u, v: F.least(u, v)), F.lit(0), lambda s, v: s + v)
+    pairs = written(pairs.join(x, "a").join(y, "b").where((100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), f"{label}-pairs")
+    wanted = _ends(pairs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,12 +285,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gids = of_class.groupBy("key").agg(F.min("id").alias("gid"))
     members = written(of_class.join(gids, "key").select("id", "gid").distinct(), "members")
     groups = full.select("id", "n", "prefix").join(members.select(F.col("gid").alias("id")), "id", "left_semi").withColumnRenamed("id", "gid")
-    shared = written(_buckets(groups), "buckets")
+    shared = written(_buckets(groups, percent), "buckets")
     # every group against the centre that it meets most often, every member against its group's first
     star = shared.withColumns({"n2": F.col("n"), "pos2": F.col("pos")}).where("gid <> centre").groupBy("gid", "centre").count()
     star = star.groupBy("gid").agg(F.max_by("centre", F.col("count")).alias("centre"))
     pairs = star.select(F.col("centre").alias("a"), F.col("gid").alias("b")).union(members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
-    links = _verified(written(pairs, "star"), docs, width, percent, "star")
+    links = _verified(pairs, every, docs, width, percent, "star")
     first = components(links, "joined")
     # buckets and groups that still hold several components
     state = members.join(first, members.id == first.vertex, "left").select("id", "gid", F.coalesce("component", "id").alias("comp"))
@@ -276,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = state.select("gid", F.col("id").alias("a"), F.col("comp").alias("ca"))
     right = state.select(F.col("gid").alias("gid2"), F.col("id").alias("b"), F.col("comp").alias("cb"))
     more = group_pairs.join(left, "gid").join(right, "gid2").where("ca <> cb and (gid < gid2 or a < b)").select("a", "b")
-    later = _verified(written(more, "expanded"), docs, width, percent, "expanded")
+    later = _verified(more, every, docs, width, percent, "expanded")
     last = components(links.union(later), "final")
     roots = reps.join(last, reps.rep == last.vertex, "left").select("print", F.coalesce("component", "rep").alias("root"))
     out = every.select("id", "n", F.when(F.col("n") > 0, F.col("print")).alias("print")).join(roots, "print", "left")
