@@ -41,7 +41,7 @@ from .components import components
 #: Counters of the shingle frequencies: 2 ** BITS, a fixed size at any input.
 BITS = 20
 #: Ranges of the hash whose counts bound the overlap of two sets.
-RANGES = 64
+RANGES = 256
 #: Documents to verify up to this number are picked by a broadcast of their ids (8 bytes each), more by a shuffle.
 BROADCAST_IDS = 500_000
 _BLOCK = 1 << 14
@@ -167,7 +167,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, classes) -> DataFrame:
                 sizes.append(n)
                 prints.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 keys.append(hashlib.blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
-                ranges.append(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                ranges.append(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype(np.int32))
                 prefixes.append(first.view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
             flat = pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)]))
