@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import small_batches, table, text_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Entries of a worker's memory of words before it starts anew: this bounds memory, not what is encoded.
-WORD_MEMORY = 500_000
+#: Words in each of the two generations of a worker's memory: this bounds memory, not what is encoded.
+WORD_MEMORY = 700_000
 
 _SPLIT = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-_NEAR_SPACE = regex.compile(r"\p{White_Space} | \p{White_Space}")
+#: White space beside a space; white space that is rarer than this makes a text take the careful way.
+_NEAR_SPACE = [x for w in "\n\t\r\v\f" for x in (f"{w} ", f" {w}")]
+_RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _INNER_SPACE = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
 
 
@@ -168,6 +172,7 @@ class Encoder:
         self.vocabulary, self.decimal = vocabulary, decimal
         piece = piece or vocabulary.encode_piece
         self.inner, self.first = _Memory(piece, " ", decimal), _Memory(piece, "", decimal)
+        self.most = WORD_MEMORY * 2 // 3 if decimal else WORD_MEMORY
         self.specials = sorted(vocabulary.special, key=len, reverse=True)
 
     def chunks(self, text: str) -> list:
@@ -180,11 +185,13 @@ class Encoder:
                 return [*self.chunks(before), one, *self.chunks(after)] if after.count(token) < 200 else self._many(text, token, one)
         if not text:
             return []
-        pieces = text.split(" ") if not (text[0] == " " or text[-1] == " " or _NEAR_SPACE.search(text)) else _INNER_SPACE.split(text)
-        if len(self.inner) > WORD_MEMORY:
-            self.inner.clear()
-        if len(self.first) > WORD_MEMORY // 10:
-            self.first.clear()
+        pieces = text.split(" ")
+        if "" in pieces or any(x in text for x in _NEAR_SPACE) or not text.isascii() and _RARE_SPACE.search(text):
+            pieces = _INNER_SPACE.split(text)
+        if len(self.inner) > self.most:
+            self.inner.turn()
+        if len(self.first) > self.most // 10:
+            self.first.turn()
         out = list(map(self.inner.__getitem__, pieces[1:]))
         out.insert(0, self.first[pieces[0]])
         return out
@@ -204,13 +211,23 @@ class Encoder:
 
 
 class _Memory(dict):
+    """What words encode to; words that come again outlive a turn."""
+
     def __init__(self, encode, lead: str, decimal: bool):
         super().__init__()
         self.encode, self.lead, self.decimal = encode, lead, decimal
+        self.older: dict = {}
+
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str):
+        if (known := self.older.get(piece)) is not None:
+            self[piece] = known
+            return known
         ids = self.encode(self.lead + piece)
-        out = np.array(ids, "<u4").tobytes()
+        out = array("I", ids).tobytes()
         if self.decimal:
             out = (out, ",".join(map(str, ids)))
         if len(piece) < 64:  # long ones hardly come again
@@ -228,15 +245,25 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     return _loaded[path]
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str = VOCABULARY, decimal: bool = False) -> Encoder:
+    """An encoder whose memory of words outlives a task of this worker."""
+    if (path, decimal) not in _encoders:
+        _encoders[path, decimal] = Encoder(vocabulary(path), decimal)
+    return _encoders[path, decimal]
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``id_col, ids array<int>`` of every text."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(path))
+        own = encoder(path)
         for batch in batches:
-            flat = [np.frombuffer(encoder.ids(t), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
+            flat = [np.frombuffer(own.ids(t), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*flat, np.empty(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
@@ -263,11 +290,11 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(path)
-        encoder = Encoder(tokens, decimal=True)
+        own = encoder(path, decimal=True)
         for batch in batches:
             counts, of_ids, of_text = [], [], []
             for text in batch.column(1).to_pylist():
-                found = encoder.chunks(text)
+                found = own.chunks(text)
                 ids = np.frombuffer(b"".join([x[0] for x in found]), "<u4")
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join([x[1] for x in found if x[1]]).encode()).hexdigest())

@@ -40,12 +40,21 @@ K1, B, QUERY_TERMS = 1.2, 0.75, 24
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+_encoders: dict[tuple[str, str], bpe.Encoder] = {}
+
+
 def _encoder(path: str, ranks: str) -> bpe.Encoder:
-    """Whole texts by words; a word that is new to the memory is merged by the ranks of the same vocabulary."""
+    """Whole texts by words; a word that is new to the memory is merged by the ranks of the same vocabulary.
+
+    The memory outlives a task of this worker.
+    """
+    if (path, ranks) in _encoders:
+        return _encoders[path, ranks]
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    return bpe.Encoder(bpe.vocabulary(path), piece=plain._core_bpe.encode_ordinary)
+    _encoders[path, ranks] = bpe.Encoder(bpe.vocabulary(path), piece=plain._core_bpe.encode_ordinary)
+    return _encoders[path, ranks]
 
 
 def _tokenised(docs: DataFrame, path: str, ranks: str) -> DataFrame:
