@@ -1,6 +1,6 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A code is cut into segments of 16 bits; an index holds (segment, value) of all
+A code is cut into segments of about log2(n) bits for n rows, 16 at most; an index holds (segment, value) of all
 distinct codes.  A query looks up, segment by segment, all values at distance
 0, then 1, then 2 and so on.  Once radius r is done in all m segments, every
 code within a distance of m * (r + 1) - 1 has been met, so a query ends when
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
+#: Widest segment, and the bits that a segment's number is shifted by in a key.
 SEGMENT = 16
 
 
@@ -55,7 +56,8 @@ def top_k(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str
     """``query_id, rank, neighbour_id, distance`` for every row that ``is_query`` picks, against all rows."""
     is_query = F.col(id_col) % 50 == 0 if is_query is None else is_query
     vector = rows[vector_col]
-    coded = rows.select(rows[id_col].cast("long").alias("id"), sign_code(vector).alias("code"), sign_code(vector, SEGMENT, "int").alias("segments"), F.size(vector).alias("width"), is_query.alias("asks"))
+    wide = max(4, min(SEGMENT, (max(rows.count(), 2) - 1).bit_length()))
+    coded = rows.select(rows[id_col].cast("long").alias("id"), sign_code(vector).alias("code"), sign_code(vector, wide, "int").alias("segments"), F.size(vector).alias("width"), is_query.alias("asks"))
     coded = written(coded.where("code is not null and id is not null"), "codes")
     # the k + 1 smallest ids of each code; the limit works before the shuffle too
     first = Window.partitionBy("code", "width").orderBy("id")
@@ -67,8 +69,8 @@ def top_k(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str
     asked = coded.where("asks").select(F.col("code").alias("asked"), "segments", "width").distinct()
     open_queries = written(asked.withColumn("most", F.col("width")), "open")
     kept_hits, answers = None, None
-    for radius in range(SEGMENT + 1):
-        masks = [sum(1 << b for b in chosen) for chosen in combinations(range(SEGMENT), radius)]
+    for radius in range(wide + 1):
+        masks = [sum(1 << b for b in chosen) for chosen in combinations(range(wide), radius)]
         # a few queries stand for very many probes: they are dealt out first, and probes are never broadcast
         probes = open_queries.repartition(tasks, "asked").select("asked", "width", "most", F.posexplode("segments").alias("at", "of"))
         near = F.transform(F.lit(masks), lambda m: _key(F.col("at"), m.bitwiseXOR(F.col("of"))))
@@ -82,8 +84,8 @@ def top_k(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str
         hits = written(ranked.where(F.col("before") < k + 1).drop("before"), "hits")
         sums = hits.groupBy("asked", "width").agg(F.sum("n").alias("found"), F.max("distance").alias("worst"))
         full = F.coalesce(F.col("found") >= k + 1, F.lit(False))
-        sure = F.ceil(F.col("width") / SEGMENT) * (radius + 1) - 1
-        ended = F.lit(True) if radius == SEGMENT else full & (F.col("worst") <= sure)
+        sure = F.ceil(F.col("width") / wide) * (radius + 1) - 1
+        ended = F.lit(True) if radius == wide else full & (F.col("worst") <= sure)
         state = open_queries.drop("most").join(sums, ["asked", "width"], "left")
         state = written(state.select("asked", "segments", "width", F.when(full, F.col("worst")).otherwise(F.col("width")).alias("most"), ended.alias("ended")), "state")
         done = hits.join(state.where("ended").select("asked", "width"), ["asked", "width"], "left_semi")
