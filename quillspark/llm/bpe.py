@@ -31,7 +31,7 @@ from .common import small_batches, table, text_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Words in each of the two generations of a worker's memory: this bounds memory, not what is encoded.
-WORD_MEMORY = 700_000
+WORD_MEMORY = 350_000
 
 _SPLIT = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 #: White space beside a space; white space that is rarer than this makes a text take the careful way.
