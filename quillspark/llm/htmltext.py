@@ -174,10 +174,71 @@ LABELLED = [
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 50, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 38, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
     (9, 0.9, 3, 1.0, 8, 0.8, 0, 0, 0, 0, 0), (14, 0.8, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (6, 0.7, 1, 1.0, 22, 0.0, 0, 0, 0, 0, 0), (40, 0.9, 4, 1.0, 4, 1.0, 0, 0, 0, 0, 0),
     (15, 0.0, 40, 0.0, 22, 0.0, 0, 1, 0, 0, 0), (40, 0.0, 30, 0.0, 22, 0.0, 0, 1, 0, 0, 0), (5, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (4, 0.0, 1, 1.0, 30, 0.0, 0, 1, 1, 0, 0),
+    # links inside an article: headlines, references and lone linked paragraphs are main text, lists of links and "read more" are not
+    (7, 1.0, 1, 1.0, 40, 0.0, 1, 0, 1, 1, 1), (5, 1.0, 0, 0.0, 60, 0.0, 1, 0, 1, 1, 1), (9, 1.0, 30, 0.0, 35, 0.0, 1, 0, 1, 1, 1), (3, 1.0, 50, 0.0, 25, 0.0, 1, 0, 1, 1, 1),
+    (2, 1.0, 2, 1.0, 70, 0.0, 1, 0, 1, 1, 1), (6, 1.0, 12, 0.0, 4, 0.3, 1, 0, 1, 1, 1), (8, 1.0, 1, 1.0, 5, 0.0, 1, 0, 1, 1, 1), (4, 1.0, 0, 0.0, 3, 1.0, 1, 0, 1, 1, 1),
+    (12, 1.0, 20, 0.0, 15, 0.0, 1, 0, 0, 1, 1), (8, 1.0, 30, 0.0, 45, 0.0, 1, 0, 0, 1, 1), (6, 1.0, 45, 0.0, 30, 0.0, 1, 0, 0, 1, 1), (6, 1.0, 80, 0.1, 60, 0.0, 1, 0, 0, 1, 1),
+    (10, 1.0, 9, 0.0, 12, 0.0, 1, 0, 0, 1, 1), (20, 0.9, 30, 0.0, 0, 0.0, 1, 0, 0, 1, 1), (7, 0.9, 15, 0.0, 8, 0.0, 1, 0, 0, 1, 1), (9, 1.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1, 1),
+    (14, 0.8, 16, 0.7, 12, 0.8, 1, 0, 0, 1, 1), (12, 0.7, 2, 0.0, 14, 0.8, 1, 0, 0, 1, 1), (18, 0.8, 14, 0.8, 0, 0.0, 1, 0, 0, 1, 1), (16, 0.6, 1, 0.0, 20, 0.6, 1, 0, 0, 1, 1),
+    (25, 0.7, 18, 0.8, 22, 0.7, 1, 0, 0, 1, 1), (15, 0.8, 25, 0.6, 3, 1.0, 1, 0, 0, 1, 1),
+    (2, 1.0, 60, 0.0, 50, 0.0, 1, 0, 0, 1, 0), (2, 1.0, 30, 0.0, 0, 0.0, 1, 0, 0, 1, 0), (3, 1.0, 90, 0.0, 40, 0.0, 1, 0, 0, 1, 0), (2, 1.0, 12, 0.0, 30, 0.0, 1, 0, 0, 1, 0),
+    (4, 1.0, 40, 0.0, 5, 1.0, 1, 0, 0, 1, 0), (5, 1.0, 4, 1.0, 6, 1.0, 1, 0, 0, 1, 0), (6, 1.0, 5, 1.0, 4, 1.0, 1, 0, 0, 1, 0), (4, 1.0, 6, 1.0, 30, 0.0, 1, 0, 0, 1, 0),
+    (9, 1.0, 8, 1.0, 7, 1.0, 1, 0, 0, 1, 0), (8, 1.0, 60, 0.0, 9, 1.0, 1, 0, 0, 1, 0), (7, 1.0, 9, 1.0, 40, 0.0, 1, 0, 0, 1, 0), (1, 1.0, 70, 0.0, 1, 1.0, 1, 0, 0, 1, 0),
+    (7, 1.0, 3, 0.0, 8, 1.0, 1, 0, 0, 1, 0), (8, 1.0, 7, 1.0, 0, 0.0, 1, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 80, 0.0, 1, 0, 0, 1, 0), (3, 1.0, 3, 1.0, 3, 0.0, 1, 0, 0, 1, 0),
+    # plain blocks of articles beside links
+    (30, 0.0, 2, 1.0, 4, 1.0, 1, 0, 0, 1, 1), (4, 0.0, 7, 1.0, 40, 0.0, 1, 0, 0, 1, 1), (3, 0.33, 7, 1.0, 50, 0.0, 1, 0, 0, 1, 1), (6, 0.0, 50, 0.0, 4, 1.0, 1, 0, 1, 1, 1),
+    # links outside the article, after long paragraphs too
+    (2, 1.0, 120, 0.0, 3, 1.0, 0, 0, 0, 1, 0), (3, 1.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1, 0), (8, 1.0, 90, 0.0, 7, 1.0, 0, 0, 0, 1, 0), (6, 1.0, 70, 0.1, 0, 0.0, 0, 0, 0, 1, 0),
+    (7, 1.0, 2, 1.0, 12, 0.0, 0, 0, 1, 1, 0), (5, 1.0, 70, 0.0, 14, 0.0, 0, 0, 1, 1, 0), (10, 1.0, 8, 1.0, 9, 1.0, 0, 0, 0, 1, 0), (14, 0.7, 80, 0.0, 30, 0.0, 0, 0, 0, 1, 0),
+    # links and scraps of pages without an article
+    (8, 1.0, 1, 1.0, 50, 0.0, 0, 0, 1, 0, 1), (6, 1.0, 0, 0.0, 40, 0.0, 0, 0, 1, 0, 1), (4, 1.0, 30, 0.0, 60, 0.0, 0, 0, 1, 0, 1), (9, 1.0, 45, 0.0, 22, 0.0, 0, 0, 1, 0, 1),
+    (7, 1.0, 20, 0.0, 5, 0.0, 0, 0, 1, 0, 1), (12, 1.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (8, 1.0, 25, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (6, 0.9, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 1),
+    (9, 1.0, 14, 0.0, 12, 0.0, 0, 0, 0, 0, 1), (15, 0.7, 18, 0.7, 16, 0.8, 0, 0, 0, 0, 1), (18, 0.6, 30, 0.0, 20, 0.7, 0, 0, 0, 0, 1),
+    (2, 1.0, 120, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 70, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (3, 1.0, 25, 0.0, 40, 0.0, 0, 0, 0, 0, 0),
+    (7, 1.0, 8, 1.0, 9, 1.0, 0, 0, 0, 0, 0), (9, 1.0, 60, 0.0, 8, 1.0, 0, 0, 0, 0, 0), (8, 1.0, 7, 1.0, 30, 0.0, 0, 0, 0, 0, 0), (10, 1.0, 9, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (1, 1.0, 90, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (4, 1.0, 3, 1.0, 2, 0.0, 0, 0, 0, 0, 0),
+    (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (1, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (2, 0.0, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0),
+    (12, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 1), (25, 0.0, 4, 1.0, 1, 1.0, 0, 0, 0, 0, 1), (9, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 1), (3, 0.0, 1, 1.0, 45, 0.0, 0, 0, 0, 0, 1),
+    (3, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (4, 0.0, 2, 1.0, 1, 1.0, 0, 0, 1, 0, 1), (2, 0.0, 1, 1.0, 3, 1.0, 0, 0, 1, 0, 1),
 ]
 
-
-def grow(rows: np.ndarray, depth: int = 6) -> tuple:
+#: More of them with varied neighbours, all as (words, density); a group has the blocks, those before, those after, whether they are headings, and the class.
+_PLAIN = [(0, 0.0), (5, 0.0), (12, 0.3), (35, 0.0), (70, 0.1), (130, 0.0)]
+_LINKS = [(2, 1.0), (5, 1.0), (9, 1.0)]
+_TEXT = [(n, d) for n in (1, 2, 3, 5, 8, 12, 18, 28, 45, 60, 80, 120, 200) for d in (0.0, 0.1, 0.4) if n * d >= 1 or not d]
+_MAIN = [
+    ([(4, 1.0), (8, 1.0), (13, 1.0)], [*_PLAIN, *_LINKS], [(1, 0.0), (2, 0.0), *_PLAIN], 1, 1),  # linked headlines
+    ([(6, 1.0), (10, 1.0), (18, 1.0)], _PLAIN[1:], _PLAIN, 0, 1),  # a linked item among prose
+    ([(12, 0.7), (16, 0.8), (24, 0.7)], [*_PLAIN[1:], (14, 0.8)], [*_PLAIN, (15, 0.7)], 0, 1),  # references
+    ([(1, 1.0), (2, 1.0), (3, 1.0)], [*_PLAIN, *_LINKS], [*_PLAIN, *_LINKS], 0, 0),  # "read more"
+    ([(6, 1.0), (10, 1.0), (14, 1.0)], [*_PLAIN, *_LINKS], _LINKS, 0, 0),  # lists of links: their first and middle items
+    ([(6, 1.0), (10, 1.0), (14, 1.0)], _LINKS, _PLAIN, 0, 0),  # and their last ones
+    (_TEXT, [*_PLAIN, (2, 1.0)], _PLAIN, 0, 1),  # paragraphs, one side of which at most is a link
+    (_TEXT, _PLAIN, [(2, 1.0)], 0, 1),
+    (_TEXT[:8], [(0, 0.0), (12, 0.3), (70, 0.1), (2, 1.0)], [(5, 0.0), (35, 0.0), (2, 1.0)], 1, 1),  # headings
+]
+_CITED = ([(12, 1.0), (15, 1.0), (20, 1.0)], [(13, 1.0), (22, 1.0)], [(12, 1.0), (18, 1.0), (5, 0.0), (60, 0.0), (0, 0.0)])
+_SCRAPS = [n for n in _TEXT if n[0] < 4]
+LABELLED += [
+    (*block, *before, *after, article, 0, heading, article, label)
+    for article in (0, 1)
+    for some, befores, afters, heading, label in [*_MAIN, (_SCRAPS, _LINKS, _LINKS, 0, article), (*_CITED, 0, article), ([x for x in _TEXT if x[0] > 4], _LINKS, _LINKS, 0, 1)]
+    for block in some
+    for before in befores
+    for after in afters
+]
+# outside the article of a page that has one, and in menus, notices and the like
+LABELLED += [
+    (*block, *before, *after, article, aside, heading, page, 0)
+    for article, aside, page in ((0, 0, 1), (0, 1, 1), (1, 1, 1), (0, 1, 0))
+    for heading, some in ((0, [*_TEXT, (2, 1.0), (8, 1.0), (15, 0.7)]), (1, [(3, 0.0), (8, 1.0)]))
+    for block in some
+    for before in [(12, 0.0), (70, 0.0), (2, 1.0)]
+    for after in [(12, 0.0), (70, 0.0), (2, 1.0)]
+]
+
+
+def grow(rows: np.ndarray, depth: int = 16) -> tuple:
     """A tree of (feature, threshold, left, right) or a leaf's class, by Gini impurity."""
     y = rows[:, -1]
     share = y.mean()

@@ -160,3 +160,23 @@ def test_toxicity_columns(spark):
 def test_no_model_scores_zero(spark, texts):
     docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
+
+
+def test_links_are_judged_by_their_neighbours():
+    prose = "word " * 30
+    page = f"""<body><article><h1><a href=1>A linked headline of an article</a></h1><p>{prose}</p><p><a href=2>The full report of the committee on roads</a></p><p>{prose}</p>
+<p><a href=3>Read more</a></p><p>{"long " * 60}</p><ul><li><a href=4>Other story one</a></li><li><a href=5>Other story two</a></li></ul></article><p>{"apart " * 60}</p><p><a href=6>Next page here</a></p></body>"""
+    wanted = ["A linked headline of an article", prose.strip(), "The full report of the committee on roads", prose.strip(), ("long " * 60).strip()]
+    assert htmltext.main_text(page).split("\n") == wanted
+    bare = f"<body><h1><a href=1>A linked headline of a page</a></h1><p>{'long ' * 80}</p><p><a href=3>Read more</a></p><p><a href=2>The full report of the committee on roads</a></p><p>{prose}</p></body>"
+    assert "Read more" not in htmltext.main_text(bare)
+    assert htmltext.main_text(bare).startswith("A linked headline of a page\nlong")
+
+
+def test_tree_asks_neighbours():
+    import numpy as np
+
+    def asked(tree):
+        return set() if len(tree) == 1 else {htmltext.FEATURES[tree[0]]} | asked(tree[2]) | asked(tree[3])
+
+    assert asked(htmltext.grow(np.array(htmltext.LABELLED, float))) == set(htmltext.FEATURES)
