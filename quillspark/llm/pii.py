@@ -1,11 +1,17 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Seeds are e-mail addresses, IP addresses, card and phone numbers that fixed
-expressions find.  The words around a seed are lexical patterns.  Patterns and
-identifier-like words (those with a digit) make a bipartite graph; in each round
-a pattern is scored by the share of its distinct words that are known to be of
-one kind, words of patterns above the threshold become known, and after the last
-round those that no expression had found are added as ``context`` spans.
+expressions find, whatever their letters.  The words around a word are its
+lexical patterns, and patterns and words make a bipartite graph.  A pattern is
+accepted by the share of its distinct words that are known to be of one kind;
+all words of accepted patterns become known, wherever they stand, and bring
+further patterns in the next round; words of accepted patterns that no expression
+had found are added as ``context`` spans.
+
+The graph of all words is never written.  A round reads the texts for the
+patterns of new words, drops patterns that can't reach the share (the distinct
+unknown words in a part of the texts are a lower bound), and reads them again for
+all words of the others.  Words and patterns are compared by their 64-bit hashes.
 
 Positions come from cutting the text at the matches: the lengths of the pieces
 and matches before a match give its start in code points.
@@ -15,13 +21,14 @@ in the text; these find the same leftmost, non-overlapping matches as the plain
 forms.
 
 Defined results: a null text is the empty text, without spans; equal starts go
-in the order of KINDS; repeated rows have the same spans; other columns are not
-read; an empty table gives an empty result.
+in the order of KINDS; repeated rows have the same spans; words without a letter
+or digit are no candidates; other columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_of, written
@@ -31,8 +38,10 @@ BASE = 4
 #: A pattern needs this many distinct known words of one kind, and this share of all its distinct words.
 LEAST_SUPPORT, LEAST_SHARE = 5, 0.8
 ROUNDS = 2
-#: A discovered word needs this many digits.
-LEAST_DIGITS = 4
+#: New words or patterns up to this number are looked up by a broadcast (8 bytes each), more by a shuffle.
+BROADCAST_IDS = 500_000
+#: One text of so many is read for the lower bound.
+PART = 32
 
 _EXPRESSIONS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -40,7 +49,12 @@ _EXPRESSIONS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_IDENTIFIER = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+_WORD = r"\p{L}\p{M}\p{N}_"
+#: What surrounds the core of a word, and the punctuation that patterns leave out.
+_EDGES = rf"(?=[^{_WORD}\s])(?:(?<!\S)[^{_WORD}+(\s]++(?=[{_WORD}+(])|(?<=[{_WORD})])[^{_WORD})\s]++(?!\S))"
+_PUNCTUATION = r"(?=[^\w\s#])(?:(?<!\S)[^\w\s#]++(?=[\w#])|(?<=[\w#])[^\w\s#]++(?!\S))"
+#: Marks the words of a match; a text's own are replaced in the marked copy.
+_MARK = "\ue000"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -88,8 +102,40 @@ def _span(number: int, kind: str):
     return lambda m, s: F.struct(s.alias("start"), F.lit(number).alias("kind"), (s + F.length(m)).alias("end"), _valid(kind, m).alias("good"))
 
 
-def with_spans(docs: DataFrame, candidates: bool = False) -> DataFrame:
-    """Add ``base`` spans of column ``t``, and with ``candidates`` the identifier-like words with their surroundings."""
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
+
+
+def _nodes(text: Column) -> Column:
+    """``word, before, around`` of every word: hashes of its core and of its patterns, null where there is none."""
+    cores = _split(F.regexp_replace(text, _EDGES, ""))
+    near = _split(F.lower(F.regexp_replace(F.regexp_replace(text, "[0-9]+", "#"), _PUNCTUATION, "")))
+
+    def nodes(cores: Column, near: Column) -> Column:
+        def one(core: Column, i: Column) -> Column:
+            last = F.get(near, i - 1)
+            return F.struct(
+                F.when(core.rlike(r"[\p{L}\p{N}]"), F.xxhash64(core)).alias("word"),
+                F.when(i >= 2, F.xxhash64(F.lit("l"), F.get(near, i - 2), last)).alias("before"),
+                F.when((i >= 1) & (i < F.size(near) - 1), F.xxhash64(F.lit("b"), last, F.get(near, i + 1))).alias("around"),
+            )
+
+        return F.transform(cores, one)
+
+    # one-element arrays, so that each list is made once for a text
+    return F.element_at(F.zip_with(F.array(cores), F.array(near), nodes), 1)
+
+
+def _marked(name: str) -> Column:
+    """For every word whether a valid match of this kind touches it."""
+    m, p = F.col(f"m_{name}"), F.col(f"p_{name}")
+    shown = F.transform(m, lambda x: F.when(_valid(name, x), F.concat(F.lit(_MARK), F.replace(x, F.lit(" "), F.lit(" " + _MARK)))).otherwise(x))
+    text = F.array_join(F.zip_with(F.transform(p, lambda x: F.replace(x, F.lit(_MARK), F.lit("?"))), shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.transform(_split(text), lambda w: F.contains(w, F.lit(_MARK)))
+
+
+def with_spans(docs: DataFrame, seeds: bool = False) -> DataFrame:
+    """Add ``base`` spans of column ``t``, and with ``seeds`` the words that they touch, with place, kind and patterns."""
     columns = docs.columns
     has_digit = F.col("t").rlike("[0-9]")
     guards = {"email": F.instr("t", "@") > 0, "ip": has_digit, "card": has_digit, "phone": F.instr("t", "+") > 0}
@@ -100,50 +146,89 @@ def with_spans(docs: DataFrame, candidates: bool = False) -> DataFrame:
         good = F.filter(F.zip_with(f"m_{kind}", f"s_{kind}", _span(number, kind)), lambda x: x["good"])
         found.append(F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     docs = docs.withColumn("base", F.array_sort(F.concat(*found)).cast(_SPAN))
-    if not candidates:
+    if not seeds:
         return docs.select(*columns, "base")
-    docs = _cut(docs, "word", _IDENTIFIER, has_digit).select(*columns, "base", "m_word", "p_word", "s_word")
-
-    def plain(word: Column) -> Column:
-        return F.lower(F.regexp_replace(F.regexp_replace(word, r"[0-9]+", "#"), r"^[^\w#]+|[^\w#]+$", ""))
-
-    def one(m: Column, k: Column) -> Column:
-        before, after = F.element_at("p_word", k + 1), F.element_at("p_word", k + 2)
-        left = F.regexp_extract(before, r"(?:^|\s)(\S{1,40}\s+\S{1,40})\s+$", 1)
-        near, next_word = F.regexp_extract(before, r"(?:^|\s)(\S{1,40})\s+$", 1), F.regexp_extract(after, r"^\s+(\S{1,40})(?:\s|$)", 1)
-        start = F.element_at("s_word", k + 1)
-        core = F.regexp_replace(m, r"^[^\w+(]+|[^\w)]+$", "")
-        first = start + F.length(F.regexp_extract(m, r"^([^\w+(]*)", 1))
-        end = first + F.length(core)
-        known = F.filter("base", lambda b: (b["start"] < end) & (b["end"] > first))
-        return F.struct(
-            core.alias("word"), first.alias("start"), end.alias("end"),
-            F.when(F.size(known) > 0, F.element_at(known, 1)["kind"]).alias("kind"),
-            F.when(left != "", F.concat(F.lit("l:"), F.regexp_replace(plain(left), r"\s+", " "))).alias("before"),
-            F.when((near != "") & (next_word != ""), F.concat(F.lit("b:"), plain(near), F.lit("_"), plain(next_word))).alias("around"),
-        )
-
-    return docs.select(*columns, "base", F.transform("m_word", one).alias("words"))
-
-
-def discover(words: DataFrame, rounds: int = ROUNDS, support: int = LEAST_SUPPORT, share: float = LEAST_SHARE) -> DataFrame:
-    """``key, start, end`` of words that only their surroundings give away.
-
-    ``words``: ``key, word, start, end, kind, pattern``, a row for each word and
-    pattern; kind is null where no expression found the word.
+    touched = [F.when(F.size(f"m_{kind}") > 0, _marked(kind)).alias(kind) for kind in KINDS[:BASE]]
+
+    def all_of(x: Column) -> Column:
+        def one(n: Column, i: Column) -> Column:
+            kind = F.coalesce(*(F.when(F.get(x[name], i), F.lit(number)) for number, name in enumerate(KINDS[:BASE])))
+            return F.struct(i.alias("i"), kind.alias("kind"), n["word"].alias("word"), n["before"].alias("before"), n["around"].alias("around"))
+
+        return F.filter(F.transform(x["nodes"], one), lambda s: s["kind"].isNotNull())
+
+    seen = F.element_at(F.transform(F.array(F.struct(*touched, _nodes(F.col("t")).alias("nodes"))), all_of), 1)
+    return docs.select(*columns, "base", F.when(F.size("base") > 0, seen).alias("seeds"))
+
+
+def _edges(texts: DataFrame) -> DataFrame:
+    """``key, i, word, pattern`` of every word of every text and its patterns."""
+    words = texts.select("key", F.posexplode(_nodes(F.col("t"))).alias("i", "n")).where("n.word is not null")
+    return words.select("key", "i", "n.word", F.explode(F.array("n.before", "n.around")).alias("pattern")).where("pattern is not null")
+
+
+def _keep(df: DataFrame, some: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is in ``some``, a written table of distinct values."""
+    return df.join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, column, "left_semi")
+
+
+def _best(known_edges: DataFrame) -> DataFrame:
+    """``pattern, n, kind, named``: the kind of most known words, their number, and that of known words of any kind."""
+    counts = known_edges.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+    return counts.groupBy("pattern").agg(F.max(F.struct("n", "kind")).alias("best"), F.sum("n").alias("named")).select("pattern", "best.n", "best.kind", "named")
+
+
+def discover(texts: DataFrame, seeds: DataFrame, support: int = LEAST_SUPPORT, share: float = LEAST_SHARE) -> DataFrame:
+    """``key, i`` of words that only their surroundings give away.
+
+    ``texts``: ``key, t``; ``seeds``: ``key, i, kind, word, before, around`` of the words that an expression found.
     """
-    # copies of a text add nothing to the graph: one edge for each pattern and word, counted before it is shuffled
-    edges = written(words.groupBy("pattern", "word").agg(F.min("kind").alias("kind")), "edges")
-    digits = F.length(F.regexp_replace("word", "[^0-9]", ""))
-    accepted = None
-    for _ in range(rounds):
-        known = edges if accepted is None else edges.join(accepted.withColumnRenamed("kind", "learnt"), "pattern", "left").groupBy("word").agg(F.coalesce(F.min("kind"), F.min("learnt")).alias("now"))
-        state = edges if accepted is None else edges.join(known, "word").select("pattern", "word", F.coalesce("kind", "now").alias("kind"))
-        counts = state.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
-        totals = counts.groupBy("pattern").agg(F.sum("n").alias("all"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("best"))
-        accepted = written(totals.where((F.col("best.n") >= support) & (F.col("best.n") >= share * F.col("all"))).select("pattern", F.col("best.kind").alias("kind")), "patterns")
-    hits = words.where(F.col("kind").isNull() & (digits >= LEAST_DIGITS)).join(accepted.select("pattern"), "pattern", "left_semi")
-    return hits.select("key", "start", "end").distinct()
+    known = written(seeds.where("word is not null").groupBy("word").agg(F.min("kind").alias("kind")), "known")
+    beside = written(seeds.select("word", F.explode(F.array("before", "around")).alias("pattern")).where("word is not null and pattern is not null").distinct(), "beside")
+    # an address is found wherever its word stands, a word of a card or phone number is not
+    new = written(known.where(F.col("kind") >= KINDS.index("card")).select("word"), "new")
+    part = texts.where(F.pmod("key", F.lit(PART)) == 0)
+    accepted = asked = rows = None
+    for _ in range(ROUNDS):
+        if not new.isEmpty():
+            beside = written(beside.union(_keep(_edges(texts), new, "word").select("word", "pattern")).distinct(), "beside")
+        best = written(_best(beside.join(known, "word")).where(F.col("n") >= support), "best")
+        # patterns that may reach the share and whose words have not been read
+        open_ = best if asked is None else best.join(asked, "pattern", "left_anti")
+        open_ = written(open_.where(F.col("n") >= share * F.col("named")), "open")
+        some = _keep(_edges(part), open_.select("pattern"), "pattern").select("pattern", "word").distinct().join(known, "word", "left_anti").groupBy("pattern").agg(F.count("*").alias("strange"))
+        able = open_.join(some, "pattern", "left").where(F.col("n") >= share * (F.col("named") + F.coalesce("strange", F.lit(0))))
+        able = written(able.select("pattern"), "able")
+        if not able.isEmpty():
+            more = written(_keep(_edges(texts), able, "pattern"), "edges")
+            rows = more if rows is None else rows.union(more)
+            asked = able if asked is None else asked.union(able)
+        if rows is None:
+            return seeds.select("key", "i").limit(0)
+        totals = rows.select("pattern", "word").distinct().groupBy("pattern").agg(F.count("*").alias("all"))
+        fresh = best.join(totals, "pattern").where(F.col("n") >= share * F.col("all")).select("pattern", "kind")
+        fresh = written(fresh if accepted is None else fresh.join(accepted, "pattern", "left_anti"), "patterns")
+        if fresh.isEmpty():
+            break
+        accepted = fresh.select("pattern") if accepted is None else accepted.union(fresh.select("pattern"))
+        learnt = written(rows.join(fresh, "pattern").groupBy("word").agg(F.min("kind").alias("kind")).join(known, "word", "left_anti"), "learnt")
+        if learnt.isEmpty():
+            break
+        known, new = known.union(learnt), learnt.select("word")
+    if accepted is None:
+        return seeds.select("key", "i").limit(0)
+    return rows.join(accepted, "pattern", "left_semi").select("key", "i").distinct().join(seeds.select("key", "i"), ["key", "i"], "left_anti")
+
+
+def _placed(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, start, end`` of the cores of the found words: lengths of what comes before, as running sums."""
+    held = texts.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    parts = F.arrays_zip(_split(F.col("t")).alias("word"), F.split("t", r"\S+", -1).alias("space"))
+    words = held.select("key", F.posexplode(parts).alias("i", "x")).select("key", "i", F.col("x.word").alias("w"), F.length("x.space").alias("space"))
+    ends = F.sum(F.col("space") + F.length("w")).over(Window.partitionBy("key").orderBy("i"))
+    placed = words.where("w is not null").withColumn("at", (ends - F.length("w")).cast("int")).join(found, ["key", "i"], "left_semi")
+    start = F.col("at") + F.length(F.regexp_extract("w", rf"^([^{_WORD}+(]*+)", 1))
+    return placed.select("key", start.alias("start"), (start + F.length(F.regexp_replace("w", _EDGES, ""))).alias("end"))
 
 
 def _named(spans: Column) -> Column:
@@ -160,9 +245,10 @@ def _context(found: DataFrame) -> DataFrame:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, key, base, spans``: spans are structs of start, number of the kind, end."""
     texts = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("t")).withColumn("key", F.xxhash64("id", "t"))
-    parts = written(with_spans(texts, candidates=True).drop("t"), "spans")
-    word = parts.select("key", F.explode("words").alias("w")).select("key", "w.word", "w.start", "w.end", "w.kind", F.explode(F.array("w.before", "w.around")).alias("pattern"))
-    more = _context(discover(word.where("pattern is not null")))
+    parts = written(with_spans(texts, seeds=True).drop("t"), "spans")
+    seeds = parts.where("size(seeds) > 0").select("key", F.inline("seeds"))
+    found = written(discover(texts.select("key", "t"), seeds), "found")
+    more = _context(_placed(texts.select("key", "t"), found))
     out = parts.select("id", "key", "base").join(more, "key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
     return out.select(F.col("id").alias(id_col), "key", "base", spans.alias("spans"))

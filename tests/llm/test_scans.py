@@ -70,6 +70,31 @@ def test_context_finds_what_no_expression_does(spark):
     assert got[51] == []
 
 
+def handle(n):
+    return "".join("abcdefghij"[int(c)] for c in f"{n:03d}") + "x"
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.find_pii(df).selectExpr("doc_id", "transform(filter(spans, x -> x.kind = 4), x -> concat_ws(':', x.start, x.end)) as s").collect()
+    return {r.doc_id: [texts[r.doc_id][int(a) : int(b)] for a, b in (x.split(":") for x in r.s)] for r in rows}
+
+
+def test_context_of_addresses_and_words_without_digits(spark):
+    texts = [f"lorem {handle(n)} reach me under {handle(n)}@mail.org please" for n in range(12)]
+    texts += ["🙂 then  reach me\nunder (jane.doe), please", "then reach me under user-7 please", "they stand under jane.doe today", "mail jane.doe@example.com"]
+    got = found(spark, texts)
+    assert got[12] == ["(jane.doe)"]
+    assert got[13] == ["user-7"]
+    assert got[14] == got[15] == []
+    assert not any(got[n] for n in range(12))
+
+
+def test_common_contexts_are_refused(spark):
+    texts = [f"reach me under {handle(n)}@mail.org please" for n in range(12)] + [f"reach me under {handle(n + 500)} please" for n in range(8)]
+    assert not any(found(spark, texts).values())
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.co now", 3), (1, "mail a@b.co now", 3), (2, None, 1), (None, "1.2.3.4", 1)], "doc_id long, text string, n_chars long")
     assert sorted(str(r.text) for r in pii.redact(df).collect()) == ["None", "[IP]", "mail [EMAIL] now", "mail [EMAIL] now"]
