@@ -5,8 +5,8 @@ expressions find, whatever their letters.  The words around a word are its
 lexical patterns, and patterns and words make a bipartite graph.  A pattern is
 accepted by the share of its distinct words that are known to be of one kind;
 all words of accepted patterns become known, wherever they stand, and bring
-further patterns in the next round; words of accepted patterns that no expression
-had found are added as ``context`` spans.
+further patterns.  This goes on until no pattern is newly accepted; words of
+accepted patterns that no expression had found are added as ``context`` spans.
 
 The graph of all words is never written.  A round reads the texts for the
 patterns of new words, drops patterns that can't reach the share (the distinct
@@ -37,7 +37,8 @@ KINDS = ("email", "ip", "card", "phone", "context")
 BASE = 4
 #: A pattern needs this many distinct known words of one kind, and this share of all its distinct words.
 LEAST_SUPPORT, LEAST_SHARE = 5, 0.8
-ROUNDS = 2
+#: Rounds after which the iteration fails instead of giving a part of the result.
+MOST_ROUNDS = 100
 #: New words or patterns up to this number are looked up by a broadcast (8 bytes each), more by a shuffle.
 BROADCAST_IDS = 500_000
 #: One text of so many is read for the lower bound.
@@ -189,7 +190,7 @@ def discover(texts: DataFrame, seeds: DataFrame, support: int = LEAST_SUPPORT, s
     new = written(known.where(F.col("kind") >= KINDS.index("card")).select("word"), "new")
     part = texts.where(F.pmod("key", F.lit(PART)) == 0)
     accepted = asked = rows = None
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         if not new.isEmpty():
             beside = written(beside.union(_keep(_edges(texts), new, "word").select("word", "pattern")).distinct(), "beside")
         best = written(_best(beside.join(known, "word")).where(F.col("n") >= support), "best")
@@ -215,6 +216,8 @@ def discover(texts: DataFrame, seeds: DataFrame, support: int = LEAST_SUPPORT, s
         if learnt.isEmpty():
             break
         known, new = known.union(learnt), learnt.select("word")
+    else:
+        raise RuntimeError(f"patterns were still being accepted after {MOST_ROUNDS} rounds")
     if accepted is None:
         return seeds.select("key", "i").limit(0)
     return rows.join(accepted, "pattern", "left_semi").select("key", "i").distinct().join(seeds.select("key", "i"), ["key", "i"], "left_anti")

@@ -95,6 +95,15 @@ def test_common_contexts_are_refused(spark):
     assert not any(found(spark, texts).values())
 
 
+def test_chain_of_three_contexts(spark):
+    texts = [f"reach me under {handle(n)}@mail.org please" for n in range(80)] + [f"reach me under {handle(n)} please" for n in range(100, 120)]
+    texts += [f"our member called {handle(n)} signed in" for n in range(100, 125)]
+    texts += [f"a parcel for {handle(n)} arrived today" for n in range(120, 126)]
+    got = found(spark, texts)
+    wanted = [[]] * 80 + [[handle(n)] for n in [*range(100, 120), *range(100, 125), *range(120, 126)]]
+    assert [got[n] for n in range(len(texts))] == wanted
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.co now", 3), (1, "mail a@b.co now", 3), (2, None, 1), (None, "1.2.3.4", 1)], "doc_id long, text string, n_chars long")
     assert sorted(str(r.text) for r in pii.redact(df).collect()) == ["None", "[IP]", "mail [EMAIL] now", "mail [EMAIL] now"]
