@@ -35,8 +35,8 @@ from .common import small_batches, table, text_of, written
 WINDOW = 2048
 END = 1
 SHARD_TOKENS = 1_000_000
-#: BM25 constants, and how many of the seed's weightiest terms ask the index.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: BM25 constants.
+K1, B = 1.2, 0.75
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -109,8 +109,7 @@ class _Index:
             terms.append(t)
             counts.append(n)
             owners.append(np.full(len(t), k))
-            weight = idf[t] * n / (n + K1)
-            self.query.append(t[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t)
+            self.query.append(t)
         term, count, owner = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (terms, counts, owners))
         length = np.array([len(x) for x in ids], float)
         order = np.argsort(term, kind="stable")
@@ -120,7 +119,7 @@ class _Index:
         self.n = len(ids)
 
     def like(self, k: int) -> np.ndarray:
-        """Scores of all documents of the shard for the terms of document k."""
+        """Scores of all documents of the shard for all terms of document k."""
         cuts = [slice(self.place[t], self.place[t + 1]) for t in self.query[k].tolist()]
         if not cuts:
             return np.zeros(self.n)

@@ -48,6 +48,15 @@ def test_neighbours_are_alike():
     assert np.argsort(-index.like(0), kind="stable")[:2].tolist() == [0, 2]
 
 
+def test_all_terms_of_a_seed_ask():
+    from quillspark.llm.packing import _Index
+
+    idf = np.ones(400)
+    idf[:30] = 2.0
+    index = _Index([np.arange(300), np.arange(300, 400), np.arange(30, 300)], idf, 220.0)
+    assert index.like(0)[2] > 0 == index.like(0)[1]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     at, kept = docs, [docs.count()]
