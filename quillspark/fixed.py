@@ -105,3 +105,28 @@ NOTE_TYPES: list[tuple[str, str]] = [
 # Courts and their divisions.
 COURTS = ["uksc", "ukpc", "ewca", "ewhc", "ewcr", "ewcc", "ewfc", "ewcop", "ukiptrib", "eat", "ukut", "ukftt"]
 DIVISIONS = ["civ", "crim", "t3", "admin", "admlty", "ch", "comm", "fam", "ipec", "kb", "mercantile", "pat", "scco", "tcc", "qb", "costs", "aac", "iac", "lc", "grc", "tc", "b", "t2"]
+
+# Courts in full, for citations.
+COURT_NAMES: dict[str, str] = {
+    "uksc": "UK Sup. Ct.",
+    "ukpc": "Privy Council",
+    "ewca": "Eng. & Wales Ct. App.",
+    "ewhc": "Eng. & Wales High Ct.",
+    "ewcr": "Crown Ct.",
+    "ewcc": "County Ct.",
+    "ewfc": "Fam. Ct.",
+    "ukut": "Upper Trib.",
+    "ukftt": "First-tier Trib.",
+}
+
+# Kinds of clients and words of their names, in order of precedence.
+AGENTS: list[tuple[str, list[str]]] = [
+    ("curl", ["curl"]),
+    ("postman", ["postman"]),
+    ("insomnia", ["insomnia"]),
+    ("python_client", ["python"]),
+    ("javascript_client", ["node", "javascript"]),
+    ("web_browser", ["chrome", "firefox", "safari", "edge"]),
+    ("bot", ["bot", "crawler"]),
+    ("ai_agent", ["mcp", "claude"]),
+]

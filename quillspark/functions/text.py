@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.fixed import EXTENTS, NOTE_TYPES, TYPES
+from quillspark.fixed import AGENTS, COURT_NAMES, EXTENTS, NOTE_TYPES, TYPES
 
 
 def _c(x: Column | str) -> Column:
@@ -61,10 +62,37 @@ def embedding_text(*columns, between: str = "\n\n") -> Column:
     return F.concat_ws(between, *map(_c, columns))
 
 
-def amendment_text(changed, affecting, provision, effect) -> Column:
-    """A sentence for an amendment."""
-    where = F.when(_c(provision).isNotNull(), F.concat(F.lit(" at "), _c(provision))).otherwise("")
-    return F.concat(F.initcap(F.coalesce(_c(effect), F.lit("amended"))), F.lit(": "), _c(changed), where, F.lit(" by "), _c(affecting))
+def _act_named(legislation, year, number) -> Column:
+    """``UK Public General Act 2002 No. 1`` of ``ukpga/2002/1``, its year and its number."""
+    return F.concat(type_name(F.substring_index(_c(legislation), "/", 1)), F.lit(" "), _c(year).cast("string"), F.lit(" No. "), _c(number))
+
+
+def _provision_named(provision, act: Column) -> Column:
+    p = F.initcap(F.replace(_c(provision), F.lit("/"), F.lit(" ")))
+    return F.when(F.coalesce(_c(provision), F.lit("")) == "", act).otherwise(F.concat(p, F.lit(" of "), act))
+
+
+def amendment_text(side: Callable[[str], Column], effect, explanation) -> Column:
+    """A sentence for an amendment; ``side("changed_legislation")`` and so on give its columns."""
+    changed, affecting = (_provision_named(side(f"{x}_provision"), _act_named(*(side(f"{x}_{c}") for c in ("legislation", "year", "number")))) for x in ("changed", "affecting"))
+    by = F.when(F.coalesce(side("affecting_legislation"), F.lit("")) != "", F.concat(F.lit("was amended by "), affecting))
+    kind = F.when(F.coalesce(_c(effect), F.lit("")) != "", F.concat(F.lit("Type of amendment: "), _c(effect), F.lit(".")))
+    told = F.when(F.coalesce(_c(explanation), F.lit("")) != "", F.concat(F.lit("Explanation: "), _c(explanation)))
+    return F.concat_ws(" ", changed, by, kind, told)
+
+
+def summary_embedding_text(name, cite, court, year, text) -> Column:
+    """Lines of a judgment's summary, without what is missing."""
+    cited = F.when(F.coalesce(_c(cite), F.lit("")) != "", F.concat(F.lit("Citation: "), _c(cite)))
+    body = F.when(_c(text) != "", _c(text))
+    return F.concat_ws("\n", F.concat(F.lit("Case: "), _c(name)), cited, F.concat(F.lit("Court: "), F.upper(_c(court))), F.concat(F.lit("Year: "), _c(year).cast("string")), body)
+
+
+def prompt_context(title, year, number, enacted, pages) -> Column:
+    """Lines of what is known of an act, without what is missing."""
+    known = (("Title", title), ("Year", year), ("Chapter Number", number), ("Enactment Date", enacted))
+    lines = [F.when(F.coalesce(_c(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{label}: "), _c(c).cast("string"))) for label, c in known]
+    return F.concat_ws("\n", *lines, F.when(_c(pages) > 0, F.concat(F.lit("PDF Pages: "), _c(pages).cast("string"))))
 
 
 def note_section(title) -> Column:
@@ -94,16 +122,27 @@ def note_markdown(route, text) -> Column:
 def case_header(text) -> Column:
     """Lines of a judgment's head without rules and blanks."""
     lines = F.filter(F.split(_c(text), r"\r?\n"), lambda x: ~x.contains("- - - - - - - - - - - - - - - - -"))
-    return F.array_join(F.filter(F.transform(lines, F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
+
+
+#: What becomes of line ends and of brackets around the marks of paragraphs, in Java's and in Python's expressions alike:
+#: no line end after a bullet or a letter's mark, one for many elsewhere, and ``(a)`` or ``a)`` as ``a.``.
+_MARKS = [(r"(?<=•)\n+|(?<=[A-Za-z]\.)\n+|(?<=[a-z]\))\n+", ""), (r"\n+", "\n"), (r"\((?=[a-z0-9])", ""), (r"(?<=[a-z0-9])\)", ".")]
+
+
+def marked(text: str) -> str:
+    """A text with the marks of its paragraphs in one form."""
+    for pattern, put in _MARKS:
+        text = re.sub(pattern, put, text)
+    return text
 
 
 def paragraph_marks(text) -> Column:
-    """One newline for many; ``(a)`` and ``a)`` as ``a.``; no newline after letters and roman numbers."""
-    t = F.regexp_replace(_c(text), r"\n+", "\n")
-    t = F.regexp_replace(t, "•\n", "•")
-    t = F.regexp_replace(t, r"([a-z0-9])\)", "$1.")
-    t = F.regexp_replace(t, r"\(([a-z0-9])", "$1")
-    return F.regexp_replace(t, r"(?i)([ivxlcdm]+|[a-z])\.\n", "$1.")
+    """``marked`` as a column."""
+    out = _c(text)
+    for pattern, put in _MARKS:
+        out = F.regexp_replace(out, pattern, put)
+    return out
 
 
 def nested_text(value) -> Column:
@@ -112,34 +151,57 @@ def nested_text(value) -> Column:
 
 
 def reference_label(act, section) -> Column:
-    a, s = _c(act), _c(section)
-    return F.when(a.isNotNull() & s.isNotNull(), F.concat(F.lit("section "), s, F.lit(" of "), a)).when(s.isNotNull(), F.concat(F.lit("section "), s)).otherwise(a)
+    a, s = (F.when(_c(x) != "", _c(x)) for x in (act, section))
+    return F.coalesce(F.concat(a, F.lit(", section "), s), a, F.concat(F.lit("section "), s), F.lit("Unknown"))
 
 
-def citation(style: str, title, year, number, url) -> Column:
+def citation(style: str, title, kind, year, number, url) -> Column:
     """An act's citation in one of four styles."""
-    t, y, n, u = map(_c, (title, year, number, url))
+    t, u = _c(title), _c(url)
+    cited = F.concat(F.upper(_c(kind)), F.lit(" "), _c(year).cast("string"), F.lit("/"), _c(number).cast("string"))
+    forms = {
+        "oscola": lambda: F.concat(t, F.lit(", "), cited), "bluebook": lambda: F.concat(t, F.lit(", "), cited, F.lit(" (UK)")),
+        "markdown": lambda: F.concat(F.lit("["), t, F.lit("]("), u, F.lit(") ("), cited, F.lit(")")), "plain": lambda: F.concat(t, F.lit(" ("), cited, F.lit(")")),
+    }
+    if style not in forms:
+        raise ValueError(f"no such style: {style!r}")
+    return forms[style]()
+
+
+def case_citation(style: str, name, court, year, number, cite_as, date, url) -> Column:
+    """A judgment's citation in one of four styles; ``cite_as`` is another citation, where there is one."""
+    n, u = _c(name), _c(url)
+    other = F.when(_c(cite_as) != "", _c(cite_as))
+    neutral = F.concat(F.lit("["), _c(year).cast("string"), F.lit("] "), F.upper(_c(court)), F.lit(" "), _c(number).cast("string"))
+    with_other = F.concat_ws(", ", neutral, other)
     if style == "oscola":
-        return F.concat(t, F.lit(" "), y.cast("string"))
+        return F.concat(n, F.lit(" "), with_other)
     if style == "bluebook":
-        return F.concat(t, F.lit(", "), y.cast("string"), F.lit(", c. "), n.cast("string"), F.lit(" (UK)"))
+        full = F.coalesce(F.try_element_at(_map(COURT_NAMES.items()), F.lower(_c(court))), F.upper(_c(court)))
+        return F.concat(n, F.lit(", "), F.coalesce(other, neutral), F.lit(" ("), full, F.lit(" "), F.year(_c(date)).cast("string"), F.lit(")"))
     if style == "markdown":
-        return F.concat(F.lit("["), t, F.lit("]("), u, F.lit(")"))
+        return F.concat(F.lit("["), n, F.lit("]("), u, F.lit(") "), with_other)
     if style == "plain":
-        return F.concat(t, F.lit(" ("), y.cast("string"), F.lit(") "), u)
+        return F.concat(n, F.lit(" "), neutral, F.coalesce(F.concat(F.lit(" ("), other, F.lit(")")), F.lit("")))
     raise ValueError(f"no such style: {style!r}")
 
 
 def relative_time(then, now) -> Column:
-    """How long ago, in words."""
+    """How long ago, in words; after 30 days the date, with its year after 365."""
     minutes = F.timestamp_diff("MINUTE", _c(then), _c(now))
     hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
-    return F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago"))).when(days < 7, F.concat(days.cast("string"), F.lit("d ago"))).otherwise(F.date_format(_c(then), "yyyy-MM-dd"))
+    ago = F.when(minutes < 1, "Just now")
+    for bound, value, unit in ((minutes < 60, minutes, "m"), (hours < 24, hours, "h"), (days < 7, days, "d"), (days < 30, F.floor(days / 7), "w")):
+        ago = ago.when(bound, F.concat(value.cast("string"), F.lit(f"{unit} ago")))
+    return ago.otherwise(F.when(days > 365, F.date_format(_c(then), "d MMM yyyy")).otherwise(F.date_format(_c(then), "d MMM")))
 
 
 def anonymous_ip(ip) -> Column:
-    """The last group as 0."""
-    return F.when(_c(ip).contains(":"), F.regexp_replace(_c(ip), r":[^:]*$", ":0")).otherwise(F.regexp_replace(_c(ip), r"\.\d+$", ".0"))
+    """The first three of four groups, or the first four of a longer address; anything else is unknown."""
+    four, many = F.split(_c(ip), r"\."), F.split(_c(ip), ":")
+    short = F.when(F.size(four) == 4, F.concat(F.array_join(F.slice(four, 1, 3), "."), F.lit(".xxx")))
+    long = F.when(F.size(many) >= 4, F.concat(F.array_join(F.slice(many, 1, 4), ":"), F.lit("::xxxx")))
+    return F.coalesce(short, long, F.lit("unknown"))
 
 
 def client_ip(forwarded, peer) -> Column:
@@ -149,12 +211,24 @@ def client_ip(forwarded, peer) -> Column:
 
 
 def agent_kind(agent) -> Column:
+    """Kind of a client, by the first words that its name holds."""
     a = F.lower(_c(agent))
-    return F.when(a.isNull() | (a == ""), "unknown").when(a.rlike("bot|crawler|spider"), "bot").when(a.rlike("python|curl|wget|httpx|java|go-http"), "script").when(a.rlike("mobile|android|iphone"), "mobile").otherwise("browser")
+    out = F.when(a.isNull() | a.isin("", "unknown"), "unknown")
+    for kind, words in AGENTS:
+        out = out.when(a.rlike("|".join(words)), kind)
+    return out.otherwise("other")
+
+
+def endpoint_kind(path) -> Column:
+    p = _c(path)
+    groups = F.when(p.startswith("/legislation"), "legislation").when(p.startswith("/caselaw"), "caselaw").when(p.startswith("/mcp"), "mcp")
+    return groups.when(p.isin("/", "/api/docs", "/api/redoc"), "documentation").when(p == "/healthcheck", "health").otherwise("other")
 
 
-def usage_tier(calls) -> Column:
-    return F.when(_c(calls) >= 1000, "heavy").when(_c(calls) >= 100, "regular").otherwise("light")
+def usage_tier(calls, limit) -> Column:
+    """How much of a limit is used."""
+    share = _c(calls) * 100 / _c(limit)
+    return F.when(share >= 100, "exceeded").when(share >= 90, "high").when(share >= 70, "medium").when(share >= 50, "moderate").otherwise("low")
 
 
 def safe_name(query, most: int = 50) -> Column:
@@ -164,7 +238,7 @@ def safe_name(query, most: int = 50) -> Column:
 def cache_key(name: str, *arguments: str) -> Column:
     """SHA-256 of a name and its arguments in order of their names."""
     parts = [F.concat(F.lit(f'"{a}": '), F.to_json(F.struct(F.col(a))).substr(F.lit(len(a) + 5), F.length(F.to_json(F.struct(F.col(a)))) - len(a) - 5)) for a in sorted(arguments)]
-    return F.sha2(F.concat(F.lit(f"{name}:{{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
+    return F.sha2(F.concat(F.lit(f"api_cache:{name}:{{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
 
 
 _FIRST_OBJECT = re.compile(r"\s*")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from quillspark.shred.tree import Node, parse
 
 HEADER = "id string, uri string, title string, description string, enacted string, valid string, modified string, publisher string, category string, type string, year int, number int, status string, extent string, provisions int, has_body boolean, european boolean"
-PROVISION = "uri string, legislation_id string, title string, text string, extent string, provision_type string, number string, paragraphs array<struct<uri:string,text:string>>"
+PROVISION = "uri string, legislation_id string, title string, text string, extent string, provision_type string, number string, paragraphs array<struct<uri:string,text:string>>, commentary_refs array<string>"
 COMMENTARY = "legislation_id string, ref string, type string, text string, citation_id string, citation_uri string, citation_ref string, citation_type string"
 
 
@@ -136,6 +139,16 @@ def _paragraphs(node: Node, tag: str) -> list[dict]:
     return [{"uri": p.get("IdURI"), "text": _flat(p)} for p in node.walk(tag) if p.get("IdURI")]
 
 
+def _refs(node: Node) -> list[str]:
+    return [r.get("Ref") for r in node.walk("CommentaryRef") if r.get("Ref")]
+
+
+def with_commentaries(provisions: DataFrame, commentaries: DataFrame) -> DataFrame:
+    """A row for each commentary that a provision refers to."""
+    asked = provisions.select("uri", "legislation_id", F.explode("commentary_refs").alias("ref"))
+    return asked.join(commentaries, ["legislation_id", "ref"])
+
+
 def _number(uri: str, word: str) -> str:
     return uri.rpartition("/")[2].removeprefix(f"{word}-")
 
@@ -152,12 +165,12 @@ def provisions(text: str) -> list[dict]:
         group, part = p.above("P1group"), p.above("Part")
         title = group.nodes("Title") if group else []
         extent = p.get("RestrictExtent") or (part and part.get("RestrictExtent")) or root.get("RestrictExtent")
-        out.append({"uri": uri, "legislation_id": act, "title": _flat(title[0]) if title else "", "text": markdown(p), "extent": extent, "provision_type": "section", "number": _number(uri, "section"), "paragraphs": _paragraphs(p, "P2")})
+        out.append({"uri": uri, "legislation_id": act, "title": _flat(title[0]) if title else "", "text": markdown(p), "extent": extent, "provision_type": "section", "number": _number(uri, "section"), "paragraphs": _paragraphs(p, "P2"), "commentary_refs": _refs(p)})
     schedules = root.first("Schedules")
     for s in schedules.walk("Schedule") if schedules else ():
         uri, title = s.get("IdURI"), s.first("Title")
         if uri:
-            out.append({"uri": uri, "legislation_id": act, "title": _flat(title), "text": markdown(s) if title else "", "extent": s.get("RestrictExtent") or root.get("RestrictExtent"), "provision_type": "schedule", "number": _number(uri, "schedule"), "paragraphs": _paragraphs(s, "P1")})
+            out.append({"uri": uri, "legislation_id": act, "title": _flat(title), "text": markdown(s) if title else "", "extent": s.get("RestrictExtent") or root.get("RestrictExtent"), "provision_type": "schedule", "number": _number(uri, "schedule"), "paragraphs": _paragraphs(s, "P1"), "commentary_refs": _refs(s)})
     return out
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.functions.text import note_section, note_type
 from quillspark.shred.tree import Node
 
 CHANGE = "id string, changed_legislation string, changed_year int, changed_number string, changed_url string, changed_provision string, changed_provision_url string, affecting_legislation string, affecting_year int, affecting_number string, affecting_url string, affecting_provision string, affecting_provision_url string, type_of_effect string"
@@ -81,6 +85,14 @@ def _lines(text: str) -> str:
     return "\n".join(re.match(r"^\t*", x)[0] + x.strip() for x in text.split("\n") if x.strip())
 
 
+def note_records(rows: DataFrame, act: str = "legislation_id") -> DataFrame:
+    """Stored notes of the rows of ``notes`` with their act: key, type, and the provision that the innermost heading names."""
+    named = F.filter(F.transform(F.reverse("route"), note_section), lambda x: x["kind"].isNotNull())
+    found = F.get(named, F.lit(0))
+    key = F.concat(F.col(act), F.lit("_"), (F.col("order") + 1).cast("string"))
+    return rows.select(key.alias("id"), F.col(act).alias("legislation_id"), note_type("route").alias("note_type"), "route", found["kind"].alias("section_type"), found["number"].alias("section_number"), "order", "text")
+
+
 def notes(page: str, first: int = 0) -> list[dict]:
     """Texts under headings h2 to h6 of a page; the second level begins as Introduction."""
     route: list[str | None] = [None, "Introduction", None, None, None]
