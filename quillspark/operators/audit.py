@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,8 +58,24 @@ def lengths(rows: DataFrame, text: str) -> DataFrame:
 
 
 def latency(rows: DataFrame, name: str, value: str) -> DataFrame:
-    """Mean, median, ends and sample deviation (0 of one) by name."""
-    return rows.groupBy(name).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("deviation"))
+    """Mean, median, ends, sample deviation (0 of one) by name, and the rank by median.
+
+    The median is exact: values are counted first, and a running sum over the
+    counts finds the middle, so no group is held in memory.
+    """
+    v = F.col(value)
+    base = rows.groupBy(name).agg(F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias("deviation"), F.count(v).alias("__n"))
+    counts = rows.where(v.isNotNull()).groupBy(name, v.alias("__v")).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(name).orderBy("__v"))
+    placed = counts.withColumn("__upto", upto).join(base.select(name, "__n"), name)
+    low, high = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
+
+    def holds(place: Column) -> Column:
+        return F.max(F.when((F.col("__upto") >= place) & (F.col("__upto") - F.col("__c") < place), F.col("__v")))
+
+    middle = placed.groupBy(name).agg(F.round((holds(low) + holds(high)) / 2, 6).alias("median"))
+    out = base.join(middle, name, "left").drop("__n")
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("median"), name)).cast("long"))  # a row a name
 
 
 def changed_fields(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -80,8 +96,19 @@ def numbering_gaps(rows: DataFrame, key: str, number: str) -> DataFrame:
 
 
 def manifest(rows: DataFrame, collection: str, size: Column) -> DataFrame:
-    """Records and bytes of each collection and in total."""
-    return rows.groupBy(F.col(collection).alias("collection")).agg(F.count("*").alias("records"), F.sum(size).alias("bytes")).unionByName(rows.agg(F.count("*").alias("records"), F.sum(size).alias("bytes")).select(F.lit("total").alias("collection"), "records", "bytes"))
+    """Records and bytes of each collection and in total: the total sums the collections, not the rows again."""
+    each = rows.groupBy(F.col(collection).alias("collection")).agg(F.count("*").alias("records"), F.sum(size).alias("bytes"))
+    return each.unionByName(each.agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes")).select(F.lit("total").alias("collection"), "records", "bytes"))
+
+
+def changes_by_act(edges: DataFrame, acts: Column, changed: str = "changed_url", affecting: str = "affecting_url") -> DataFrame:
+    """``act, changed_by, affecting``: edges of each act in all spellings of its address; ``acts`` is an array of both normalised ends."""
+    ends = edges.select(F.posexplode(acts).alias("side", "act")).where("act is not null")
+    return ends.groupBy("act").agg(F.count_if(F.col("side") == 0).alias("changed_by"), F.count_if(F.col("side") == 1).alias("affecting"))
+
+
+def notes_by_act(notes: DataFrame, act: str = "legislation_id") -> DataFrame:
+    return notes.groupBy(act).agg(F.count("*").alias("notes"))
 
 
 def reference_totals(act_refs: str, paragraph_refs: str) -> Column:

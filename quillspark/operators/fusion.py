@@ -1,7 +1,7 @@
 """Fusion of ranked lists ``id, score``.
 
-Lists are candidates of a bounded number, so their statistics are one row each
-and the joins below move next to nothing.
+Lists are candidates of a bounded number that a top-k has put in one place, so
+their statistics are windows over them and no list is computed twice.
 """
 
 from __future__ import annotations
@@ -12,12 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _list():
+    """All rows of a candidate list."""
+    return Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _spread(scores: DataFrame) -> DataFrame:
     """Scores as places between mean - 3 sigma (0) and mean + 3 sigma (1); 0.5 where nothing spreads."""
-    stats = scores.agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("s"))
+    stats = scores.select("id", "score", F.avg("score").over(_list()).alias("m"), F.stddev_samp("score").over(_list()).alias("s"))
     place = (F.col("score") - (F.col("m") - 3 * F.col("s"))) / (6 * F.col("s"))
     fit = F.when(F.coalesce(F.col("s"), F.lit(0.0)) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), place))).otherwise(0.5)
-    return scores.join(F.broadcast(stats)).select("id", fit.alias("score"))
+    return stats.select("id", fit.alias("score"))
 
 
 def _sum(lists: list[DataFrame]) -> DataFrame:
@@ -45,8 +50,8 @@ def top(scores: DataFrame, n: int, offset: int = 0) -> DataFrame:
 
 def by_max(scores: DataFrame) -> DataFrame:
     """Scores as shares of the highest; of 1 where that is not above 0."""
-    high = scores.agg(F.max("score").alias("high"))
-    return scores.join(F.broadcast(high)).select("id", (F.col("score") / F.when(F.col("high") > 0, F.col("high")).otherwise(1.0)).alias("score"))
+    high = F.max("score").over(_list())
+    return scores.select("id", (F.col("score") / F.when(high > 0, high).otherwise(1.0)).alias("score"))
 
 
 def percent(score: Column) -> Column:

@@ -72,6 +72,16 @@ def ingest_flow(raw: DataFrame, fallback: DataFrame, key: str, text: str, least:
     return good.withColumn("origin", F.lit("xml")).unionByName(fallback.join(poor.select(key), key, "left_semi").withColumn("origin", F.lit("fallback")))
 
 
+def outcome(error: Column, terminal: Column) -> Column:
+    """Status of a document: a terminal failure is recorded as failed and marked, so that it is not tried again by hand."""
+    return F.struct(F.when(error.isNull(), "success").otherwise("failure").alias("status"), (error.isNotNull() & F.coalesce(terminal, F.lit(False))).alias("terminal"))
+
+
+def first_documents(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n documents over all years and types: every task keeps its own n."""
+    return rows.orderBy(*order).limit(n)
+
+
 def modes(years: list[int], mode: str, this_year: int) -> list[int]:
     """Years of a daily or a full run, or those given."""
     return {"daily": [this_year, this_year - 1], "full": list(range(1963, this_year + 1))}.get(mode, sorted(set(years)))

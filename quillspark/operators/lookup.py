@@ -50,9 +50,20 @@ def full_text(provisions: DataFrame, *, most: int = MOST_PROVISIONS, act_col: st
     return out.withColumn("full_text", F.when(F.trim("full_text") == "", NO_TEXT).otherwise(F.col("full_text")))
 
 
-def edges_of(edges: DataFrame, act, made: bool = False, n: int = 100, *, changed: str = "changed_url", affecting: str = "affecting_url", id_col: str = "id") -> DataFrame:
-    """Amendments to an act, or those that it made."""
-    return page_by_key(edges.where(F.col(affecting if made else changed) == act), n, id_col)
+def edges_of(edges: DataFrame, act, made: bool = False, n: int | None = 100, *, changed: str = "changed_url", affecting: str = "affecting_url", id_col: str = "id") -> DataFrame:
+    """Amendments to an act or provision, or those that it made: the first n in key order, or all without an order."""
+    found = edges.where(F.col(affecting if made else changed) == act)
+    return found if n is None else page_by_key(found, n, id_col)
+
+
+def citing_edges(edges: DataFrame, reference, key: str, references: str) -> DataFrame:
+    """Keys whose references, an edge a row, hold one value: the filter reaches the scan."""
+    return edges.where(F.col(references) == reference).select(key).distinct()
+
+
+def without(rows: DataFrame, *columns: str) -> DataFrame:
+    """All columns but some."""
+    return rows.drop(*columns)
 
 
 def citing(rows: DataFrame, reference, references: str) -> DataFrame:

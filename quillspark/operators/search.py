@@ -83,9 +83,8 @@ def case_search(cases: DataFrame, text: str, vector: Sequence[float] | None, siz
     """Judgments, their sections or their summaries by reciprocal rank; ``on_page`` and ``total`` count the page and all that pass the filter."""
     where = filters.cases(**request)
     page = hybrid(cases, text, vector, size, offset=offset, where=where, how="rrf", id_col=id_col, text_col=text_col, vector_col=vector_col, vectors_of=vectors_of)
-    counts = cases.where(where).agg(F.count("*").alias("total"))
-    here = page.agg(F.count("*").alias("on_page"))
-    return page.join(F.broadcast(here)).join(F.broadcast(counts))
+    counts = cases.where(where).agg(F.count("*").alias("total"))  # of the filter's columns only
+    return page.withColumn("on_page", F.count("*").over(Window.partitionBy())).join(F.broadcast(counts))
 
 
 def note_search(notes: DataFrame, text: str, vector: Sequence[float] | None, size: int = 20, **request) -> DataFrame:
@@ -99,6 +98,12 @@ def bulk_search(rows: DataFrame, text: str, vector: Sequence[float] | None, size
     return fusion.by_max(found).select("id", fusion.percent(F.col("score")).alias("score"))
 
 
+def in_order(results: DataFrame, how: str, *, year: str = "year", title: str = "title") -> DataFrame:
+    """Results by date or title (in the order of a dictionary); anything else leaves them as they rank."""
+    orders = {"date-desc": [F.desc(year)], "date-asc": [F.asc(year)], "title-asc": [F.asc(F.collate(title, "UNICODE"))], "title-desc": [F.desc(F.collate(title, "UNICODE"))]}
+    return results.orderBy(*orders[how]) if how in orders else results
+
+
 def act_lookup(acts: DataFrame, kind: str, year: int, number: int) -> DataFrame:
     """The act of a type, year and number; nothing for a year or number that can't be."""
     valid = filters.valid_lookup(F.lit(year), F.lit(number))

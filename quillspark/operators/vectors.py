@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,25 +73,37 @@ def term_weights(text: str, k1: float = K1, b: float = B, average: float = AVERA
     return {w: (n := found.count(w)) * (k1 + 1) / (n + k1 * (1 - b + b * len(found) / average)) for w in dict.fromkeys(found)}
 
 
-def sparse_scores(rows: DataFrame, query: str, *, id_col: str = "id", text_col: str = "text", where: Column | None = None, k1: float = K1, b: float = B, average: float = AVERAGE) -> DataFrame:
-    """``id, score`` of rows that hold a word of the query: no shuffle, each text is read once."""
-    rows = rows if where is None else rows.where(where)
+def _scored(rows: DataFrame, query: str, id_col: str, text_col: str, k1: float, b: float, average: float, keep: Sequence[str]) -> DataFrame:
+    """``id, score, keep``: 0 for rows without a word of the query that hold its letters somewhere.
+
+    The words of a text are set apart by two spaces once, as generated code; a
+    word is then counted by what the text loses when it is taken out.
+    """
     terms = term_weights(query, k1, b, average)
-    tokens = rows.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    counted = tokens.select("id", F.size("w").alias("n"), *(F.size(F.filter("w", _is(t))).alias(f"tf{k}") for k, t in enumerate(terms)))
-    parts = [F.lit(weight) * F.col(f"tf{k}") * (k1 + 1) / (F.col(f"tf{k}") + k1 * (1 - b + b * F.col("n") / average)) for k, weight in enumerate(terms.values())]
-    if not parts:
-        return counted.select("id", F.lit(0.0).alias("score")).where("false")
-    hits = sum((F.col(f"tf{k}") for k in range(1, len(parts))), F.col("tf0"))
-    return counted.where(hits > 0).select("id", sum(parts[1:], parts[0]).alias("score"))
+    low = F.lower(text_col)
+    held = reduce(lambda x, y: x | y, (F.contains(low, F.lit(t)) for t in terms), F.lit(False))
+    apart = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, _BREAK, "  ")), F.lit(" "))
+    size = F.length(apart)
+    n = (size - F.length(F.replace(apart, F.lit("  "), F.lit("")))) / 2 + 1  # rows with none hold no term either
+
+    def part(term: str, weight: float) -> Column:
+        tf = (size - F.length(F.replace(apart, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)
+        return F.lit(weight) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / average))
 
+    parts = [part(t, w) for t, w in terms.items()]
+    score = sum(parts[1:], parts[0]) if parts else F.lit(0.0)
+    return rows.where(held).select(F.col(id_col).alias("id"), score.alias("score"), *keep)
 
-def _is(term: str):
-    return lambda x: x == term
 
+def sparse_scores(rows: DataFrame, query: str, *, id_col: str = "id", text_col: str = "text", where: Column | None = None, k1: float = K1, b: float = B, average: float = AVERAGE, keep: Sequence[str] = ()) -> DataFrame:
+    """``id, score`` of rows that hold a word of the query: no shuffle."""
+    return _scored(rows if where is None else rows.where(where), query, id_col, text_col, k1, b, average, keep).where("score > 0")
 
-def sparse_top_k(rows: DataFrame, query: str, k: int, *, offset: int = 0, **how) -> DataFrame:
-    return sparse_scores(rows, query, **how).orderBy(F.desc("score"), "id").offset(offset).limit(k)
+
+def sparse_top_k(rows: DataFrame, query: str, k: int, *, offset: int = 0, id_col: str = "id", text_col: str = "text", where: Column | None = None, k1: float = K1, b: float = B, average: float = AVERAGE, keep: Sequence[str] = ()) -> DataFrame:
+    """The k best of ``sparse_scores``; rows without a word go after the cut, so that the text is worked on once."""
+    scored = _scored(rows if where is None else rows.where(where), query, id_col, text_col, k1, b, average, keep)
+    return scored.orderBy(F.desc("score"), "id").offset(offset).limit(k).where("score > 0")
 
 
 def index_top_k(weights: DataFrame, query: str, k: int, **how) -> DataFrame:
@@ -113,6 +126,16 @@ def quantise(rows: DataFrame, *, id_col: str = "id", vector_col: str = "dense",
     return rows.join(F.broadcast(bound)).select(F.col(id_col).alias("id"), F.transform(vector_col, cut).alias("q"), step.alias("step"))
 
 
+def rescored_top_k(rows: DataFrame, query: Sequence[float], k: int, *, times: int = 4, id_col: str = "id", vector_col: str = "dense", quantile: float = 0.99) -> DataFrame:
+    """Candidates by int8 products (``times`` as many as asked for), the best of them by exact cosine."""
+    coded = quantise(rows, id_col=id_col, vector_col=vector_col, quantile=quantile)
+    product = F.aggregate(F.zip_with("q", literal(query), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    length = F.aggregate("q", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    rough = F.when(length > 0, product / F.sqrt(length)).otherwise(0.0)
+    chosen = coded.select("id", rough.alias("rough")).orderBy(F.desc("rough"), "id").limit(k * times)
+    return dense_top_k(rows.join(F.broadcast(chosen.select(F.col("id").alias(id_col))), id_col, "left_semi"), query, k, id_col=id_col, vector_col=vector_col)
+
+
 def embedding_or_zero(vector: Column, dimensions: int) -> Column:
     """A failed embedding is the zero vector."""
     return F.coalesce(vector, F.array_repeat(F.lit(0.0), dimensions).cast("array<float>"))

@@ -142,6 +142,70 @@ def title_search(spark, d):
     return _rounded(search.title_search(acts, TEXT, None, 15, category="primary", first=1990))
 
 
+# the same searches with a vector, over documents that have one
+_BOTH = "(SELECT d.*, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
+
+
+def both(spark, d) -> DataFrame:
+    return docs(spark, d).join(embedded(spark, d).drop("label"), "id")
+
+
+def _lists(where: str, dense: int, sparse: int) -> str:
+    near = f"SELECT doc_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS score FROM {_BOTH} WHERE {where}"
+    return f"a AS ({_top(near, dense)}), b AS ({_top(_sparse(_BOTH, where=where), sparse)})"
+
+
+_BY_SPREAD = f"SELECT id, sum(score) AS score FROM ({_SPREAD.format('a')} UNION ALL {_SPREAD.format('b')}) GROUP BY id"
+_BY_RANK = "SELECT id, sum(score) AS score FROM (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS score FROM a UNION ALL SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM b) GROUP BY id"
+
+
+def _page(fused: str, size: int, offset: int = 0) -> str:
+    return f"SELECT id, score FROM ({fused}) ORDER BY score DESC, id LIMIT {size} OFFSET {offset}"
+
+
+@query(f"WITH {_lists(chr(34) + 'lang' + chr(34) + ' IN ' + str(('en', 'fr')) + ' AND n_chars >= 300', 45, 12)} SELECT id, round(score, 6) AS score FROM ({_page(_BY_SPREAD, 10, 5)})")
+def section_search_fused(spark, d):
+    return _rounded(search.section_search(both(spark, d), TEXT, asked(spark, d), 10, 5, types=["en", "fr"], first=300, type_column="lang", year_column="n_chars"))
+
+
+@query(f"WITH {_lists('true', 45, 12)}, c AS ({_page(_BY_SPREAD, 15)}) SELECT id, round(score / (SELECT CASE WHEN max(score) > 0 THEN max(score) ELSE 1 END FROM c), 6) AS score FROM c")
+def title_search_fused(spark, d):
+    acts = both(spark, d).withColumns({"type": F.lit("ukpga"), "year": F.lit(2000)})
+    return _rounded(search.title_search(acts, TEXT, asked(spark, d), 15, category="primary", first=1990))
+
+
+_FRENCH = "lang IN ('fr', 'de')"
+
+
+@query(f"WITH {_lists(_FRENCH, 15, 15)} SELECT id, round(score, 6) AS score, (SELECT count(*) FROM {_BOTH} WHERE {_FRENCH}) AS total, count(*) OVER () AS on_page FROM ({_page(_BY_RANK, 12, 3)})")
+def case_search_fused(spark, d):
+    return _rounded(search.case_search(both(spark, d), TEXT, asked(spark, d), 12, 3, courts=["fr", "de"], court_column="lang"))
+
+
+@query(f"WITH {_lists('n_chars >= 500', 20, 20)} SELECT id, round(score, 6) AS score, (SELECT count(*) FROM {_BOTH} WHERE n_chars >= 500) AS total, count(*) OVER () AS on_page FROM ({_page(_BY_RANK, 20)})")
+def summary_search(spark, d):
+    return _rounded(search.case_search(both(spark, d), TEXT, asked(spark, d), first=500, year_column="n_chars"))
+
+
+_SOURCES = "source IN ('src1', 'src2', 'src3')"
+
+
+@query(f"WITH {_lists(_SOURCES, 10, 10)} SELECT id, round(score, 6) AS score, (SELECT count(*) FROM {_BOTH} WHERE {_SOURCES}) AS total, count(*) OVER () AS on_page FROM ({_page(_BY_RANK, 10)})")
+def case_section_search(spark, d):
+    return _rounded(search.case_search(both(spark, d), TEXT, asked(spark, d), 10, divisions=["src1", "src2", "src3"], division_column="source"))
+
+
+@query(f"WITH {_lists(_FRENCH + ' AND ' + _SOURCES, 9, 9)} SELECT id, round(score, 6) AS score FROM ({_page(_BY_RANK, 9)})")
+def note_search(spark, d):
+    notes = both(spark, d).withColumnsRenamed({"lang": "note_type", "source": "section_type"}).withColumn("legislation_id", F.lit("x"))
+    return _rounded(search.note_search(notes, TEXT, asked(spark, d), 9, act="x", note_types=["fr", "de"], section_types=["src1", "src2", "src3"]))
+
+
+@query(f"WITH {_lists('n_chars >= 700', 90, 24)}, c AS ({_page(_BY_SPREAD, 30)}) SELECT id, round(100 * score / (SELECT CASE WHEN max(score) > 0 THEN max(score) ELSE 1 END FROM c), 2) AS score FROM c")
+def bulk_search_fused(spark, d):
+    return search.bulk_search(both(spark, d), TEXT, asked(spark, d), 30, first=700, year_column="n_chars")
+
+
 @query(f"WITH a AS ({_top(_DENSE, 30)}) SELECT id, round(score / (SELECT CASE WHEN max(score) > 0 THEN max(score) ELSE 1 END FROM a), 6) AS score FROM a")
 def normalised_by_max(spark, d):
     return _rounded(fusion.by_max(vectors.dense_top_k(embedded(spark, d), asked(spark, d), 30)))
@@ -161,8 +225,8 @@ def quantised_vectors(spark, d):
 
 def _pool(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     x = docs(spark, d)
-    found = vectors.sparse_top_k(x, TEXT, search.POOL)
-    sections = x.select("id", F.col("source").alias("act"), F.col("id").alias("number"), F.lit("section").alias("kind"), F.concat(F.lit("part of "), "source").alias("title"), "lang", (F.col("n_chars") % 100).alias("year")).join(found, "id").withColumnRenamed("lang", "type")
+    found = vectors.sparse_top_k(x, TEXT, search.POOL, keep=["source", "lang", "n_chars"])  # the texts are read once, for what a hit shows too
+    sections = found.select("id", "score", F.col("source").alias("act"), F.col("id").alias("number"), F.lit("section").alias("kind"), F.concat(F.lit("part of "), "source").alias("title"), F.col("lang").alias("type"), (F.col("n_chars") % 100).alias("year"))
     items = t(spark, d, "benchmark").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("id"), "text")
     titles = fusion.by_max(vectors.sparse_top_k(items, TEXT, search.TITLES))
     acts = x.where("source <> 'src3'").groupBy("source").agg(F.min("lang").alias("type"), F.count("*").alias("year")).select(F.col("source").alias("id"), F.concat(F.lit("Act "), "source").alias("title"), "type", "year")
@@ -241,9 +305,25 @@ def summary_eligible(spark, d):
     return t(spark, d, "documents").where(good).select("doc_id", text.alias("text"), cut.alias("cut"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ste') OR contains(lower(p_type), 'ste') OR contains(p_size::VARCHAR, 'ste')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ing') OR contains(lower(p_type), 'ing') OR contains(p_size::VARCHAR, 'ing')")
 def filter_mentions(spark, d):
-    return t(spark, d, "part").where(filters.mentions("ste", "p_name", "p_type", "p_size")).select("p_partkey", "p_name")
+    return t(spark, d, "part").where(filters.mentions("ING", "p_name", "p_type", "p_size")).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey FROM part")
+def filter_of_short_queries(spark, d):
+    return t(spark, d, "part").where(filters.mentions("zz", "p_name")).select("p_partkey")
+
+
+@query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) FILTER (length(text) > 200) > 0")
+def filter_present_arrays(spark, d):
+    x = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.when(F.length("text") > 200, F.col("turn"))).alias("long"))
+    return x.where(filters.present("long", array=True)).select("conv_id")
+
+
+@query("SELECT * EXCLUDE (text, n_chars) FROM documents")
+def columns_left_out(spark, d):
+    return lookup.without(t(spark, d, "documents"), "text", "n_chars")
 
 
 @query("SELECT page_id, url FROM pages WHERE NOT contains(url, '/0000')")
@@ -306,20 +386,53 @@ def missing_parents(spark, d):
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING list_contains(list(l_suppkey), 3)")
 def citing_cases(spark, d):
-    x = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("refs"))
-    return lookup.citing(x, F.lit(3).cast("long"), "refs").select("l_orderkey")
+    return lookup.citing_edges(t(spark, d, "lineitem"), 3, "l_orderkey", "l_suppkey")
+
+
+@query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING list_contains(list(turn), 3)")
+def citing_by_array(spark, d):
+    x = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("turn").alias("refs"))
+    return lookup.citing(x, F.lit(3).cast("long"), "refs").select("conv_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_partkey = 11")
 def amendments_to(spark, d):
-    x = t(spark, d, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return lookup.edges_of(x, 11, n=1_000_000, changed="l_partkey", affecting="l_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return lookup.edges_of(t(spark, d, "lineitem"), 11, n=None, changed="l_partkey", affecting="l_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_suppkey = 7")
 def amendments_made_by(spark, d):
-    x = t(spark, d, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return lookup.edges_of(x, 7, True, 1_000_000, changed="l_partkey", affecting="l_suppkey").select("l_orderkey", "l_linenumber", "l_partkey")
+    return lookup.edges_of(t(spark, d, "lineitem"), 7, True, None, changed="l_partkey", affecting="l_suppkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def _provision_edges(spark, d) -> DataFrame:
+    """Edges between provisions: order and line on one side, part and supplier on the other."""
+    x = t(spark, d, "lineitem")
+    return x.select("l_orderkey", "l_linenumber", F.concat(F.lit("part/"), (F.col("l_partkey") % 100).cast("string")).alias("changed_provision_url"), F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string")).alias("affecting_provision_url"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 100 = 11")
+def amendments_to_provision(spark, d):
+    return lookup.edges_of(_provision_edges(spark, d), "part/11", n=None, changed="changed_provision_url", affecting="affecting_provision_url").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey = 7")
+def amendments_made_by_provision(spark, d):
+    return lookup.edges_of(_provision_edges(spark, d), "supplier/7", True, None, changed="changed_provision_url", affecting="affecting_provision_url").select("l_orderkey", "l_linenumber")
+
+
+@query("""WITH e AS (SELECT l_partkey % 40 AS a, 0 AS side FROM lineitem UNION ALL SELECT l_suppkey % 40, 1 FROM lineitem)
+SELECT 'http://www.legislation.gov.uk/id/ukpga/2000/' || a AS act, count(*) FILTER (side = 0) AS changed_by, count(*) FILTER (side = 1) AS affecting FROM e GROUP BY a""")
+def amendments_by_act(spark, d):
+    tail = {c: F.concat(F.lit("ukpga/2000/"), (F.col(c) % 40).cast("string")) for c in ("l_partkey", "l_suppkey")}
+    sites = F.array(*(F.lit(f"{s}://www.legislation.gov.uk/{i}") for s in ("http", "https") for i in ("id/", "")))
+    url = {c: F.concat(F.element_at(sites, (F.col("l_linenumber") % 4 + 1).cast("int")), tail[c]) for c in tail}  # all four spellings
+    return audit.changes_by_act(t(spark, d, "lineitem"), F.array(*(U.normalise_uri(u) for u in url.values())))
+
+
+@query("SELECT conv_id, count(*) AS notes FROM conversations GROUP BY 1")
+def notes_by_act(spark, d):
+    return audit.notes_by_act(t(spark, d, "conversations"), "conv_id")
 
 
 _CHANGE = "SELECT l_partkey, max(year(l_shipdate))::INT AS last_change FROM lineitem WHERE l_partkey IS NOT NULL AND year(l_shipdate) > 0 GROUP BY 1"
@@ -367,6 +480,13 @@ def year_histogram(spark, d):
     return audit.histogram(t(spark, d, "orders"), F.year("o_orderdate"), [1996, 1998, 2000], "o_orderstatus", ["F", "O"])
 
 
+@query("""SELECT CASE WHEN y IS NULL THEN NULL WHEN y < 1996 THEN 'before 1996' WHEN y < 1998 THEN '1996-1997' ELSE '1998+' END AS period, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS n_F
+FROM (SELECT *, CASE WHEN o_orderkey % 7 > 0 THEN year(o_orderdate) END AS y FROM orders) GROUP BY 1""")
+def year_histogram_with_unknown(spark, d):
+    x = t(spark, d, "orders").withColumn("y", F.when(F.col("o_orderkey") % 7 > 0, F.year("o_orderdate")))
+    return audit.histogram(x, F.col("y"), [1996, 1998], "o_orderstatus", ["F"])
+
+
 @query("SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1 FROM documents GROUP BY lang HAVING count(*) > 0")
 def counts_by_key_types(spark, d):
     return t(spark, d, "documents").groupBy("lang").pivot("source", ["src0", "src1"]).count().na.fill(0)
@@ -404,7 +524,7 @@ def text_lengths(spark, d):
     return audit.lengths(t(spark, d, "documents"), "text").select(F.col("shortest").cast("long"), F.col("longest").cast("long"), "mean")
 
 
-@query("SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS least, max(value) AS most, round(coalesce(stddev_samp(value), 0), 6) AS deviation FROM events GROUP BY 1")
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS least, max(value) AS most, round(coalesce(stddev_samp(value), 0), 6) AS deviation, row_number() OVER (ORDER BY median(value), event_type) AS rank FROM events GROUP BY 1")
 def latency_stats(spark, d):
     return audit.latency(t(spark, d, "events"), "event_type", "value")
 
@@ -522,6 +642,17 @@ def top_with_offset(spark, d):
     return t(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").offset(10).limit(20)
 
 
+@query("SELECT p_partkey, p_name || ' ' || p_partkey AS title FROM part ORDER BY title LIMIT 25")
+def titles_in_order(spark, d):
+    x = t(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("title"))
+    return search.in_order(x, "title-asc").limit(25)
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY lang, source, doc_id LIMIT 60")
+def first_documents(spark, d):
+    return ingest.first_documents(t(spark, d, "documents"), 60, "lang", "source", "doc_id").select("doc_id", "lang")
+
+
 @query("SELECT l_orderkey, list_sort(list_distinct(list_concat(list(l_partkey % 5), list(l_suppkey % 7))))::VARCHAR AS refs FROM lineitem GROUP BY 1")
 def union_of_references(spark, d):
     x = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 5).alias("a"), F.collect_set(F.col("l_suppkey") % 7).alias("b"))
@@ -671,6 +802,52 @@ def note_kinds(spark, d):
     return t(spark, d, "nation").select("n_nationkey", T.note_type(pick).alias("kind"))
 
 
+@query("SELECT doc_id, sha256('api_cache:search:{\"lang\": \"' || lang || '\", \"n_chars\": ' || n_chars || '}') AS k FROM documents")
+def cache_keys(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.cache_key("search", "n_chars", "lang").alias("k"))
+
+
+@query("SELECT doc_id AS id, length(trim(text)) > 0 AS kept, substring(text, 1, 30000) AS text FROM documents")
+def embedding_inputs(spark, d):
+    """What goes to the model: whole texts of 30,000 letters at most, and none that is empty."""
+    return docs(spark, d).select("id", F.coalesce(filters.enough_text("text", 1), F.lit(False)).alias("kept"), vectors.dense_input(F.col("text")).alias("text"))
+
+
+@query("SELECT vec_id AS id, CASE WHEN label = 3 THEN 0.0 ELSE round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) END AS score FROM embeddings")
+def failed_embeddings(spark, d):
+    """Vectors that failed are zeros, and score 0."""
+    x = embedded(spark, d).withColumn("dense", vectors.embedding_or_zero(F.when(F.col("label") != 3, F.col("dense")), 64))
+    return _rounded(vectors.dense_top_k(x, asked(spark, d), 1 << 30))
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7), b AS (SELECT max(abs(x)) / 127 AS step FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings)),
+ c AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: round(x::DOUBLE / step)) AS z FROM embeddings, b),
+ r AS (SELECT vec_id, embedding FROM c, q ORDER BY list_inner_product(z, v) / sqrt(list_inner_product(z, z)) DESC, vec_id LIMIT 80)
+SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM r, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id LIMIT 20""")
+def rescored_top_k(spark, d):
+    return _rounded(vectors.rescored_top_k(embedded(spark, d), asked(spark, d), 20, quantile=1.0))
+
+
+@query("SELECT doc_id || '-summary' AS id, doc_id::VARCHAR AS caselaw_id, left(text, 40) AS text, length(text) AS source_text_length, false AS source_text_truncated FROM documents WHERE length(text) >= 500 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def summaries_made(spark, d):
+    """Judgments without a summary get one from a stub model."""
+    from quillspark.operators.models import summaries
+
+    cases = docs(spark, d).withColumn("id", F.col("id").cast("string")).select("id", "text")
+    made = t(spark, d, "labels").where("quality = 1").select(F.concat(F.col("doc_id").cast("string"), F.lit("-summary")).alias("id"))
+    out = summaries(cases, made, lambda text: text[:40], "stub")
+    return out.select("id", "caselaw_id", "text", "source_text_length", "source_text_truncated")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate::DATE < DATE '1998-06-01' - INTERVAL 28 DAY")
+def archives_past_retention(spark, d):
+    from datetime import date
+
+    from quillspark.sources.sinks import expired
+
+    return expired(t(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")), "day", date(1998, 6, 1)).select("o_orderkey")
+
+
 @query("SELECT doc_id, sha256(text) AS h, (upper(left(lang, 1)) || substr(lang, 2)) AS name FROM documents")
 def digests_and_names(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.initcap("lang").alias("name"))
@@ -681,18 +858,24 @@ def json_fields(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' WHEN m < 10080 THEN (m // 1440) || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS age FROM (SELECT event_id, ts, datesub('minute', ts, (SELECT max(ts) FROM events)) AS m FROM events)")
+@query("SELECT event_id, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' WHEN m < 10080 THEN (m // 1440) || 'd ago' WHEN m < 43200 THEN (m // 10080) || 'w ago' WHEN m < 527040 THEN strftime(ts, '%-d %b') ELSE strftime(ts, '%-d %b %Y') END AS age FROM (SELECT event_id, ts, datesub('minute', ts, (SELECT max(ts) FROM events)) AS m FROM events)")
 def relative_times(spark, d):
     x = t(spark, d, "events")
     now = x.agg(F.max("ts").alias("now"))
     return x.join(F.broadcast(now)).select("event_id", T.relative_time("ts", "now").alias("age"))
 
 
-@query("SELECT user_id, '10.0.' || user_id % 256 || '.0' AS ip, '10.0.' || user_id % 256 || '.7' AS client, CASE WHEN count(*) >= 1000 THEN 'heavy' WHEN count(*) >= 100 THEN 'regular' ELSE 'light' END AS tier FROM events GROUP BY user_id")
+@query("SELECT o_orderkey, CASE WHEN days < 30 THEN (days // 7) || 'w ago' WHEN days <= 365 THEN strftime(o_orderdate, '%-d %b') ELSE strftime(o_orderdate, '%-d %b %Y') END AS age FROM (SELECT *, datesub('minute', o_orderdate, TIMESTAMP '2030-01-01') // 1440 AS days FROM orders) WHERE days >= 7")
+def relative_dates(spark, d):
+    x = t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts"), F.lit("2030-01-01 00:00:00").cast("timestamp").alias("now"))
+    return x.where(F.timestamp_diff("MINUTE", "ts", "now") >= 7 * 1440).select("o_orderkey", T.relative_time("ts", "now").alias("age"))
+
+
+@query("SELECT user_id, '10.0.' || user_id % 256 || '.xxx' AS ip, '10.0.' || user_id % 256 || '.7' AS client, CASE WHEN count(*) >= 80 THEN 'exceeded' WHEN count(*) >= 72 THEN 'high' WHEN count(*) >= 56 THEN 'medium' WHEN count(*) >= 40 THEN 'moderate' ELSE 'low' END AS tier FROM events GROUP BY user_id")
 def monitoring_labels(spark, d):
     x = t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
     ip = F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".7"))
-    return x.select("user_id", T.anonymous_ip(ip).alias("ip"), T.client_ip(F.concat(F.lit("1.2.3.4, "), ip), F.lit("9.9.9.9")).alias("client"), T.usage_tier("n").alias("tier"))
+    return x.select("user_id", T.anonymous_ip(ip).alias("ip"), T.client_ip(F.concat(F.lit("1.2.3.4, "), ip), F.lit("9.9.9.9")).alias("client"), T.usage_tier("n", F.lit(80)).alias("tier"))
 
 
 @query("SELECT doc_id, left(regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g'), 50) AS name FROM documents")
@@ -700,10 +883,10 @@ def safe_names(spark, d):
     return t(spark, d, "documents").select("doc_id", T.safe_name("text").alias("name"))
 
 
-@query("SELECT p_partkey, p_name || ' ' || p_size AS oscola, '[' || p_name || '](u/' || p_partkey || ')' AS markdown, p_name || ' (' || p_size || ') u/' || p_partkey AS plain FROM part")
+@query("SELECT p_partkey, p_name || ', ' || c AS oscola, p_name || ', ' || c || ' (UK)' AS bluebook, '[' || p_name || '](u/' || p_partkey || ') (' || c || ')' AS markdown, p_name || ' (' || c || ')' AS plain FROM (SELECT *, upper(p_type) || ' ' || p_size || '/' || p_partkey AS c FROM part)")
 def citations(spark, d):
     url = F.concat(F.lit("u/"), F.col("p_partkey").cast("string"))
-    return t(spark, d, "part").select("p_partkey", *(T.citation(s, "p_name", "p_size", "p_partkey", url).alias(s) for s in ("oscola", "markdown", "plain")))
+    return t(spark, d, "part").select("p_partkey", *(T.citation(s, "p_name", F.lower("p_type"), "p_size", "p_partkey", url).alias(s) for s in ("oscola", "bluebook", "markdown", "plain")))
 
 
 @query("SELECT doc_id, regexp_extract(text, '\\b(1[2-9]\\d\\d|20[0-2]\\d)\\b') AS first_year, len(regexp_extract_all(text, '[0-9]{4}'))::INT AS n FROM documents")
@@ -745,13 +928,14 @@ def category_sizes(spark, d):
 # --- shredders --------------------------------------------------------------
 
 
-@query("SELECT doc_id, 'Housing Act ' || (1900 + doc_id % 100) AS act, (doc_id % 50 + 1)::VARCHAR AS section FROM documents")
+@query("SELECT doc_id, 'Housing Act ' || (1900 + doc_id % 100) AS act, (doc_id % 50 + 1)::VARCHAR AS section FROM documents WHERE text IS NOT NULL")
 def references_in_text(spark, d):
     from quillspark import shred
     from quillspark.shred import references
 
     n = F.col("doc_id")
-    text = F.concat(F.lit("as required under section "), (n % 50 + 1).cast("string"), F.lit("(2) of the Housing Act "), (n % 100 + 1900).cast("string"), F.lit(", and no other."))
+    # whole texts, with a reference at their end
+    text = F.concat("text", F.lit("\nas required under section "), (n % 50 + 1).cast("string"), F.lit("(2) of the Housing Act "), (n % 100 + 1900).cast("string"), F.lit(", and no other."))
     good, _ = shred.rows(t(spark, d, "documents").select("doc_id", text.alias("x")), references.find, references.REFERENCE, "x", "doc_id")
     return good
 
@@ -765,31 +949,52 @@ def regnal_years_of_damaged_citations(spark, d):
     return t(spark, d, "documents").select("doc_id", year_of(cited).alias("year"))
 
 
-@query("SELECT page_id, 'u/' || page_id || '/section/' || s AS uri, s::VARCHAR AS number, chr(10) || s || ') Words of ' || page_id || '. ' AS text FROM (SELECT page_id, unnest([1, 2]) AS s FROM pages)")
+@query("SELECT doc_id, 'u/' || doc_id || '/section/' || s AS uri, s::VARCHAR AS number, s || ') ' || trim(text, ' ' || chr(10) || chr(9)) || ' ' AS text FROM (SELECT doc_id, text, unnest([1, 2]) AS s FROM documents) WHERE length(trim(text, ' ' || chr(10) || chr(9))) > 0")
 def provisions_of_acts(spark, d):
+    """Whole texts as the words of two sections each."""
     from quillspark import shred
     from quillspark.shred import clml
 
-    i = F.col("page_id").cast("string")
-    one = [F.concat(F.lit('<P1 IdURI="u/'), i, F.lit(f'/section/{s}"><Pnumber>{s}</Pnumber><P1para><Text>Words of '), i, F.lit(".</Text></P1para></P1>")) for s in (1, 2)]
+    i = F.col("doc_id").cast("string")
+    words = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    one = [F.concat(F.lit('<P1 IdURI="u/'), i, F.lit(f'/section/{s}"><Pnumber>{s}</Pnumber><P1para><Text>'), words, F.lit("</Text></P1para></P1>")) for s in (1, 2)]
     xml = F.concat(F.lit('<Legislation xmlns="urn:x"><Body>'), *one, F.lit("</Body></Legislation>"))
-    good, _ = shred.rows(t(spark, d, "pages").select("page_id", xml.alias("x")), clml.provisions, clml.PROVISION, "x", "page_id")
-    return good.select("page_id", "uri", "number", F.concat(F.lit("\n"), "text").alias("text"))
+    good, _ = shred.rows(t(spark, d, "documents").where(F.trim(F.translate("text", "\n\t", "  ")) != "").select("doc_id", xml.alias("x")), clml.provisions, clml.PROVISION, "x", "doc_id")
+    return good.select("doc_id", "uri", "number", "text")
 
 
-@query("SELECT page_id, 'Commentary' AS route, 'Text ' || page_id AS text, 0::INT AS position FROM pages")
+@query("SELECT page_id, 'Commentary' AS route, 'Text ' || page_id AS text, 0::INT AS position FROM pages WHERE contains(html, '</body>')")
 def notes_of_pages(spark, d):
+    """Whole pages, with a note at their end."""
     from quillspark import shred
     from quillspark.shred import pages
 
-    page = F.concat(F.lit("<body><h2>Commentary</h2><p>Text "), F.col("page_id").cast("string"), F.lit("</p></body>"))
+    note = F.concat(F.lit("<h2>Commentary</h2><p>Text "), F.col("page_id").cast("string"), F.lit("</p></body>"))
+    page = F.replace("html", F.lit("</body>"), note)
     good, _ = shred.rows(t(spark, d, "pages").select("page_id", page.alias("x")), pages.notes, pages.NOTE, "x", "page_id")
     return good.select("page_id", F.array_join("route", "/").alias("route"), "text", F.col("order").alias("position"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 200 WHEN event_id > 600 THEN 429 ELSE 200 END::INT AS status, greatest(0, 600 - event_id)::BIGINT AS left_minute FROM events""")
+def _windows(hours: int, name: str) -> str:
+    return f"""{name} AS (
+  SELECT user_id, min(ts) AS opened FROM x GROUP BY user_id
+  UNION ALL
+  SELECT w.user_id, (SELECT min(e.ts) FROM x e WHERE e.user_id = w.user_id AND e.ts >= w.opened + INTERVAL {hours} HOUR) FROM {name} w
+  WHERE EXISTS (SELECT 1 FROM x e WHERE e.user_id = w.user_id AND e.ts >= w.opened + INTERVAL {hours} HOUR))"""
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT * FROM events WHERE event_type <> 'click'), {_windows(48, "v")}, {_windows(240, "w")},
+ a AS (SELECT e.event_id, row_number() OVER (PARTITION BY e.user_id, m.opened ORDER BY e.ts, e.event_id) AS n FROM x e ASOF JOIN v m ON e.user_id = m.user_id AND e.ts >= m.opened),
+ b AS (SELECT e.event_id, row_number() OVER (PARTITION BY e.user_id, m.opened ORDER BY e.ts, e.event_id) AS n FROM x e ASOF JOIN w m ON e.user_id = m.user_id AND e.ts >= m.opened)
+SELECT e.event_id, CASE WHEN coalesce(a.n, 0) > 3 OR coalesce(b.n, 0) > 9 THEN 429 ELSE 200 END::INT AS status, greatest(0, 3 - coalesce(a.n, 0))::BIGINT AS left_minute, greatest(0, 9 - coalesce(b.n, 0))::BIGINT AS left_hour
+FROM events e LEFT JOIN a USING (event_id) LEFT JOIN b USING (event_id)""")
 def rate_limit_decisions(spark, d):
-    from quillspark.streaming.ratelimit import EXEMPT, decide
+    """Both counters, with windows and limits that fit the events."""
+    from quillspark.streaming.ratelimit import EXEMPT, limited
 
     path = F.when(F.col("event_type") == "click", EXEMPT).otherwise("/x")
-    return t(spark, d, "events").select("event_id", decide(F.col("event_id"), F.lit(1), path).alias("x")).select("event_id", "x.status", "x.left_minute")
+    out = limited(t(spark, d, "events"), "user_id", "ts", "event_id", path, per_minute=3, per_hour=9, seconds=(48 * 3600, 240 * 3600))
+    return out.select("event_id", "status", "left_minute", "left_hour")
+
+
+from quillspark.plans import forms  # noqa: E402, F401 - registers its queries here

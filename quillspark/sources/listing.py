@@ -12,6 +12,7 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -37,7 +38,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.tasks = json.loads(options["tasks"])
         self.fetch = options["fetch"]
-        self.most = int(options.get("pages", 1_000_000))
+        self.most = int(options["pages"]) if "pages" in options else None  # else until the last page
 
     def partitions(self) -> list[InputPartition]:
         return [_Task(t) for t in self.tasks]
@@ -45,7 +46,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         module, _, name = self.fetch.partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        for page in range(1, self.most + 1):
+        for page in count(1) if self.most is None else range(1, self.most + 1):
             urls, last = fetch(partition.value, page)
             yield from ((json.dumps(partition.value), page, url) for url in urls)
             if last:

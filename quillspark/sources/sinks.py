@@ -18,11 +18,10 @@ def upsert_snapshot(spark: SparkSession, path: str, new: DataFrame, key: str, se
     same rows again gives the same snapshot.
     """
     rows = new.withColumn("point_id", uuid5(key))
-    try:
+    held = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current={version}")
+    if held.getFileSystem(spark._jsc.hadoopConfiguration()).exists(held):
         rows = ingest.upsert(spark.read.parquet(f"{path}/current={version}"), rows, key, sequence)
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
+    else:
         rows = ingest.latest(rows, key, sequence)
     following = f"{int(version) + 1:08d}"
     rows.write.mode("overwrite").parquet(f"{path}/current={following}")
@@ -32,13 +31,18 @@ def upsert_snapshot(spark: SparkSession, path: str, new: DataFrame, key: str, se
 def export(rows: DataFrame, path: str, day: date, by: str | None = "legislation_year") -> None:
     """Parquet under ``latest`` and ``archive/day``, split by year where a column is given.
 
-    Rows of one year are dealt over as many tasks as they need, so a large year
-    is not one task.
+    Nothing is shuffled: every task writes its own rows of each year, so a large
+    year is not one task.  The archive is a copy of what ``latest`` then holds,
+    so the rows are computed once.
     """
-    for folder in ("latest", f"archive/{day.isoformat()}"):
-        writer = rows.write.mode("overwrite").option("compression", "snappy")
+
+    def put(some: DataFrame, folder: str) -> None:
+        writer = some.write.mode("overwrite").option("compression", "snappy")
         (writer.partitionBy(by) if by else writer).parquet(f"{path}/{folder}")
 
+    put(rows, "latest")
+    put(rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/latest"), f"archive/{day.isoformat()}")
+
 
 def manifest(spark: SparkSession, collections: dict[str, str], day: date) -> DataFrame:
     """One JSON row: records and files of each collection and in total."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,15 @@ def listed_cases(pages: DataFrame, html: str) -> DataFrame:
     return pages.select("*", F.explode(links(table)).alias("link")).withColumn("link", F.get(F.split("link", r"\?"), F.lit(0)))
 
 
+def feed_entries(feeds: DataFrame, xml: str, types: Sequence[str]) -> DataFrame:
+    """``link, type, more`` of the entries of a feed's pages whose type is asked for; ``more`` counts the pages that follow."""
+    ids = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<entry\b.*?<id>\s*(.*?)\s*</id>"), F.lit(1))
+    more = F.regexp_extract(F.col(xml), r"<(?:\w+:)?morePages>\s*(\d+)", 1)
+    found = feeds.select(F.explode(ids).alias("id"), F.when(more != "", more.cast("int")).otherwise(0).alias("more"))
+    kind = F.get(F.split("id", "/"), F.lit(4))
+    return found.select(F.concat(F.replace("id", F.lit("/id/"), F.lit("/")), F.lit("/data.xml")).alias("link"), kind.alias("type"), "more").where(F.col("type").isin(list(types)))
+
+
 def next_page(html: Column | str) -> Column:
     found = F.regexp_extract(_c(html), r'(?i)<a[^>]*href="([^"]*)"[^>]*>\s*next(?: page)?\s*</a>', 1)
     return F.when(found != "", found)

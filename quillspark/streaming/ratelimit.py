@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Hits allowed in a minute and in an hour, and the path that is never counted.
 PER_MINUTE, PER_HOUR, EXEMPT = 600, 10_000, "/healthcheck"
+HEALTH = (EXEMPT, "/health")
 
 
 def batch_counts(hits: DataFrame, key: str, time: str, order: str, seconds: int) -> DataFrame:
@@ -45,11 +46,22 @@ def batch_counts(hits: DataFrame, key: str, time: str, order: str, seconds: int)
     return dealt.mapInArrow(fold, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, hits long")
 
 
-def decide(minute: Column, hour: Column, path: Column) -> Column:
+def decide(minute: Column, hour: Column, path: Column, per_minute: int = PER_MINUTE, per_hour: int = PER_HOUR) -> Column:
     """Status, and what is left of the minute and the hour; both counters go on counting."""
-    over = (minute > PER_MINUTE) | (hour > PER_HOUR)
-    status = F.when(path == EXEMPT, 200).when(over, 429).otherwise(200)
-    return F.struct(status.alias("status"), F.greatest(F.lit(0), PER_MINUTE - minute).alias("left_minute"), F.greatest(F.lit(0), PER_HOUR - hour).alias("left_hour"))
+    over = (minute > per_minute) | (hour > per_hour)
+    status = F.when(path.isin(*HEALTH), 200).when(over, 429).otherwise(200)
+    return F.struct(status.alias("status"), F.greatest(F.lit(0), per_minute - minute).alias("left_minute"), F.greatest(F.lit(0), per_hour - hour).alias("left_hour"))
+
+
+def limited(hits: DataFrame, key: str, time: str, order: str, path: Column, *, per_minute: int = PER_MINUTE, per_hour: int = PER_HOUR, seconds: tuple[int, int] = (60, 3600)) -> DataFrame:
+    """Every request with its status and what is left, by both counters; exempt paths are not counted."""
+    asked = hits.withColumn("__exempt", path.isin(*HEALTH))
+    short = batch_counts(asked.where("not __exempt"), key, time, order, seconds[0]).withColumnRenamed("hits", "__minute")
+    both = batch_counts(short, key, time, order, seconds[1]).withColumnRenamed("hits", "__hour")
+    free = asked.where("__exempt").withColumns({"__minute": F.lit(0).cast("long"), "__hour": F.lit(0).cast("long")})
+    every = both.unionByName(free)
+    told = decide(F.col("__minute"), F.col("__hour"), F.when(F.col("__exempt"), EXEMPT).otherwise(""), per_minute, per_hour)
+    return every.withColumn("__told", told).select(*hits.columns, "__told.*")
 
 
 def stream_counts(hits: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
