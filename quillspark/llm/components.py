@@ -3,7 +3,8 @@
 Alternates the large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014) until every vertex points at the
 smallest vertex of its component.  Each round is written to the shared folder,
-so the plan stays short and a lost executor costs one round.
+so the plan stays short and a lost executor costs one round; a round goes when
+its successor is written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,13 +31,16 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
     """``vertex, component``: for every vertex of ``edges (src, dst)`` but the
     roots themselves, the smallest vertex that it reaches.
 
-    Null ends and loops are left out; repeated edges count once; no edges give
-    an empty table.  Vertices that are absent are their own component.
+    Vertices are of any type that has an order.  Null ends and loops are left
+    out; repeated edges count once; no edges give an empty table.  Vertices that
+    are absent are their own component.
     """
     edges = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src > dst").distinct()
-    before = None
+    before, old = None, None
     for _ in range(most_rounds):
         edges = written(_small(_large(edges)), label)
+        dropped(old)
+        old = edges
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("src").alias("vertex"), F.col("dst").alias("component"))

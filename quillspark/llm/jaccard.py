@@ -16,12 +16,14 @@ among the first few of each (the prefix).  The steps:
 
 Pairs inside one component are not looked at again, so no link that joins two
 components is lost and no pairs of a group of copies are listed.  Links are
-decided on 64-bit hashes of the shingles.  Before whole sets are fetched, each
-pair's counts of hashes in fixed ranges bound what the two can share.
+decided on 64-bit hashes of the shingles.  Before whole sets are fetched, the
+parities of each set's hashes in as many cells as it has shingles are compared:
+no more cells differ than shingles that only one of the two has.
 
 Defined results: a null, empty or blank text has an empty set (``n_shingles``
-0) and links with nothing; repeated rows share a class; ties go to the smaller
-id; rows with a null id are kept apart from all others and have a null
+0) and links with nothing; repeated rows share a class; rows of one id with
+different texts are judged each by its text; a component is named by its
+smallest id; rows with a null id are kept apart from all others and have a null
 component; other columns are not read; an empty table gives an empty result.
 """
 
@@ -32,18 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import small_batches, table, text_of, written
+from .common import dropped, few, small_batches, table, text_of, written
 from .components import components
 
 #: Counters of the shingle frequencies: 2 ** BITS, a fixed size at any input.
 BITS = 20
-#: Ranges of the hash whose counts bound the overlap of two sets.
-RANGES = 256
-#: Documents to verify up to this number are picked by a broadcast of their ids (8 bytes each), more by a shuffle.
-BROADCAST_IDS = 500_000
+#: Fewest cells of a set's parities.
+LEAST_CELLS = 256
 _BLOCK = 1 << 14
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -116,7 +118,7 @@ def shingle_sets(texts: list[bytes], width: int = 3) -> Iterator[np.ndarray]:
         at = stop
 
 
-def _bytes(batch: pa.RecordBatch, column: int = 1) -> list[bytes]:
+def _bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
@@ -126,18 +128,18 @@ def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            met = np.concatenate([*shingle_sets(_bytes(batch), width), np.empty(0, np.uint64)])
+            met = np.concatenate([*shingle_sets(_bytes(batch, "text"), width), np.empty(0, np.uint64)])
             total += np.bincount((met >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
         for k in range(0, 1 << BITS, _BLOCK):
             part = total[k : k + _BLOCK]
-            kind = np.int32 if part.max(initial=0) < 1 << 31 else np.int64
+            kind = np.min_scalar_type(int(part.max(initial=0)))
             yield pa.RecordBatch.from_arrays([pa.array([k // _BLOCK]), pa.array([part.astype(kind).tobytes()])], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(counts, np.int64 if len(counts) == 8 * _BLOCK else np.int32)
+                more = np.frombuffer(counts, f"u{len(counts) // _BLOCK}")
                 sums[block] = sums[block] + more if block in sums else more.astype(np.int64)
         for block, counts in sums.items():
             classes = np.frexp(counts.astype(float))[1].astype(np.uint8)
@@ -151,31 +153,53 @@ def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def _print(hashes: np.ndarray) -> bytes:
+    """Digest of a set."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes in each cell, in words of 64; a power of two of cells, one a hash or more."""
+    cells = max(LEAST_CELLS, 1 << max(len(hashes) - 1, 0).bit_length())
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
+
+
 def _prefixes(docs: DataFrame, width: int, percent: int, classes) -> DataFrame:
-    """``id, n, print, key, ranges, prefix``: size, digest of the set, digest of prefix and size, hashes in each range, prefix in the global order."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """A row for each of ``docs (id, mark, text)``.
+
+    ``row`` (a number of its own), ``n`` (size), ``print`` (digest of the set),
+    ``key`` (digest of prefix and size), ``cells`` (parities), ``prefix`` (in the
+    global order).
+    """
+    kind, mark = (docs.schema[c].dataType.simpleString() for c in ("id", "mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = classes.value
+        order, row = classes.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            sizes, prints, keys, ranges, prefixes = [], [], [], [], []
-            for hashes in shingle_sets(_bytes(batch), width):
+            sizes, prints, keys, cells, prefixes = [], [], [], [], []
+            for hashes in shingle_sets(_bytes(batch, "text"), width):
                 n = len(hashes)
                 p = n - -(-n * percent // 100) + 1 if n else 0
                 rank = np.argsort(order[(hashes >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")[:p]
                 first = hashes[rank]
                 sizes.append(n)
-                prints.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+                # sets without shingles are no class; a digest of its own spreads them
+                prints.append(_print(hashes) if n else (row + len(prints)).to_bytes(8, "little"))
                 keys.append(hashlib.blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
-                ranges.append(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                cells.append(_parities(hashes) if n else np.empty(0, np.int64))
                 prefixes.append(first.view(np.int64))
-            ends = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
-            flat = pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)]))
-            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(ranges) + 1, dtype=np.int32) * RANGES), pa.array(np.concatenate([*ranges, np.empty(0, np.int32)])))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.binary()), counts, pa.ListArray.from_arrays(ends, flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "print", "key", "ranges", "prefix"])
+            rows = np.arange(row, row + len(sizes))
+            row += len(sizes)
+            columns = [batch.column("id"), batch.column("mark"), pa.array(rows), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), pa.array(keys, pa.binary()), _lists(cells), _lists(prefixes)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "row", "n", "print", "key", "cells", "prefix"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, print binary, key binary, ranges array<int>, prefix array<long>")
+    return docs.mapInArrow(run, f"id {kind}, mark {mark}, row long, n int, print binary, key binary, cells array<long>, prefix array<long>")
 
 
 def _buckets(groups: DataFrame, percent: int) -> DataFrame:
@@ -186,8 +210,8 @@ def _buckets(groups: DataFrame, percent: int) -> DataFrame:
     lowest position is its centre.  Nothing of a bucket is held but its last row
     and the band's centre so far.
     """
-    rows = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "e")).withColumn("band", F.floor(F.log("n") / 0.1).cast("int"))
-    rows = rows.select("e", "band", "pos", "gid", "n").repartition("e").sortWithinPartitions("e", "n", "pos", "gid")
+    rows = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "e"))
+    rows = rows.select("e", "pos", "gid", "n").repartition("e").sortWithinPartitions("e", "n", "pos", "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, which the next batch decides about
@@ -198,11 +222,11 @@ def _buckets(groups: DataFrame, percent: int) -> DataFrame:
                 continue
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            e, band, gid, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
-            near = (e[1:] == e[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            e, pos, gid, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            band = np.floor(np.log(n) / 0.1).astype(np.int32)
+            near = (e[1:] == e[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
             same = np.concatenate([[joined if held is not None else False], near])
             new = np.concatenate([[held is None], (e[1:] != e[:-1]) | (band[1:] != band[:-1])])
-            pos = batch.column(2).to_numpy(zero_copy_only=False)
             group = np.cumsum(new)
             order = np.lexsort((gid, pos, group))
             first = order[np.flatnonzero(np.diff(group[order], prepend=-1))]
@@ -214,34 +238,55 @@ def _buckets(groups: DataFrame, percent: int) -> DataFrame:
             several = same | np.concatenate([same[1:], [False]])
             keep = np.flatnonzero(several[:-1])
             if len(keep):
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(keep)) for k in (0, 3, 4, 2)), pa.array(centres[keep])], ["e", "gid", "n", "pos", "centre"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(keep)) for k in (0, 2, 3, 1)), pa.array(centres[keep])], ["e", "gid", "n", "pos", "centre"])
             held, joined = batch.slice(len(e) - 1), bool(same[-1])
         if held is not None and joined:
-            yield pa.RecordBatch.from_arrays([*(held.column(k) for k in (0, 3, 4, 2)), pa.array([best[1]])], ["e", "gid", "n", "pos", "centre"])
+            yield pa.RecordBatch.from_arrays([*(held.column(k) for k in (0, 2, 3, 1)), pa.array([best[1]])], ["e", "gid", "n", "pos", "centre"])
 
-    return rows.mapInArrow(run, "e long, gid long, n long, pos int, centre long")
+    return rows.mapInArrow(run, "e long, gid long, n int, pos int, centre long")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    """Distinct ends of pairs, to be broadcast if they are few."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """Distinct ends of pairs."""
+    return pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Number of cells whose parities differ; the longer list is folded to the length of the other."""
+
+    def folded(long: Column, short: Column) -> Column:
+        n = F.size(short)
+        parts = F.sequence(F.lit(0), F.floor(F.size(long) / n).cast("int") - 1)
+        return F.aggregate(parts, short, lambda a, k: F.zip_with(a, F.slice(long, k * n + 1, n), lambda u, v: u.bitwiseXOR(v)))
+
+    words = F.when(F.size(x) >= F.size(y), folded(x, y)).otherwise(folded(y, x))
+    return F.aggregate(words, F.lit(0), lambda s, w: s + F.bit_count(w))
 
 
 def _verified(pairs: DataFrame, every: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough, by the whole texts."""
-    pairs = written(pairs, f"{label}-candidates")
-    some = written(every.select("id", "n", "ranges").join(_ends(pairs), "id", "left_semi"), f"{label}-ranges")
-    x, y = (some.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}")) for c in "ab")
-    shared = F.aggregate(F.zip_with("ra", "rb", lambda u, v: F.least(u, v)), F.lit(0), lambda s, v: s + v)
-    pairs = written(pairs.join(x, "a").join(y, "b").where((100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), f"{label}-pairs")
-    wanted = _ends(pairs)
+    """The pairs ``a, b`` of rows whose sets are similar enough, by the whole texts."""
+    candidates = written(pairs, f"{label}-candidates")
+    ends = written(_ends(candidates), f"{label}-ends")
+    some = written(every.select("row", "id", "n", "print", "cells").join(few(ends), "row", "left_semi"), f"{label}-cells")
+    x, y = (some.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}")) for c in "ab")
+    near = 100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long")
+    sized = candidates.join(x, "a").join(y, "b").where(near)
+    pairs = sized.where((100 + percent) * _apart(F.col("ca"), F.col("cb")).cast("long") <= (100 - percent) * (F.col("na") + F.col("nb")).cast("long"))
+    pairs = written(pairs.select("a", "b").distinct(), f"{label}-pairs")
+    last = written(_ends(pairs), f"{label}-last")
+    wanted = written(some.select("row", "id", "print").join(few(last), "row", "left_semi"), f"{label}-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in shingle_sets(_bytes(batch), width)], pa.binary())], ["id", "s"])
+            found = list(shingle_sets(_bytes(batch, "text"), width))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_print(h) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], ["id", "print", "s"])
 
-    found = written(docs.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, s binary"), f"{label}-sets")
+    texts = docs.select("id", "text").join(few(written(wanted.select("id").distinct(), f"{label}-ids")), "id", "left_semi")
+    of_text = texts.mapInArrow(sets, "id long, print binary, s binary").join(few(wanted), ["id", "print"]).select("row", "s")
+    found = written(of_text, f"{label}-sets")
+    if found.count() > wanted.count():  # repeated rows of one id and text
+        found, again = written(found.dropDuplicates(["row"]), f"{label}-sets"), found
+        dropped(again)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,61 +300,72 @@ def _verified(pairs: DataFrame, every: DataFrame, docs: DataFrame, width: int, p
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).take(pa.array(keep, pa.int64()))
 
-    small_batches(docs.sparkSession, 256)
-    met = pairs.join(found.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(found.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return written(met.select("a", "b", "sa", "sb").mapInArrow(compare, "src long, dst long"), f"{label}-links")
+    met = pairs.join(found.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b").join(found.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a")
+    links = written(met.select("a", "b", "sa", "sb").mapInArrow(compare, "src long, dst long"), f"{label}-links")
+    dropped(candidates, ends, some, pairs, last, wanted, found)
+    return links
 
 
 def _alike(percent: int):
     """Size and position filters for rows x and y of one bucket."""
-    x, y = F.col("n"), F.col("n2")
+    x, y = F.col("n").cast("long"), F.col("n2").cast("long")
     least = F.least(x - F.col("pos"), y - F.col("pos2"))  # this shingle and all that may follow it
     return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * least >= percent * (x + y))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, mark: Column | None = None) -> DataFrame:
     """``id_col, n_shingles, component_id``: one row per document.
 
     Documents whose shingle sets have a Jaccard similarity of ``percent`` / 100
     or more are linked; the component is the smallest id reachable by links.
+    ``mark``: an expression over ``docs`` that is carried along as a column.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(docs[id_col].cast("long").alias("id"), text_of(text_col).alias("text"))
+    docs = docs.select(docs[id_col].cast("long").alias("id"), (F.lit(0) if mark is None else mark).alias("mark"), text_of(text_col).alias("text"))
     classes = spark.sparkContext.broadcast(frequency_classes(docs, width))
     every = written(_prefixes(docs, width, percent, classes), "prefixes")
     full = every.where("n > 0 and id is not null")
-    # classes of equal sets, by their smallest id; the rest of the work is on these
-    reps = full.groupBy("print").agg(F.min("id").alias("rep"))
-    of_class = full.select("id", "key").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    gids = of_class.groupBy("key").agg(F.min("id").alias("gid"))
-    members = written(of_class.join(gids, "key").select("id", "gid").distinct(), "members")
-    groups = full.select("id", "n", "prefix").join(members.select(F.col("gid").alias("id")), "id", "left_semi").withColumnRenamed("id", "gid")
+    # classes of equal sets, by their first row; the rest of the work is on these
+    first = F.min(F.struct("row", "key")).alias("first")
+    reps = written(full.groupBy("print").agg(first, F.min("id").alias("low"), F.count("*").alias("copies")).select("print", "first.row", "first.key", "low", "copies"), "classes")
+    shared_keys = written(reps.groupBy("key").agg(F.min("row").alias("gid"), F.count("*").alias("n")).where("n > 1").drop("n"), "keys")
+    members = written(reps.select("row", "key").join(few(shared_keys), "key", "left").select("row", F.coalesce("gid", "row").alias("gid")), "members")
+    # most rows stand for a group of their own, so those that don't are left out
+    spare = written(full.select("row").join(members.where("row = gid"), "row", "left_anti"), "spare")
+    groups = full.select(F.col("row").alias("gid"), "n", "prefix").join(few(spare.withColumnRenamed("row", "gid")), "gid", "left_anti")
     shared = written(_buckets(groups, percent), "buckets")
     # every group against the centre that it meets most often, every member against its group's first
-    star = shared.withColumns({"n2": F.col("n"), "pos2": F.col("pos")}).where("gid <> centre").groupBy("gid", "centre").count()
-    star = star.groupBy("gid").agg(F.max_by("centre", F.col("count")).alias("centre"))
-    pairs = star.select(F.col("centre").alias("a"), F.col("gid").alias("b")).union(members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
+    star = shared.where("gid <> centre").groupBy("gid", "centre").count()
+    star = star.groupBy("gid").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
+    pairs = star.select(F.col("centre").alias("a"), F.col("gid").alias("b")).union(members.where("row <> gid").select(F.col("gid").alias("a"), F.col("row").alias("b")))
     links = _verified(pairs, every, docs, width, percent, "star")
-    first = components(links, "joined")
-    # buckets and groups that still hold several components
-    state = members.join(first, members.id == first.vertex, "left").select("id", "gid", F.coalesce("component", "id").alias("comp"))
-    span = state.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    met = shared.drop("centre").join(span, "gid")
-    mixed = met.groupBy("e").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("e")
-    open_rows = written(met.join(mixed, "e"), "open")
-    other = open_rows.select("e", *(F.col(c).alias(f"{c}2") for c in ("gid", "n", "pos", "lo", "hi")))
-    apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
-    group_pairs = open_rows.join(other, "e").where((F.col("gid") < F.col("gid2")) & apart & _alike(percent)).select("gid", "gid2").distinct()
+    joined = components(links, "joined")
+    # buckets and groups that still hold several components; most groups are a component of their own
+    state = written(members.join(few(joined), F.col("row") == F.col("vertex"), "left").select("row", "gid", F.coalesce("component", "row").alias("comp")), "state")
+    span = state.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> gid or hi <> gid")
+    span = written(span, "spans")
+    met = shared.drop("centre").join(few(span), "gid", "left").withColumns({"lo": F.coalesce("lo", "gid"), "hi": F.coalesce("hi", "gid")})
+    bucket = Window.partitionBy("e")
+    mixed = met.withColumns({"least": F.min("lo").over(bucket), "most": F.max("hi").over(bucket)}).where("least < most").drop("least", "most")
+    other = mixed.select("e", *(F.col(c).alias(f"{c}2") for c in ("gid", "n", "pos", "lo", "hi")))
+    several = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
+    group_pairs = mixed.join(other, "e").where((F.col("gid") < F.col("gid2")) & several & _alike(percent)).select("gid", "gid2").distinct()
     group_pairs = group_pairs.union(span.where("lo < hi").select("gid", F.col("gid").alias("gid2")))
-    left = state.select("gid", F.col("id").alias("a"), F.col("comp").alias("ca"))
-    right = state.select(F.col("gid").alias("gid2"), F.col("id").alias("b"), F.col("comp").alias("cb"))
+    left = state.select("gid", F.col("row").alias("a"), F.col("comp").alias("ca"))
+    right = state.select(F.col("gid").alias("gid2"), F.col("row").alias("b"), F.col("comp").alias("cb"))
     more = group_pairs.join(left, "gid").join(right, "gid2").where("ca <> cb and (gid < gid2 or a < b)").select("a", "b")
     later = _verified(more, every, docs, width, percent, "expanded")
     last = components(links.union(later), "final")
-    roots = reps.join(last, reps.rep == last.vertex, "left").select("print", F.coalesce("component", "rep").alias("root"))
-    out = every.select("id", "n", F.when(F.col("n") > 0, F.col("print")).alias("print")).join(roots, "print", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
+    dropped(links, later, shared_keys, members, spare, shared, state, span)
+    # the smallest id of each component; classes of one row without links are named by their own id
+    linked = reps.join(few(last), F.col("row") == F.col("vertex"), "left").select("print", "low", "copies", F.coalesce("component", "row").alias("root"), (F.col("component").isNotNull()).alias("moved"))
+    lows = linked.groupBy("root").agg(F.min("low").alias("name"), F.count("*").alias("classes")).where("classes > 1")
+    roots = linked.join(few(written(lows, "names")), "root", "left").where("copies > 1 or name is not null").select("print", F.coalesce("name", "low").alias("name"))
+    roots = few(written(roots, "roots"))
+    out = every.select("id", "mark", "n", "print").join(roots, "print", "left")
+    extra = [] if mark is None else ["mark"]
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("name", "id")).alias("component_id"), *extra)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
