@@ -997,4 +997,4 @@ def rate_limit_decisions(spark, d):
     return out.select("event_id", "status", "left_minute", "left_hour")
 
 
-from quillspark.plans import forms  # noqa: E402, F401 - registers its queries here
+from quillspark.plans import forms, stored  # noqa: E402, F401 - they register their queries here

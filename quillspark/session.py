@@ -30,6 +30,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, in local tests, one of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="quillspark-")
+    atexit.register(shutil.rmtree, folder, True)
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def local(name: str = "quillspark", cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine."""
     return (
