@@ -78,6 +78,12 @@ def latency(rows: DataFrame, name: str, value: str) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("median"), name)).cast("long"))  # a row a name
 
 
+def histogram_of(rows: DataFrame, attributes: Sequence[str], value: str, bounds: Sequence[float]) -> DataFrame:
+    """Counters and a histogram by attributes: rows, the sum of the values, and how many are at most each bound."""
+    upto = [F.count_if(F.col(value) <= b).alias(f"le_{b:g}".replace(".", "_")) for b in bounds]
+    return rows.groupBy(*attributes).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), *upto)
+
+
 def changed_fields(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """How many rows change in each field; null-safe."""
     return rows.agg(*(F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias(name) for name, (a, b) in pairs.items()))

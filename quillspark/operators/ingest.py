@@ -38,6 +38,12 @@ def staleness(changes: DataFrame, held: DataFrame, key: str, modified_year: str)
     return met.withColumn("state", state)
 
 
+def to_refresh(changes: DataFrame, held: DataFrame, source: DataFrame, key: str, modified_year: str) -> DataFrame:
+    """Documents of the source that an amendment has made missing or stale."""
+    due = staleness(changes, held, key, modified_year).where("state <> 'current'")
+    return source.join(due.select(key, "state"), key)
+
+
 def patch(rows: DataFrame, patches: DataFrame, key: str, *columns: str) -> DataFrame:
     """Set some columns by key; the others stay, null in a patch leaves the old value."""
     given = patches.select(key, *(F.col(c).alias(f"__{c}") for c in columns))

@@ -50,6 +50,12 @@ def full_text(provisions: DataFrame, *, most: int = MOST_PROVISIONS, act_col: st
     return out.withColumn("full_text", F.when(F.trim("full_text") == "", NO_TEXT).otherwise(F.col("full_text")))
 
 
+def acts_with_text(acts: DataFrame, provisions: DataFrame, key: str, **how) -> DataFrame:
+    """Acts with their full text; one without provisions says so."""
+    texts = full_text(provisions, act_col=key, **how)
+    return acts.join(texts, key, "left").withColumn("full_text", F.coalesce("full_text", F.lit(NO_TEXT)))
+
+
 def edges_of(edges: DataFrame, act, made: bool = False, n: int | None = 100, *, changed: str = "changed_url", affecting: str = "affecting_url", id_col: str = "id") -> DataFrame:
     """Amendments to an act or provision, or those that it made: the first n in key order, or all without an order."""
     found = edges.where(F.col(affecting if made else changed) == act)

@@ -331,6 +331,12 @@ def filter_placeholders(spark, d):
     return t(spark, d, "pages").where(filters.no_placeholder("url")).select("page_id", "url")
 
 
+@query("SELECT page_id FROM pages WHERE page_id % 5 > 0")
+def filter_made_placeholders(spark, d):
+    url = F.concat("url", F.when(F.col("page_id") % 5 == 0, "/0000/1").otherwise("/1"))
+    return t(spark, d, "pages").withColumn("made", F.regexp_replace(url, "/0000(?!/1$)", "")).where(filters.no_placeholder("made")).select("page_id")
+
+
 _TYPE_ROWS = ", ".join(f"({n}, '{c}', {a}, {b})" for n, (c, _, a, b) in enumerate(TYPES))
 
 
@@ -453,6 +459,30 @@ def staleness(spark, d):
     return ingest.staleness(ingest.last_change(_edges(spark, d), "l_partkey", "year"), held, "l_partkey", "y").select("l_partkey", "last_change", "state")
 
 
+@query(f"SELECT p_partkey, p_name, CASE WHEN p_size > 5 THEN 'stale' ELSE 'missing' END AS state FROM ({_CHANGE}) c JOIN part ON p_partkey = l_partkey WHERE p_size <= 5 OR 1980 + p_size < last_change")
+def refreshed_documents(spark, d):
+    x = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size", (F.col("p_size") + 1980).alias("y"))
+    due = ingest.to_refresh(ingest.last_change(_edges(spark, d), "l_partkey", "year"), x.where("p_size > 5"), x.select("l_partkey", "p_name"), "l_partkey", "y")
+    return due.select(F.col("l_partkey").alias("p_partkey"), "p_name", "state")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'failure' ELSE 'success' END AS status FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def document_loop(spark, d):
+    """One run over what no run has done: each document is read, and what can't be read is recorded as failed."""
+    from quillspark import shred
+
+    todo = ingest.new_only(t(spark, d, "documents"), t(spark, d, "labels").where("quality = 1"), "doc_id", "doc_id")
+    xml = F.when(F.col("doc_id") % 3 == 0, "<broken").otherwise("<a>x</a>")
+    read = todo.select("doc_id", shred.records(_one_row, "n int", xml).alias("r"))
+    return read.select("doc_id", ingest.outcome(F.col("r.error"), F.lit(False))["status"].alias("status"))
+
+
+def _one_row(text: str) -> list[dict]:
+    from quillspark.shred.tree import parse
+
+    return [{"n": len(parse(text).text)}]
+
+
 @query("SELECT l.l_orderkey, l.l_linenumber, p.p_name FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey // 2")
 def edge_to_parent_text(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name")
@@ -558,6 +588,19 @@ def full_text(spark, d):
     return lookup.full_text(x, act_col="conv_id", kind_col="kind", number_col="turn")
 
 
+@query("""SELECT c.conv_id, c.turns, coalesce(string_agg(v.text, chr(10) || chr(10) ORDER BY CASE WHEN v.role = 'user' THEN 0 ELSE 1 END, v.turn), 'No text was found for this act.') AS full_text
+FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) c LEFT JOIN (SELECT * FROM conversations WHERE conv_id % 3 > 0) v USING (conv_id) GROUP BY 1, 2""")
+def acts_with_text(spark, d):
+    x = t(spark, d, "conversations")
+    provisions = x.where("conv_id % 3 > 0").select("conv_id", F.when(F.col("role") == "user", "section").otherwise("schedule").alias("kind"), "turn", "text", F.col("turn").alias("id"))
+    return lookup.acts_with_text(x.groupBy("conv_id").agg(F.count("*").alias("turns")), provisions, "conv_id", kind_col="kind", number_col="turn")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total, count(*) FILTER (value <= 2.5) AS le_2_5, count(*) FILTER (value <= 10) AS le_10 FROM events GROUP BY 1")
+def request_histograms(spark, d):
+    return audit.histogram_of(t(spark, d, "events"), ["event_type"], "value", [2.5, 10])
+
+
 @query("SELECT l_orderkey, count(*) + sum(l_linenumber)::BIGINT AS refs FROM lineitem GROUP BY 1")
 def reference_totals(spark, d):
     x = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("own"), F.collect_list(F.array_repeat("l_partkey", F.col("l_linenumber"))).alias("inner"))
@@ -637,6 +680,11 @@ def limit_then_sort(spark, d):
     return lookup.sections_of(t(spark, d, "documents"), "src2", 10, act_col="source", number_col="n_chars", id_col="doc_id").select("doc_id", "n_chars")
 
 
+@query(f"SELECT conv_id, turn FROM (SELECT * FROM conversations WHERE conv_id = 2 ORDER BY {_UUID.format('turn')} LIMIT 3)")
+def notes_in_order(spark, d):
+    return lookup.sections_of(t(spark, d, "conversations"), 2, 3, act_col="conv_id", number_col="turn", id_col="turn").select("conv_id", "turn")
+
+
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 10")
 def top_with_offset(spark, d):
     return t(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").offset(10).limit(20)

@@ -250,6 +250,12 @@ def act_provisions(x):
     return y.select("n", number.alias("number"), "provision_type", "title", "extent", F.size("paragraphs").alias("paragraphs"), F.get("paragraphs", F.lit(0))["text"].alias("first"))
 
 
+@form("n long, x string", _ACTS, "n long, uri string", [(1, "http://l/ukpga/2001/5")])
+def acts_without_body(x):
+    """Acts that are a scan only: what the discovery of PDFs gives."""
+    return shred.rows(x, clml.header, clml.HEADER, "x", "n")[0].where("not has_body")
+
+
 @form("n long, x string", _ACTS, "n long, error string", [(3, "ParseError")])
 def quarantined_acts(x):
     return shred.rows(x, clml.provisions, clml.PROVISION, "x", "n")[1].withColumn("error", F.substring_index("error", ":", 1))
