@@ -1,18 +1,26 @@
 """Packing by lexical retrieval.
 
 Documents are tokenised once and written with the document frequency of every
-token (a table of the vocabulary's size, counted over all documents).  Each task
-then reads its files in shards of a bounded number of tokens.  A shard has a BM25
-inverted index; a window starts with a seed document, the index returns the
-unused documents most like it, and these fill the window greedily.  What does
-not fit is cut, and its rest is the next seed, so windows are full; the tail of
-a task is cut into sequences whose lengths are powers of two, which need no
-padding.
+token (a table of the vocabulary's size, counted over all documents) and with a
+lexical key: the document's rarest tokens, which are those that the vocabulary
+learnt last.  All documents are sorted by that key, so documents that share rare
+tokens stand side by side wherever they were read, and the order is dealt out in
+ranges.  A task goes through its range in shards of a bounded number of tokens,
+whatever the size of the input.  A shard has a BM25 inverted index; a window
+starts with a seed document, the index returns the unused documents of the shard
+most like it (by all terms of the seed), and these fill the window greedily.
+What does not fit is cut, and its rest is the next seed, so windows are full;
+the tail of a task is cut into sequences whose lengths are powers of two, which
+need no padding.
+
+A batch of texts is cut at single spaces and newlines, where pieces of text
+can't touch each other's tokens, and each distinct piece is looked up once.
 
 Defined results: a null text is the empty text, which is the end token alone; a
 document longer than a window fills several; ties in score go to the earlier
-document of the shard; repeated rows are packed each; a null id is kept; other
-columns are not read; an empty table gives an empty result.
+document of the shard; repeated rows are packed each, and many rows of one key
+are dealt out as well; a null id is kept; other columns are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,52 +44,128 @@ from .common import small_batches, table, text_of, written
 WINDOW = 2048
 END = 1
 SHARD_TOKENS = 1_000_000
+#: One of so many distinct tokens of a document is too rare for its lexical key.
+RARE = 64
 #: BM25 constants.
 K1, B = 1.2, 0.75
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-_encoders: dict[tuple[str, str], bpe.Encoder] = {}
+#: What the pieces that begin a text start with, in the memory of pieces.
+_FIRST = "\x01"
+_WHITE = r"\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts that are not cut at spaces alone: white space side by side, or the sign above.
+_CAREFUL = rf"[{_WHITE}][{_WHITE}]|\x01"
+
+
+class Tokeniser:
+    """Ids of whole texts, a batch at a time; pieces that are new are merged by the ranks of the same vocabulary."""
+
+    def __init__(self, path: str, ranks: str):
+        with open(ranks, "rb") as f:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+        self.encode = plain._core_bpe.encode_ordinary
+        self.whole = bpe.Encoder(bpe.vocabulary(path), piece=self.encode)
+        self.lengths = np.array(self.whole.vocabulary.length)
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what the memory held before it was full
+        self.specials = list(self.whole.vocabulary.special)
+
+    def _one(self, piece: str) -> bytes:
+        text = piece[1:] if piece[:1] == _FIRST else piece if piece[:1] == "\n" else " " + piece
+        return np.array(self.encode(text), "<u4").tobytes()
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces; new ones are merged side by side as one text and cut by the lengths of their tokens."""
+        if len(self.pieces) > bpe.WORD_MEMORY:
+            self.pieces, self.older = {}, self.pieces
+        out = list(map(self.pieces.get, pieces))
+        missing = [x for x, ids in zip(pieces, out, strict=True) if ids is None]
+        found = {x: ids for x in missing if (ids := self.older.get(x)) is not None}
+        new = [x for x in missing if x not in found]
+        beside = [x for x in new if x and x[0] != _FIRST and not x[0].isspace() and not x[-1].isspace()]
+        if beside:
+            ids = np.array(self.encode(" " + " ".join(beside)), "<u4")
+            ends = np.cumsum(self.lengths[ids])
+            bounds = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in beside), np.int64, len(beside)))
+            cuts = np.searchsorted(ends, bounds)
+            if cuts[-1] == len(ids) - 1 and np.array_equal(ends[cuts], bounds):  # every piece ends with a token
+                raw, places = ids.tobytes(), (4 * (cuts + 1)).tolist()
+                found.update(zip(beside, (raw[a:b] for a, b in zip([0, *places], places, strict=False)), strict=True))
+        found.update((x, self._one(x)) for x in new if x not in found)
+        self.pieces.update((x, ids) for x, ids in found.items() if len(x) < 64)  # long ones hardly come again
+        return [found[x] if ids is None else ids for x, ids in zip(pieces, out, strict=True)]
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (strings without nulls)."""
+        careful = pc.match_substring_regex(texts, _CAREFUL)
+        for token in self.specials:
+            careful = pc.or_(careful, pc.match_substring(texts, token))
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
+        for k in np.flatnonzero(careful.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.frombuffer(self.whole.ids(texts[k].as_py()), "<u4")
+        plain = np.flatnonzero(~careful.to_numpy(zero_copy_only=False))
+        if len(plain):
+            marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), "")
+            cut = pc.split_pattern(marked, " ")
+            distinct = cut.flatten().dictionary_encode()
+            known = self.known(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())  # much faster than to_pylist
+            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+            which = distinct.indices.to_numpy()
+            lengths = sizes[which]
+            ends = np.cumsum(lengths)
+            flat = ids[np.arange(ends[-1]) + np.repeat(starts[which] - (ends - lengths), lengths)] if ends[-1] else ids[:0]
+            bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+            for k, a, b in zip(plain.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                out[k] = flat[a:b]
+        return out
+
+
+_tokenisers: dict[tuple[str, str], Tokeniser] = {}
+
+
+def tokeniser(path: str, ranks: str) -> Tokeniser:
+    """One whose memory of pieces outlives a task of this worker."""
+    if (path, ranks) not in _tokenisers:
+        _tokenisers[path, ranks] = Tokeniser(path, ranks)
+    return _tokenisers[path, ranks]
 
 
-def _encoder(path: str, ranks: str) -> bpe.Encoder:
-    """Whole texts by words; a word that is new to the memory is merged by the ranks of the same vocabulary.
+def _tokenised(docs: DataFrame, path: str, ranks: str) -> DataFrame:
+    """``id, ids, key, row, part``: ids as bytes, the lexical key, a number of the row.
 
-    The memory outlives a task of this worker.
+    A row with ``part`` true ends a task and holds its document frequencies.
     """
-    if (path, ranks) in _encoders:
-        return _encoders[path, ranks]
-    with open(ranks, "rb") as f:
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    _encoders[path, ranks] = bpe.Encoder(bpe.vocabulary(path), piece=plain._core_bpe.encode_ordinary)
-    return _encoders[path, ranks]
-
-
-def _tokenised(docs: DataFrame, path: str, ranks: str) -> DataFrame:
-    """``id, ids, part``: ids as bytes; a row with ``part`` true ends a task and holds its document frequencies."""
     kind = docs.schema["id"].dataType.simpleString()
+    names = ["id", "ids", "key", "row", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, ranks)
-        size = len(encoder.vocabulary.raw)
-        narrow = "<u2" if size <= 1 << 16 else "<u4"
-        frequency, seen, kind = np.zeros(size, np.int64), np.zeros(size, bool), None
+        own = tokeniser(path, ranks)
+        size = len(own.whole.vocabulary.raw)
+        narrow, bits = ("<u2", 16) if size <= 1 << 16 else ("<u4", 21)
+        frequency, kind = np.zeros(size, np.int64), None
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = []
+            rows, keys = [], []
             kind = batch.schema.field(0).type
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(encoder.ids(text), "<u4")
-                seen[ids] = True
-                here = np.flatnonzero(seen)
+            for ids in own.batch(batch.column(1)):
+                here = np.unique(ids)
                 frequency[here] += 1
-                seen[here] = False
+                # the same share of a document's rarest tokens is passed over, so long ones don't gather at one end
+                key, last = 0, len(here) - len(here) // RARE
+                for token in here[max(0, last - 63 // bits) : last][::-1].tolist():
+                    key = key << bits | token
+                keys.append(key)
                 rows.append(ids.astype(narrow).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array([False] * len(rows))], ["id", "ids", "part"])
+            number = pa.array(np.arange(row, row + len(rows)))
+            row += len(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(keys, pa.int64()), number, pa.array([False] * len(rows))], names)
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([frequency.tobytes()], pa.binary()), pa.array([True])], ["id", "ids", "part"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([frequency.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([True])], names)
 
-    return docs.mapInArrow(run, f"id {kind}, ids binary, part boolean")
+    return docs.mapInArrow(run, f"id {kind}, ids binary, key long, row long, part boolean")
 
 
 def _sum(parts: DataFrame) -> np.ndarray:
@@ -103,27 +188,28 @@ class _Index:
     """BM25 inverted index of one shard."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, counts, owners, self.query = [], [], [], []
-        for k, x in enumerate(ids):
-            t, n = np.unique(x, return_counts=True)
-            terms.append(t)
-            counts.append(n)
-            owners.append(np.full(len(t), k))
-            self.query.append(t)
-        term, count, owner = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (terms, counts, owners))
-        length = np.array([len(x) for x in ids], float)
+        self.idf, self.mean = idf, mean
+        self.parts = [np.unique(x, return_counts=True) for x in ids]
+        self.length = np.array([len(x) for x in ids], float)
+        self.keep(np.arange(len(ids)))
+
+    def keep(self, live: np.ndarray) -> None:
+        """Index these documents alone; the terms of the others can still ask."""
+        terms, counts = ([self.parts[k][c] for k in live.tolist()] for c in (0, 1))
+        term, count = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (terms, counts))
+        owner = np.repeat(np.arange(len(live)), [len(t) for t in terms])
         order = np.argsort(term, kind="stable")
-        term, count, self.owner = term[order], count[order], owner[order]
-        self.weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[self.owner] / max(mean, 1.0)))
-        self.place = np.searchsorted(term, np.arange(len(idf) + 1))
-        self.n = len(ids)
+        term, count, self.owner, self.live = term[order], count[order], owner[order], live
+        self.weight = self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * self.length[live][self.owner] / max(self.mean, 1.0)))
+        self.place = np.searchsorted(term, np.arange(len(self.idf) + 1)).tolist()
 
     def like(self, k: int) -> np.ndarray:
-        """Scores of all documents of the shard for all terms of document k."""
-        cuts = [slice(self.place[t], self.place[t + 1]) for t in self.query[k].tolist()]
+        """Scores of the indexed documents for all terms of document k."""
+        place = self.place
+        cuts = [slice(place[t], place[t + 1]) for t in self.parts[k][0].tolist()]
         if not cuts:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.owner[c] for c in cuts]), np.concatenate([self.weight[c] for c in cuts]), self.n)
+            return np.zeros(len(self.live))
+        return np.bincount(np.concatenate([self.owner[c] for c in cuts]), np.concatenate([self.weight[c] for c in cuts]), len(self.live))
 
 
 class _Packer:
@@ -154,12 +240,16 @@ class _Packer:
             while at < len(ids[k]):
                 at = self.put(names[k], ids[k], at)
             while self.filled:  # neighbours of the seed until the window is full
+                free = unused[index.live]
+                if 4 * np.count_nonzero(free) < 3 * len(free):  # used documents need no scores
+                    index.keep(np.flatnonzero(unused))
+                    free = unused[index.live]
+                if not free.any():
+                    return  # the window goes on in the next shard
                 score = index.like(k)
-                score[~unused] = -1
-                top = np.argsort(-score, kind="stable")[:64]
+                score[~free] = -1
+                top = index.live[np.argsort(-score, kind="stable")[:64]]
                 top = top[unused[top]]
-                if not len(top):
-                    return  # the window goes on in the next shard
                 for j in top.tolist():
                     unused[j] = False
                     cut = self.put(names[j], ids[j], 0)
@@ -230,7 +320,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         packer.tail()
         yield packer.drain(False, kind)
 
-    out = done.where("not part").select("id", "ids").mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = done.where("not part").select("id", "ids", "key", "row").repartitionByRange("key", "row").sortWithinPartitions("key", "row").select("id", "ids")
+    out = dealt.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 
 
