@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_near_duplicate_vectors": neardup.OP2_SQL,
         "op4_url_filter": urlfilter.OP4_SQL,
+        "op7_jaccard_join": jaccard.OP7_SQL,
         "op10_hamming_top_k": hamming.OP10_SQL,
     }
