@@ -40,7 +40,8 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]+")
 _GITHUB = re.compile(rb"gh[opsru]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+_JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++")
+_JWT_PART = re.compile(rb"[A-Za-z0-9_-]+")
 _KEYWORDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "github": tuple(f"gh{c}_" for c in "opsru"), "npm": ("npm_",), "jwt": ("eyj",)}
 _IS_HEX = bytes(104 if chr(b) in "0123456789abcdef" else 46 for b in range(256))
 _DIGITS = (string.digits + string.ascii_uppercase + string.ascii_lowercase).encode()
@@ -91,10 +92,14 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, in
         pattern, good = _RULES[kind]
         done = 0
         for at in sorted(places):
-            if at >= done and (m := pattern.match(raw, at)):
+            if at < done:
+                continue
+            if m := pattern.match(raw, at):
                 done = m.end()  # what fails is passed over as well
                 if good(m):
                     spans.append((m.start(), KINDS.index(kind), done))
+            elif kind == "jwt":  # later keywords of the same run go on as this one does, so they fail too
+                done = _JWT_PART.match(raw, at).end()
     mapped = raw.translate(_IS_HEX)
     at = mapped.find(b"h" * LEAST_HEX)
     while at >= 0:
