@@ -9,9 +9,10 @@ expanded, not pages, so a host with a third of all pages costs one row.
 Defined results: a null url, or one without ``://``, has an empty host and
 path; a url that no rule fits has a null rule and the default verdict; repeated
 rows are judged alike; of rules of equal length the one with the longer host
-wins, then the smaller text; rules with null parts fit nothing; other columns
-are not read; empty tables give an empty result, or the default verdict for
-all.
+wins, and of rules of equal host and path with different verdicts the one whose
+verdict is greatest as a text (block before allow); rules with null parts fit
+nothing; other columns are not read; empty tables give an empty result, or the
+default verdict for all.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few, table, written
 
 #: (host, path, verdict) of the registered query: fixed by its contract.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -42,7 +43,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     seen = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"))
     digest = F.sha2(F.col("expression"), 256)
     known = rules.where("host is not null and path is not null and verdict is not null")
-    known = known.select(F.concat("host", "path").alias("expression"), F.length("host").alias("of_host"), "verdict").dropDuplicates(["expression"])
+    known = known.groupBy(F.concat("host", "path").alias("expression")).agg(F.max(F.struct(F.length("host").alias("of_host"), "verdict")).alias("r")).select("expression", "r.of_host", "r.verdict")
     known = known.withColumns({"digest": digest, "short": F.substring(digest, 1, 8)}).withColumnRenamed("expression", "rule")
     lengths = sorted(r[0] for r in rules.where("path is not null").select(F.length("path")).distinct().collect())  # few: lengths of rule paths
     head = F.substring("path", 1, max(lengths, default=0))
@@ -58,7 +59,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     hits = expanded.join(known, "short").where("whole = digest")
     order = F.struct(F.length("rule").alias("n"), F.col("of_host").alias("h"))
     best = hits.groupBy("host", "head").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
-    out = seen.join(best, ["host", "head"], "left")
+    # written, so that the join back is one of two plain sides: it can be a broadcast, or a hot host be split
+    out = seen.join(few(written(best, "verdicts"), BROADCAST_RULES), ["host", "head"], "left")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
