@@ -7,16 +7,21 @@ near ``stupid``.  Nystroem landmarks give the machine its features.  Since the
 kernel is a sum over subsequences, the trained machine folds into one table of
 weights by subsequence, and a text is scored in one vectorised pass.
 
-Only texts are labelled, so words of toxic texts are instances of bags: each
-toxic text gives the words that speak most for it, and the machine chooses anew
-once it is trained.  A text's score is a logistic function of its highest words
-and of its length.
+Only texts are labelled, not their sentences: all sentences of clean texts are
+labelled clean, and of a toxic text the WITNESSES sentences that speak most for
+toxicity are labelled toxic.  At first the beginnings of words that toxic texts
+have more often choose them, and once the machine is trained it chooses anew.
+The kernel compares sentences by their closest words, so an instance is the word
+that speaks most in its sentence; all words of clean sentences are instances of
+the other class.  A text's score is a logistic function of its highest words and
+of its length.
 
 Defined results: a null text is the empty text; a text without words has the
 score of no evidence; without labels of both kinds all scores are 0; repeated
 rows are scored each; null labels and ids are not learnt from; a document that
-carries both labels counts as toxic; other columns are never inputs; an empty
-table gives an empty result.
+carries both labels counts as toxic, and of several texts of one labelled id the
+smallest is learnt from; other columns are never inputs; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -40,8 +45,10 @@ from .common import small_batches, table, text_of
 TRAINING_TEXTS = 1000
 LANDMARKS = 160
 DECAY = 0.7
-#: Rounds of choosing instances and training.
-STEPS = 3
+#: Rounds of choosing instances and training, and the most telling sentences that a toxic text gives in each.
+STEPS, WITNESSES = 3, 3
+#: A word is an instance of toxicity only if clean texts have it this much more rarely than toxic ones.
+RARER = 0.02
 RIDGE = 20.0
 PREDICTED = 0.7
 _BITS = 6
@@ -149,6 +156,26 @@ def _counts(words: list[str], number: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(len(words), width) / _norm(np.diff(border) - 1)[:, None]
 
 
+def _mapped(words: list[str], number: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Feature rows of words times ``table``, without the rows themselves; float32."""
+    out = np.zeros((len(words), table.shape[1]), np.float32)
+    table = table.astype(np.float32)
+    for at in range(0, len(words), 2000):
+        c = letters(" ".join(words[at : at + 2000]), join=False)
+        border = np.flatnonzero(c == _BORDER)
+        word = np.cumsum(c == _BORDER) - 1
+        part = out[at : at + 2000]
+        for code, place, span in occurrences(c):
+            k = number[code]
+            has = np.flatnonzero(k >= 0)
+            if len(has):
+                owner = word[place[has]]  # in order
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                part[owner[first]] += np.add.reduceat(table[k[has]], first, axis=0) * np.float32(DECAY**span)
+        part /= _norm(np.diff(border) - 1)[:, None].astype(np.float32)
+    return out
+
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -175,15 +202,21 @@ def sentences(text: str) -> list[str]:
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Weights of a linear machine under the squared hinge loss, by Newton steps on the active rows."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    keep = np.eye(x.shape[1]) * ridge
+    width = x.shape[1] + 1
+    w = np.zeros(width)
+    keep = np.eye(width) * ridge
     keep[-1, -1] = 1e-6
     active = np.ones(len(x), bool)
     for _ in range(30):
-        a = x[active] * weight[active, None]
-        w = np.linalg.solve(a.T @ x[active] + keep, a.T @ y[active])
-        after = y * (x @ w) < 1
+        left, right = keep.copy(), np.zeros(width)
+        for at in range(0, len(x), 4096):  # in blocks, so that x is held once
+            on = active[at : at + 4096]
+            rows = np.hstack([x[at : at + 4096][on].astype(float), np.ones((int(on.sum()), 1))])
+            weighted = rows * weight[at : at + 4096][on, None]
+            left += weighted.T @ rows
+            right += weighted.T @ y[at : at + 4096][on]
+        w = np.linalg.solve(left, right)
+        after = y * (x @ w[:-1].astype(np.float32) + w[-1]) < 1
         if np.array_equal(after, active) or not after.any():
             break
         active = after
@@ -223,14 +256,13 @@ def fit(texts: list[str], toxic: list[int]) -> dict | None:
     value = {w: math.log(max((far[g] + 1.0) / (near[g] + 1.0) for g in _heads(w)) * ratio) for w in in_marked}
     del far, near, spoken
     negative = sorted(in_clean, key=lambda w: (-in_clean[w], w))
-    negative = [*negative[:3000], *negative[3000 :: max(1, len(negative) // 5000)]]
     weights, bias = None, 0.0
     for _ in range(STEPS):
         seeds: Counter = Counter()
         for bag in bags:  # each text's best sentences give their best word
-            best = sorted((max((value[w], w) for w in s) for s in bag), reverse=True)[:3]
+            best = sorted((max((value[w], w) for w in s) for s in bag), reverse=True)[:WITNESSES]
             seeds.update(w for k, (v, w) in enumerate(best) if k == 0 or v > 0)
-        positive = [w for w, n in sorted(seeds.items(), key=lambda x: (-x[1], x[0])) if in_clean[w] <= 0.02 * in_marked[w]][:4000] or [w for w, _ in seeds.most_common(1)]
+        positive = [w for w, n in sorted(seeds.items(), key=lambda x: (-x[1], x[0])) if in_clean[w] <= RARER * in_marked[w]] or [w for w, _ in seeds.most_common(1)]
         if not positive:
             return None
         rows = [*positive, *negative]
@@ -242,7 +274,7 @@ def fit(texts: list[str], toxic: list[int]) -> dict | None:
         values, vectors = np.linalg.eigh(landmarks @ landmarks.T)
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])  # Nystroem map
-        x = np.vstack([_counts(rows[k : k + 200], number, len(codes)) @ (landmarks.T @ root) for k in range(0, len(rows), 200)])
+        x = _mapped(rows, number, landmarks.T @ root)
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         share = np.array([np.sqrt(seeds[w]) for w in positive])
         weight = np.concatenate([share / share.sum(), np.full(len(negative), 1 / len(negative))]) * len(rows) / 2
@@ -295,7 +327,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAINING_TEXTS) -
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("toxic = 1").orderBy(*order).limit(most).union(known.where("toxic = 0").orderBy(*order).limit(most))
     # 2 * most rows of two numbers: a fixed bound
-    rows = documents.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").collect()
+    rows = documents.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return fit([r.text for r in rows], [int(r.toxic) for r in rows])
 
 
