@@ -8,8 +8,9 @@ which blocks are main text.
 
 Defined results: a null or empty page has an empty text; text outside any block
 element is a block; unclosed and wrongly nested elements are taken as browsers
-would show them, block by block; repeated rows are extracted each; other columns
-are not read; an empty table gives an empty result.
+would show them, block by block; a ``<`` without a ``>`` after it is text;
+repeated rows are extracted each; other columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,20 +31,73 @@ from .common import small_batches, table
 
 #: Elements whose content is never text of the page.
 _SILENT = "script|style|template|svg|math|iframe|object|canvas|textarea|select|title|noscript|video|audio|map"
-_TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SILENT})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_SILENT_NAMES = frozenset(_SILENT.split("|"))
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in _SILENT_NAMES}
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """``start, end, name, closes, attributes`` of every tag in order; comments, declarations and silent elements have no name.
+
+    A silent element goes to its closing tag; without one, or closed by ``/>``,
+    it is its tag alone.  A quote that never closes ends the reading of quotes
+    for the rest of the page, so each place is read a bounded number of times.
+    """
+    at, quotes = 0, True
+    unclosed: set[str] = set()
+    last = page.rfind(">")
+    while (start := page.find("<", at)) >= 0 and start < last:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 2)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        m = _NAME.match(page, start)
+        if not m:
+            at = start + 1
+            if page[at : at + 1] in ("!", "?", "/"):
+                at = page.find(">", at) + 1
+                yield start, at, "", False, ""
+            continue
+        rest = _REST.match(page, m.end()) if quotes else None
+        if rest is None:
+            quotes = False
+            end = page.find(">", m.end())
+            attributes, at = page[m.end() : end], end + 1
+        else:
+            attributes, at = rest[1], rest.end()
+        name = m[2].lower()
+        if name not in _SILENT_NAMES or m[1]:
+            yield start, at, name, bool(m[1]), attributes
+            continue
+        if not attributes.endswith("/") and name not in unclosed:
+            if closing := _CLOSING[name].search(page, at):
+                at = closing.end()
+            else:
+                unclosed.add(name)
+        yield start, at, "", False, name
+
+
 _BLOCKS = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are not main text wherever they stand.
 _ASIDE = frozenset("nav footer aside form menu dialog button fieldset search head".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|sign-?up|login|"
+#: Class and id names of what is not main text, alone or as the last word of a name (``site-header``).
+_LAST = re.compile(
+    r"(?:.*[_-])?(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|sign-?up|login|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|header|masthead|footer|foot|copyright|comments?|commentlist|replies|reply|respond|disqus|discussion|social|share|sharing|"
-    r"related|recommend\w*|more-stories|trending|popular|tags?|pagination|pager|skip|toolbar|search)(?:$|[\s_\d-])",
+    r"related|recommend\w*|more-stories|trending|popular|tags?|pagination|pager|skip|toolbar|search)\d*",
+    re.I,
+)
+#: Names that say so as the first word as well (``comment-body``); others may name a subject there (``notice-period``).
+_FIRST = re.compile(
+    r"(?:ads?|adverts?|advertis\w*|sponsor\w*|cookies?|consent|gdpr|newsletter|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|masthead|footer|comments?|commentlist|disqus|social|sharing|"
+    r"pagination|related[_-]?(?:posts?|articles?|stor(?:y|ies)|links?|content|news|items?|topics?))(?:[_-].*|\d*)",
     re.I,
 )
+#: Elements of running text, whose names mostly say how they look: only a name alone counts.
+_RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote figcaption pre".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -63,6 +117,13 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _names(token: str, running: bool) -> bool:
+    """Whether a class or id names something that is not main text."""
+    if running and ("-" in token or "_" in token):
+        return False
+    return bool(_LAST.fullmatch(token) or _FIRST.fullmatch(token))
+
+
 def _apart(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element by its name or attributes holds no main text."""
     if tag in _ASIDE or tag == "header" and not inside:
@@ -71,7 +132,7 @@ def _apart(tag: str, attributes: str, inside: bool) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and _NAMES.search(value) or name == "role" and value.lower() in _ROLES:
+        if name in ("class", "id") and any(_names(token, tag in _RUNNING) for token in value.split()) or name == "role" and value.lower() in _ROLES:
             return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
@@ -102,35 +163,34 @@ def blocks(page: str) -> list[Block]:
             linked.clear()
 
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            text.append(html.unescape(page[at : m.start()]))
+    for start, end, tag, closes, attributes in tags(page):
+        if start > at:
+            text.append(html.unescape(page[at:start]))
             linked.append(link > 0)
-        at = m.end()
-        tag = (m[3] or "").lower()
+        at = end
         if not tag:
-            if m[1] and m[1].lower() in ("iframe", "video"):
+            if attributes in ("iframe", "video"):
                 text.append(" ")
                 linked.append(False)
             continue
         if tag == "a":
-            link = 0 if m[2] else 1
+            link = 0 if closes else 1
         elif tag == "br":
             text.append(" ")
             linked.append(link > 0)
         elif tag in _BLOCKS:
             close()
             link = 0
-        if tag in _VOID or m[4].endswith("/") and tag not in _BLOCKS:
+        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS:
             continue
         if tag in _BLOCKS or tag in ("span", "ins"):
-            if not m[2]:
+            if not closes:
                 if tag == "p" and stack and stack[-1][0] == "p":
                     stack.pop()
                     _, article, apart, heading = stack[-1] if stack else ("", False, False, "")
                 was = apart
                 article = article or tag in ("article", "main")
-                apart = apart or _apart(tag, m[4], article)
+                apart = apart or _apart(tag, attributes, article)
                 heading = tag if tag[0] == "h" and tag[1:].isdigit() else heading
                 if tag in ("span", "ins") and apart != was:
                     close_needed = (article, was, heading)
