@@ -8,8 +8,9 @@ and patterns and instances make a bipartite graph that is scored in rounds:
 1. A pattern is accepted by the share of its distinct instances that are known
    to be of one kind (LEAST_SHARE, with LEAST_SUPPORT of them at least).
 2. A word that stands where an accepted pattern wants an instance is learnt if
-   accepted patterns surround enough of all its occurrences (LEAST_INSIDE), so
-   common words are not learnt.
+   accepted patterns surround enough of all its places (LEAST_INSIDE) and it does
+   not stand there far more often than a known instance (MOST_TIMES), so common
+   words are not learnt: neither *the* nor *us* in "contact us".
 3. Learnt words are known from then on, wherever they stand, and bring further
    patterns.
 
@@ -46,8 +47,8 @@ KINDS = ("email", "ip", "card", "phone", "context")
 BASE = 4
 #: A pattern needs this many distinct known instances of one kind, and this share of all its distinct instances.
 LEAST_SUPPORT, LEAST_SHARE = 5, 0.8
-#: A word is learnt if this share of all its occurrences stands in accepted patterns.
-LEAST_INSIDE = 1 / 3
+#: A word is learnt if this share of all its places is in accepted patterns, and these are at most so many times the mean of a known instance.
+LEAST_INSIDE, MOST_TIMES = 1 / 3, 10
 #: Rounds after which the iteration fails instead of giving a part of the result.
 MOST_ROUNDS = 100
 #: One text of so many is read for the lower bounds.
@@ -244,6 +245,7 @@ def discover(texts: DataFrame, seeds: DataFrame, support: int = LEAST_SUPPORT, s
     pairs = seeds.select("instance", "kind", F.explode(F.array("before", "around")).alias("pattern")).where("pattern is not null")
     beside = written(pairs.distinct(), "beside")
     part = texts.where(F.pmod("key.a", F.lit(PART)) == 0)
+    mean = seeds.agg(F.try_divide(F.count("*"), F.count_distinct("instance"))).first()[0] or 1.0
     asked = accepted = rows = found = None  # patterns whose words have been read, accepted ones, all places of the former, of learnt words
     for _ in range(MOST_ROUNDS):
         best = written(_best(beside).where(F.col("n") >= support).where(F.col("n") >= share * F.col("named")), "best")
@@ -262,7 +264,8 @@ def discover(texts: DataFrame, seeds: DataFrame, support: int = LEAST_SUPPORT, s
             break
         accepted = fresh if accepted is None else accepted.union(fresh)
         held = rows.join(few(accepted), "pattern").join(known, "word", "left_anti")
-        held = written(held.groupBy("word").agg(F.count_distinct("key", "i").alias("inside"), F.min("kind").alias("kind")), "candidates")
+        held = held.groupBy("word").agg(F.count_distinct("key", "i").alias("inside"), F.min("kind").alias("kind"))
+        held = written(held.where(F.col("inside") <= MOST_TIMES * mean), "candidates")
         seen = _words(part).join(few(held.select("word")), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
         rare = written(held.join(seen, "word", "left").where(F.col("inside") >= inside * F.coalesce("seen", F.lit(0))).select(*held.columns), "rare")
         if rare.isEmpty():
