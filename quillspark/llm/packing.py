@@ -201,15 +201,15 @@ class _Index:
         order = np.argsort(term, kind="stable")
         term, count, self.owner, self.live = term[order], count[order], owner[order], live
         self.weight = self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * self.length[live][self.owner] / max(self.mean, 1.0)))
-        self.place = np.searchsorted(term, np.arange(len(self.idf) + 1)).tolist()
+        self.place = np.searchsorted(term, np.arange(len(self.idf) + 1))
 
     def like(self, k: int) -> np.ndarray:
         """Scores of the indexed documents for all terms of document k."""
-        place = self.place
-        cuts = [slice(place[t], place[t + 1]) for t in self.parts[k][0].tolist()]
-        if not cuts:
-            return np.zeros(len(self.live))
-        return np.bincount(np.concatenate([self.owner[c] for c in cuts]), np.concatenate([self.weight[c] for c in cuts]), len(self.live))
+        terms = self.parts[k][0]
+        first = self.place[terms]
+        n = self.place[terms + 1] - first
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)  # all postings of the terms
+        return np.bincount(self.owner[at], self.weight[at], len(self.live))
 
 
 class _Packer:
