@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import BROADCAST_IDS, table, written
 
 #: Widest segment, and the bits that a segment's number is shifted by in a key.
 SEGMENT = 16
@@ -65,6 +65,10 @@ def top_k(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str
     codes = written(kept.groupBy("code", "segments", "width").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("n", F.size("ids")), "distinct-codes")
     index = codes.select("code", "width", "n", F.posexplode("segments").alias("at", "value")).select("code", "width", "n", _key(F.col("at"), F.col("value")).alias("key"))
     index = written(index, "segments")
+    # values that occur at all: 2 ** wide at most for each segment; probes of others are not sent
+    present = written(index.select("key", "width").distinct(), "present")
+    if present.count() > BROADCAST_IDS:
+        present = None
     tasks = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = coded.where("asks").select(F.col("code").alias("asked"), "segments", "width").distinct()
     open_queries = written(asked.withColumn("most", F.col("width")), "open")
@@ -75,6 +79,8 @@ def top_k(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str
         probes = open_queries.repartition(tasks, "asked").select("asked", "width", "most", F.posexplode("segments").alias("at", "of"))
         near = F.transform(F.lit(masks), lambda m: _key(F.col("at"), m.bitwiseXOR(F.col("of"))))
         probes = probes.select("asked", "width", "most", F.explode(near).alias("key"))
+        if radius and present is not None:
+            probes = probes.join(F.broadcast(present), ["key", "width"], "left_semi")
         met = probes.hint("merge").join(index, ["key", "width"]).select("asked", "width", "most", "code", "n", _distance("asked", "code").alias("distance"))
         hits = met.where("distance <= most").drop("most")
         hits = (hits if kept_hits is None else hits.unionByName(kept_hits)).distinct()
