@@ -14,7 +14,8 @@ the tail of a task is cut into sequences whose lengths are powers of two, which
 need no padding.
 
 A batch of texts is cut at single spaces and newlines, where pieces of text
-can't touch each other's tokens, and each distinct piece is looked up once.
+can't touch each other's tokens; its distinct pieces are merged side by side as
+one text, and their ids are given out by position.
 
 Defined results: a null text is the empty text, which is the end token alone; a
 document longer than a window fills several; ties in score go to the earlier
@@ -51,51 +52,70 @@ K1, B = 1.2, 0.75
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-#: What the pieces that begin a text start with, in the memory of pieces.
+#: What the pieces that begin a text start with; others begin with a newline, or stand after a space.
 _FIRST = "\x01"
 _WHITE = r"\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts that are not cut at spaces alone: white space side by side, or the sign above.
 _CAREFUL = rf"[{_WHITE}][{_WHITE}]|\x01"
+#: Pieces that can stand side by side in one text: after spaces, and after newlines.
+_BESIDE = rf"(?s)^[^{_WHITE}\x01](?:.*[^{_WHITE}])?\z"
+_BELOW = rf"(?s)^[\n\x01][^{_WHITE}](?:.*[^{_WHITE}])?\z"
 
 
 class Tokeniser:
-    """Ids of whole texts, a batch at a time; pieces that are new are merged by the ranks of the same vocabulary."""
+    """Ids of whole texts, a batch at a time; the distinct pieces of a batch are merged by the ranks of the same vocabulary."""
 
     def __init__(self, path: str, ranks: str):
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        self.encode = plain._core_bpe.encode_ordinary
-        self.whole = bpe.Encoder(bpe.vocabulary(path), piece=self.encode)
+        self.plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+        self.whole = bpe.Encoder(bpe.vocabulary(path), piece=self.plain._core_bpe.encode_ordinary)
         self.lengths = np.array(self.whole.vocabulary.length)
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what the memory held before it was full
         self.specials = list(self.whole.vocabulary.special)
 
-    def _one(self, piece: str) -> bytes:
-        text = piece[1:] if piece[:1] == _FIRST else piece if piece[:1] == "\n" else " " + piece
-        return np.array(self.encode(text), "<u4").tobytes()
-
-    def known(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces; new ones are merged side by side as one text and cut by the lengths of their tokens."""
-        if len(self.pieces) > bpe.WORD_MEMORY:
-            self.pieces, self.older = {}, self.pieces
-        out = list(map(self.pieces.get, pieces))
-        missing = [x for x, ids in zip(pieces, out, strict=True) if ids is None]
-        found = {x: ids for x in missing if (ids := self.older.get(x)) is not None}
-        new = [x for x in missing if x not in found]
-        beside = [x for x in new if x and x[0] != _FIRST and not x[0].isspace() and not x[-1].isspace()]
-        if beside:
-            ids = np.array(self.encode(" " + " ".join(beside)), "<u4")
-            ends = np.cumsum(self.lengths[ids])
-            bounds = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in beside), np.int64, len(beside)))
-            cuts = np.searchsorted(ends, bounds)
-            if cuts[-1] == len(ids) - 1 and np.array_equal(ends[cuts], bounds):  # every piece ends with a token
-                raw, places = ids.tobytes(), (4 * (cuts + 1)).tolist()
-                found.update(zip(beside, (raw[a:b] for a, b in zip([0, *places], places, strict=False)), strict=True))
-        found.update((x, self._one(x)) for x in new if x not in found)
-        self.pieces.update((x, ids) for x, ids in found.items() if len(x) < 64)  # long ones hardly come again
-        return [found[x] if ids is None else ids for x, ids in zip(pieces, out, strict=True)]
+    def _merged(self, text: str) -> np.ndarray:
+        return self.plain.encode_to_numpy(text, disallowed_special=())
+
+    def _one(self, piece: str) -> np.ndarray:
+        return self._merged(piece[1:] if piece[:1] == _FIRST else piece if piece[:1] == "\n" else " " + piece)
+
+    def _together(self, pieces: pa.Array, before: str, between: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of ``pieces`` as one text, and the number of ids up to the end of each; None if a token spans two of them."""
+        whole = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), between)[0].as_py()
+        ids = self._merged(before + whole)
+        ends = np.cumsum(self.lengths[ids])
+        bounds = np.cumsum(pc.binary_length(pieces).to_numpy().astype(np.int64) + len(before))
+        cuts = np.searchsorted(ends, bounds)
+        return (ids, cuts + 1) if cuts[-1] == len(ids) - 1 and np.array_equal(ends[cuts], bounds) else None
+
+    def known(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces: all ids, and where those of each piece start and end."""
+        held, size = [np.empty(0, np.uint32)], 0
+        starts, ends = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        alone = np.ones(len(pieces), bool)
+        for pattern, before, between in ((_BESIDE, " ", " "), (_BELOW, "", "")):
+            at = np.flatnonzero(pc.match_substring_regex(pieces, pattern).to_numpy(zero_copy_only=False))
+            if not len(at):
+                continue
+            some = pieces.take(pa.array(at))
+            first = pc.starts_with(some, _FIRST).to_numpy(zero_copy_only=False)
+            if first.any():  # a newline in place of the sign keeps them apart and is left out again
+                some = pc.replace_substring(some, _FIRST, "\n")
+            found = self._together(some, before, between)
+            if found is None:
+                continue
+            ids, cuts = found
+            begin = np.concatenate([[0], cuts[:-1]])
+            if not before and np.any(self.lengths[ids[begin]] != 1):
+                continue
+            starts[at], ends[at], alone[at] = size + begin + first, size + cuts, False
+            held.append(ids)
+            size += len(ids)
+        for k in np.flatnonzero(alone).tolist():
+            held.append(self._one(pieces[k].as_py()))
+            starts[k], size = size, size + len(held[-1])
+            ends[k] = size
+        return np.concatenate(held), starts, ends
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (strings without nulls)."""
@@ -110,11 +130,9 @@ class Tokeniser:
             marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), "")
             cut = pc.split_pattern(marked, " ")
             distinct = cut.flatten().dictionary_encode()
-            known = self.known(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())  # much faster than to_pylist
-            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-            ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+            ids, starts, stops = self.known(distinct.dictionary)
             which = distinct.indices.to_numpy()
-            lengths = sizes[which]
+            lengths = (stops - starts)[which]
             ends = np.cumsum(lengths)
             flat = ids[np.arange(ends[-1]) + np.repeat(starts[which] - (ends - lengths), lengths)] if ends[-1] else ids[:0]
             bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
@@ -184,6 +202,14 @@ def _sum(parts: DataFrame) -> np.ndarray:
     return np.sum([np.frombuffer(r.ids, np.int64) for r in some], axis=0) if some else np.zeros(1, np.int64)
 
 
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest scores, in order; of equal ones the earlier come first."""
+    if len(score) <= n:
+        return np.argsort(-score, kind="stable")
+    able = np.flatnonzero(score >= np.partition(score, -n)[-n])
+    return able[np.argsort(-score[able], kind="stable")[:n]]
+
+
 class _Index:
     """BM25 inverted index of one shard."""
 
@@ -248,7 +274,7 @@ class _Packer:
                     return  # the window goes on in the next shard
                 score = index.like(k)
                 score[~free] = -1
-                top = index.live[np.argsort(-score, kind="stable")[:64]]
+                top = index.live[_best(score, 64)]
                 top = top[unused[top]]
                 for j in top.tolist():
                     unused[j] = False

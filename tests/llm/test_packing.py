@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -40,6 +41,24 @@ def test_every_token_once_without_padding(spark, window):
     assert packing.pack(df.limit(0), window=window).count() == 0
 
 
+def test_ids_of_random_texts_equal_the_library():
+    library = Tokenizer.from_file(bpe.VOCABULARY)
+    own, random = packing.Tokeniser(bpe.VOCABULARY, packing.RANKS), np.random.default_rng(7)
+    parts = ["a", "the", " the", " ", "\n", "\nB", "\t", "\x01", "'s", " 's", "é", "中", "12", ".", "!!", "\x1c", "\x85", "<|endoftext|>", "😀", "\r\n", "\x00"]
+    texts = ["".join(random.choice(parts, random.integers(0, 14))) for _ in range(3000)]
+    texts += ["".join(random.choice(["the", " b", "\nc", " 's", "\n'", "7"], random.integers(0, 14))) for _ in range(3000)]
+    for at in range(0, len(texts), 64):
+        batch = texts[at : at + 64]
+        assert [x.tolist() for x in own.batch(pa.array(batch, pa.string()))] == [library.encode(x, add_special_tokens=False).ids for x in batch]
+
+
+def test_best_scores_in_order():
+    random = np.random.default_rng(3)
+    for size in (0, 1, 5, 64, 65, 500):
+        score = random.integers(-1, 9, size).astype(float)
+        assert packing._best(score, 64).tolist() == np.argsort(-score, kind="stable")[:64].tolist()
+
+
 def test_neighbours_are_alike():
     from quillspark.llm.packing import _Index
 
