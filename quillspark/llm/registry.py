@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hamming, htmltext, jaccard, neardup, packing, pii, secrets, toxicity, urlfilter
+from . import bpe, hamming, htmltext, jaccard, neardup, packing, periods, pii, secrets, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_html_text": htmltext.op9_html_text,
         "op10_hamming_top_k": hamming.op10_hamming_top_k,
+        "op11_periodic_runs": periods.op11_periodic_runs,
     }
 
 
