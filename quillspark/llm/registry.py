@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hamming, htmltext, jaccard, neardup, packing, periods, phrases, pii, secrets, toxicity, urlfilter
+from . import bpe, hamming, htmltext, jaccard, neardup, packing, periods, phrases, pii, secrets, toxicity, urlfilter, variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_text": htmltext.op9_html_text,
         "op10_hamming_top_k": hamming.op10_hamming_top_k,
         "op11_periodic_runs": periods.op11_periodic_runs,
+        "op12_spelling_variants": variants.op12_spelling_variants,
         "op13_document_fingerprints": phrases.op13_document_fingerprints,
     }
 
