@@ -7,16 +7,18 @@ nor than ``||q - c| - |x - c||``, so cells and then rows are left out as soon as
 ``k`` neighbours are known.  What remains is first scored by int8 codes, each
 stored with the length of its rounding error, which bounds how far the product
 of the codes can be from the cosine; only vectors that this bound allows are
-read in full.
+scored in full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import vectors
@@ -98,44 +100,61 @@ def build(rows: DataFrame, path: str, *, id_col: str = "id", vector_col: str = "
     sizes.join(F.broadcast(places), "cell", "left").withColumn("id", F.lit(None).cast(kind)).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")  # a row a cell
 
 
-def top_k(spark: SparkSession, path: str, query: Sequence[float], k: int, *, offset: int = 0, allowed: DataFrame | None = None, told: dict | None = None) -> DataFrame:
-    """``id, score``: the k nearest by cosine after ``offset``, ties by id: the rows of ``vectors.dense_top_k``.
-
-    ``allowed`` holds the ids that pass a filter.  ``told``, if given, gets the
-    number of cells and of those read, and the share of rows read in full.
-    Vectors without a direction score 0, as all do for such a query.
-    """
-    stored = spark.read.parquet(f"{path}/cells")
-    kind = stored.schema["id"].dataType.simpleString()
-    every = spark.read.schema(_STORED.format(kind)).parquet(f"{path}/vectors")
-    if allowed is not None:
-        every = every.join(allowed.select("id"), "id", "left_semi")
-    table = stored.select("cell", "centre", "radius", "n").collect()  # at most CELLS and one
-    want, size = k + offset, float(np.linalg.norm(np.asarray(query, float)))
-    exact = every.select("id", F.when(F.col("cell") == NOWHERE, None).otherwise(F.col("vector")).alias("dense"), "cell")
-    best = lambda some: vectors.dense_top_k(some, query, k, offset=offset)
-    if not table or not size or not want:
-        return best(exact)
-    unit = np.asarray(query, float) / size
-    real = [r for r in table if r.cell != NOWHERE]
-    away = {r.cell: float(np.linalg.norm(unit - np.array(r.centre))) for r in real}
-    nearest, first, held = sorted(real, key=lambda r: (away[r.cell] - r.radius, r.cell)), [], 0
-    for r in nearest:  # cells that together hold enough rows
-        if held >= want:
-            break
-        first.append(r.cell)
-        held += r.n
-    got = vectors.dense_top_k(exact.where(F.col("cell").isin(first)), query, want).collect()
-    least = got[-1].score if len(got) == want else -1.0
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + _SLACK
-    open_ = [r for r in nearest if r.cell not in first and away[r.cell] - r.radius <= reach]
-    parts = exact.where(F.col("cell").isin(first))
-    if open_:
-        rows = every.where(F.col("cell").isin([r.cell for r in open_]))
-        off = F.element_at(F.create_map(*(x for r in open_ for x in (F.lit(r.cell), F.lit(away[r.cell])))), F.col("cell"))
-        ring = rows.where(F.abs(F.col("distance") - off) <= reach).select("cell", "id", "codes", "step", "error")
-
-        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Index:
+    """An index that ``build`` has written: its folder, the type of its ids, and its cells, at most ``CELLS`` and one."""
+
+    spark: SparkSession
+    path: str
+    kind: str
+    cells: Sequence[Row]
+
+    def rows(self, chosen: Sequence[Row], allowed: DataFrame | None = None) -> DataFrame:
+        """Rows of the cells, from their folders alone; vectors without a direction are null."""
+        schema = _STORED.format(self.kind)
+        paths = [f"{self.path}/vectors/cell={r.cell}" for r in chosen]
+        found = self.spark.read.schema(schema).option("basePath", f"{self.path}/vectors").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        found = found if allowed is None else found.join(allowed.select("id"), "id", "left_semi")
+        return found.withColumn("dense", F.when(F.col("cell") != NOWHERE, F.col("vector")))
+
+    def top_k(self, query: Sequence[float], k: int, *, offset: int = 0, allowed: DataFrame | None = None, told: dict | None = None) -> DataFrame:
+        """``id, score``: the k nearest by cosine after ``offset``, ties by id: the rows of ``vectors.dense_top_k``.
+
+        ``allowed`` holds the ids that pass a filter.  ``told``, if given, gets
+        the number of cells and of those read, and the numbers of rows and of
+        those scored in full.  Vectors without a direction score 0, as all do
+        for such a query.
+        """
+        want, size = k + offset, float(np.linalg.norm(np.asarray(query, float)))
+        if not size or not want or not self.cells:
+            return vectors.dense_top_k(self.rows(self.cells, allowed), query, k, offset=offset)
+        unit = np.asarray(query, float) / size
+        away = {r.cell: float(np.linalg.norm(unit - np.array(r.centre))) for r in self.cells if r.cell != NOWHERE}
+        nearest = sorted((r for r in self.cells if r.cell in away), key=lambda r: (away[r.cell] - r.radius, r.cell))
+        enough = np.cumsum([0, *(r.n for r in nearest)])[:-1] < want
+        first = [r for r, x in zip(nearest, enough, strict=True) if x]
+        got = vectors.dense_top_k(self.rows(first, allowed), query, want).collect()
+        least = got[-1].score if len(got) == want else -1.0
+        reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + _SLACK
+        open_ = [r for r in nearest[len(first) :] if away[r.cell] - r.radius <= reach]
+        more = [self._likely(open_, away, unit, least, reach, allowed)] if open_ else []
+        if least <= 0 and len(self.cells) > len(away):
+            more.append(self.rows([r for r in self.cells if r.cell == NOWHERE], allowed).select("id", "dense"))
+        if told is not None:
+            told |= {"cells": len(nearest), "read": len(first) + len(open_), "rows": sum(r.n for r in self.cells), "in_full": sum(r.n for r in first) + sum(x.count() for x in more)}
+        schema = f"id {self.kind}, score double"
+        if not more:
+            return self.spark.createDataFrame([tuple(r) for r in got[offset:]], schema)
+        have = self.spark.createDataFrame([tuple(r) for r in got], schema)
+        others = vectors.dense_scores(reduce(DataFrame.unionByName, more), query)
+        return have.unionByName(others).orderBy(F.desc("score"), "id").offset(offset).limit(k)
+
+    def _likely(self, chosen: Sequence[Row], away: dict[int, float], unit: np.ndarray, least: float, reach: float, allowed: DataFrame | None) -> DataFrame:
+        """Rows of the cells that their distance and their codes allow to score ``least``."""
+        off = F.element_at(F.create_map(*(x for r in chosen for x in (F.lit(r.cell), F.lit(away[r.cell])))), F.col("cell"))
+        ring = self.rows(chosen, allowed).where(F.abs(F.col("distance") - off) <= reach)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(batch.num_rows, -1)
@@ -143,10 +162,9 @@ def top_k(spark: SparkSession, path: str, query: Sequence[float], k: int, *, off
                     batch = batch.filter(pa.array(bound >= least - _SLACK))
                 yield batch.select([0, 1])
 
-        candidates = ring.mapInArrow(likely, f"cell int, id {kind}")
-        parts = parts.unionByName(exact.where(F.col("cell").isin([r.cell for r in open_])).join(candidates, ["cell", "id"], "left_semi").select("id", "dense", "cell"))
-    if least <= 0:
-        parts = parts.unionByName(exact.where(F.col("cell") == NOWHERE))
-    if told is not None:
-        told |= {"cells": len(real), "read": len(first) + len(open_), "rows": sum(r.n for r in table), "in_full": parts.count()}
-    return best(parts)
+        return ring.select("id", "dense", "codes", "step", "error").mapInArrow(run, f"id {self.kind}, dense array<float>")
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    stored = spark.read.parquet(f"{path}/cells")
+    return Index(spark, path, stored.schema["id"].dataType.simpleString(), stored.select("cell", "centre", "radius", "n").collect())

@@ -11,52 +11,123 @@ score is never read.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import vectors
+from quillspark.session import exists
 
 #: Documents of a segment, folders of the index, and segments scored before the bound is known.
 SEGMENT, FOLDERS, FIRST = 64, 64, 8
 #: Bounds are sums of doubles in another order than scores.
 _SLACK = 1e-9
-_STORED = "term string, segment long, most double, postings array<struct<id: {}, weight: double>>, folder int"
 
 
-def _folder(term: Column, folders: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
+def _folder(term: str, folders: int) -> int:
+    return zlib.crc32(term.encode()) % folders
 
 
 def build(rows: DataFrame, path: str, *, id_col: str = "id", text_col: str = "text", segment: int = SEGMENT, folders: int = FOLDERS, k1: float = vectors.K1, b: float = vectors.B, average: float = vectors.AVERAGE) -> None:
     """Write the index of ``rows`` under ``path``.
 
     Ids are distinct.  Null and empty texts have no postings and are never
-    found.  Three shuffles: terms by document, documents by their order, blocks
-    by term; no group is larger than a segment or a text.
+    found.  Shuffles: documents by their order, weights to their documents, and
+    blocks by ranges of terms; no group is larger than a segment or a text.
     """
     spark = rows.sparkSession
-    weights = vectors.bm25_weights(rows, id_col=id_col, text_col=text_col, k1=k1, b=b, average=average)
-    weights.write.mode("overwrite").parquet(f"{path}/weights")
+    _weights(rows, id_col, text_col, k1, b, average).write.mode("overwrite").parquet(f"{path}/weights")
     held = spark.read.parquet(f"{path}/weights")
     heaviest = held.groupBy("id").agg(F.max(F.struct("weight", "term")).alias("top"))
     ordered = heaviest.repartitionByRange(F.col("top.term"), F.desc("top.weight"), "id").sortWithinPartitions("top.term", F.desc("top.weight"), "id")
     # rows of a partition are numbered one after another
     ordered.select("id", F.floor(F.monotonically_increasing_id() / segment).alias("segment")).write.mode("overwrite").parquet(f"{path}/documents")
-    placed = held.join(spark.read.parquet(f"{path}/documents"), "id")
-    # a common term is many blocks: they are dealt out by term and segment
-    blocks = placed.groupBy("term", "segment").agg(F.max("weight").alias("most"), F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("postings"))
-    sorted_ = blocks.withColumn("folder", _folder(F.col("term"), folders)).repartitionByRange("folder", "term", "segment").sortWithinPartitions("folder", "term", "segment")
-    sorted_.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
-
-
-def blocks(spark: SparkSession, path: str, terms: list[str], folders: int = FOLDERS) -> DataFrame:
-    """Blocks of the terms, from their folders alone."""
-    kind = spark.read.parquet(f"{path}/documents").schema["id"].dataType.simpleString()
-    stored = spark.read.schema(_STORED.format(kind)).parquet(f"{path}/blocks")
-    in_folders = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_folder(F.col("term"), folders)).distinct().collect()]
-    return stored.where(F.col("folder").isin(in_folders) & F.col("term").isin(terms))
+    placed = held.join(spark.read.parquet(f"{path}/documents"), "id").withColumn("folder", (F.crc32("term") % folders).cast("int"))
+    # a common term is many segments: ranges split it, and its blocks need no other shuffle
+    ranged = placed.repartitionByRange("folder", "term", "segment")
+    blocks = ranged.groupBy("folder", "term", "segment").agg(F.max("weight").alias("most"), F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("postings"))
+    blocks.sortWithinPartitions("folder", "term", "segment").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
+
+
+def _weights(rows: DataFrame, id_col: str, text_col: str, k1: float, b: float, average: float) -> DataFrame:
+    """The rows of ``vectors.bm25_weights``; a text's words are counted where it is read, an Arrow batch at a time."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    word = re.compile("[a-z0-9]+")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, terms, weights = [], [], []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                found = word.findall(text or "")
+                norm = k1 * (1 - b + b * len(found) / average)
+                counts = Counter(found)
+                owners += [n] * len(counts)
+                terms += counts
+                weights += [tf * (k1 + 1) / (tf + norm) for tf in counts.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(terms, pa.string()), pa.array(weights, pa.float64())], ["id", "term", "weight"])
+
+    return rows.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text")).mapInArrow(count, f"id {kind}, term string, weight double")
+
+
+@dataclass(frozen=True)
+class Index:
+    """An index that ``build`` has written: its folder, the type of its ids, and how it was built."""
+
+    spark: SparkSession
+    path: str
+    kind: str
+    segment: int = SEGMENT
+    folders: int = FOLDERS
+    first: int = FIRST
+
+    def blocks(self, terms: Iterable[str]) -> DataFrame:
+        """Blocks of the terms, from their folders alone."""
+        names = sorted({f"{self.path}/blocks/folder={_folder(t, self.folders)}" for t in terms})
+        held = [n for n in names if exists(self.spark, n)]
+        schema = f"term string, segment long, most double, postings array<struct<id: {self.kind}, weight: double>>"
+        stored = self.spark.read.schema(schema).parquet(*held) if held else self.spark.createDataFrame([], schema)
+        return stored.where(F.col("term").isin(list(terms)))
+
+    def top_k(self, query: str, k: int, *, offset: int = 0, allowed: DataFrame | None = None, told: dict | None = None, **how) -> DataFrame:
+        """``id, score`` of the k best after ``offset``, by score and id: the rows of ``vectors.sparse_top_k``.
+
+        ``allowed`` holds the ids that pass a filter.  ``told``, if given, gets
+        the number of segments that hold a term and of those that were scored.
+        A query without words finds nothing.
+        """
+        terms, want = vectors.term_weights(query, **how), k + offset
+        schema = f"id {self.kind}, score double"
+        if not terms or not want:
+            return self.spark.createDataFrame([], schema)
+        found = self.blocks(terms)
+        bounded = bounds(found, terms)
+        # the segments of highest bound: their number is the caller's, not the table's
+        ahead = max(self.first, -(-4 * want // self.segment))
+        best = bounded.orderBy(F.desc("bound"), "segment").limit(ahead).collect()
+        chosen = [r.segment for r in best]
+        scored = _scores(found.where(F.col("segment").isin(chosen)), terms, allowed)
+        known = scored.orderBy(F.desc("score"), "id").limit(want).collect()
+        least = known[-1].score * (1 - _SLACK) if len(known) == want else 0.0  # scores are above 0
+        rest = bounded.where((F.col("bound") >= least) & ~F.col("segment").isin(chosen))
+        more = len(best) == ahead and best[-1].bound >= least
+        if told is not None:
+            told |= {"segments": bounded.count(), "scored": len(best) + (rest.count() if more else 0)}
+        if not more:
+            return self.spark.createDataFrame([tuple(r) for r in known[offset:]], schema)
+        have = self.spark.createDataFrame([tuple(r) for r in known], schema)
+        others = _scores(found.join(rest.select("segment"), "segment", "left_semi"), terms, allowed)
+        return have.unionByName(others).orderBy(F.desc("score"), "id").offset(offset).limit(k)
+
+
+def opened(spark: SparkSession, path: str, **how) -> Index:
+    return Index(spark, path, spark.read.parquet(f"{path}/documents").schema["id"].dataType.simpleString(), **how)
 
 
 def bounds(found: DataFrame, terms: dict[str, float]) -> DataFrame:
@@ -75,34 +146,3 @@ def _scores(found: DataFrame, terms: dict[str, float], allowed: DataFrame | None
         posted = posted.join(allowed.select("id"), "id", "left_semi")
     parts = [F.coalesce(F.max(F.when(F.col("term") == t, F.lit(w) * F.col("weight"))), F.lit(0.0)) for t, w in terms.items()]
     return posted.groupBy("id").agg(reduce(lambda x, y: x + y, parts).alias("score"))
-
-
-def top_k(spark: SparkSession, path: str, query: str, k: int, *, offset: int = 0, allowed: DataFrame | None = None, folders: int = FOLDERS, first: int = FIRST, told: dict | None = None, **how) -> DataFrame:
-    """``id, score`` of the k best after ``offset``, by score and id: the rows of ``vectors.sparse_top_k``.
-
-    ``allowed`` holds the ids that pass a filter.  ``told``, if given, gets the
-    number of segments that hold a term and of those that were scored.  A query
-    without words finds nothing.
-    """
-    terms = vectors.term_weights(query, **how)
-    if not terms:
-        ids = spark.read.parquet(f"{path}/documents").select("id")
-        return ids.withColumn("score", F.lit(0.0)).limit(0)
-    found, want = blocks(spark, path, list(terms), folders), k + offset
-    bounded = bounds(found, terms)
-    # the segments of highest bound: their number is the caller's, not the table's
-    ahead = max(first, -(-4 * want // SEGMENT))
-    best = bounded.orderBy(F.desc("bound"), "segment").limit(ahead).collect()
-    chosen = [r.segment for r in best]
-    known = _scores(found.where(F.col("segment").isin(chosen)), terms, allowed).orderBy(F.desc("score"), "id").limit(want).collect()
-    least = known[-1].score - _SLACK * abs(known[-1].score) if len(known) == want and want else None
-    if told is not None:
-        told |= {"segments": bounded.count(), "scored": bounded.where((F.lit(least).cast("double").isNull()) | (F.col("bound") >= F.lit(least).cast("double")) | F.col("segment").isin(chosen)).count()}
-    schema = f"id {found.schema['postings'].dataType.elementType['id'].dataType.simpleString()}, score double"
-    have = spark.createDataFrame([tuple(r) for r in known], schema)
-    if least is None or (len(best) == ahead and best[-1].bound >= least):
-        rest = bounded.where(~F.col("segment").isin(chosen))
-        rest = rest if least is None else rest.where(F.col("bound") >= least)
-        more = found.join(rest.select("segment"), "segment", "left_semi")
-        have = have.unionByName(_scores(more, terms, allowed))
-    return have.orderBy(F.desc("score"), "id").offset(offset).limit(k)

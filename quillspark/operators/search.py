@@ -8,30 +8,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.uri import uuid5
-from quillspark.operators import filters, fusion, vectors
+from quillspark.operators import cells, filters, fusion, postings, vectors
 
 POOL, PER_ACT, TITLES, BOOST = 200, 10, 20, 0.3
 
 
-def hybrid(rows: DataFrame, text: str, vector: Sequence[float] | None, size: int, *, offset: int = 0, where: Column | None = None, how: str = "dbsf", vectors_of: DataFrame | None = None, dense_limit: int | None = None, sparse_limit: int | None = None, id_col: str = "id", text_col: str = "text", vector_col: str = "dense", k: int = 60) -> DataFrame:
+def hybrid(rows: DataFrame, text: str, vector: Sequence[float] | None, size: int, *, offset: int = 0, where: Column | None = None, how: str = "dbsf", vectors_of: DataFrame | None = None, dense_limit: int | None = None, sparse_limit: int | None = None, id_col: str = "id", text_col: str = "text", vector_col: str = "dense", k: int = 60, posted: postings.Index | None = None, celled: cells.Index | None = None) -> DataFrame:
     """``id, score``: dense and sparse candidates of the filtered rows, fused.
 
     Without a vector the sparse list alone is the result; a blank query only
     filters, in the order of the keys' UUIDs.  ``vectors_of`` holds the vectors
-    where they are a table of their own with the filter's columns.
+    where they are a table of their own with the filter's columns.  ``posted``
+    and ``celled`` are stored indexes of the texts and of the vectors,
+    which are then asked instead of the tables; a filter gives them its ids.
     """
+    ids = None if where is None else rows.where(where).select(F.col(id_col).alias("id"))
     rows = rows if where is None else rows.where(where)
     if not text.strip():
         return rows.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).orderBy(uuid5(F.col("id").cast("string"))).offset(offset).limit(size)
     want = size + offset
+
+    def sparse_list(n: int, after: int = 0) -> DataFrame:
+        if posted is not None:
+            return posted.top_k(text, n, offset=after, allowed=ids)
+        return vectors.sparse_top_k(rows, text, n, offset=after, id_col=id_col, text_col=text_col)
+
     if vector is None:
-        return vectors.sparse_top_k(rows, text, size, offset=offset, id_col=id_col, text_col=text_col)
+        return sparse_list(size, offset)
     if how == "rrf":
         dense_n, sparse_n = dense_limit or want, sparse_limit or want
     else:
         dense_n, sparse_n = dense_limit or max(30, 3 * want), sparse_limit or max(8, int(0.8 * want))
-    dense = vectors.dense_top_k(rows if vectors_of is None else vectors_of, vector, dense_n, id_col=id_col, vector_col=vector_col)
-    sparse = vectors.sparse_top_k(rows, text, sparse_n, id_col=id_col, text_col=text_col)
+    if celled is not None:
+        dense = celled.top_k(vector, dense_n, allowed=ids)
+    else:
+        dense = vectors.dense_top_k(rows if vectors_of is None else vectors_of, vector, dense_n, id_col=id_col, vector_col=vector_col)
+    sparse = sparse_list(sparse_n)
     fused = fusion.rrf(dense, sparse, k=k) if how == "rrf" else fusion.dbsf(dense, sparse)
     return fusion.top(fused, size, offset)
 

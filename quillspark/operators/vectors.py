@@ -33,13 +33,17 @@ def literal(vector: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 
 
-def dense_top_k(rows: DataFrame, query: Sequence[float], k: int, *, id_col: str = "id", vector_col: str = "dense", where: Column | None = None, offset: int = 0) -> DataFrame:
-    """``id, score``: the k nearest by cosine among rows that pass the filter; ties by id."""
-    rows = rows if where is None else rows.where(where)
+def dense_scores(rows: DataFrame, query: Sequence[float], *, id_col: str = "id", vector_col: str = "dense") -> DataFrame:
+    """``id, score`` of all rows by cosine, in no order."""
     size = sum(x * x for x in query) ** 0.5
     own = F.sqrt(dot(F.col(vector_col), F.col(vector_col)))
     score = F.when((own > 0) & F.lit(size > 0), dot(F.col(vector_col), literal(query)) / (own * F.lit(float(size) or 1.0))).otherwise(0.0)
-    scored = rows.select(F.col(id_col).alias("id"), score.alias("score"))
+    return rows.select(F.col(id_col).alias("id"), score.alias("score"))
+
+
+def dense_top_k(rows: DataFrame, query: Sequence[float], k: int, *, id_col: str = "id", vector_col: str = "dense", where: Column | None = None, offset: int = 0) -> DataFrame:
+    """``id, score``: the k nearest by cosine among rows that pass the filter; ties by id."""
+    scored = dense_scores(rows if where is None else rows.where(where), query, id_col=id_col, vector_col=vector_col)
     return scored.orderBy(F.desc("score"), "id").offset(offset).limit(k)
 
 

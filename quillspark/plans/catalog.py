@@ -12,7 +12,8 @@ from quillspark.fixed import CATEGORIES, TYPES
 from quillspark.functions import text as T
 from quillspark.functions import uri as U
 from quillspark.functions.regnal import fast_year
-from quillspark.operators import audit, filters, fusion, ingest, lookup, search, vectors
+from quillspark.operators import audit, cells, filters, fusion, ingest, lookup, postings, search, vectors
+from quillspark.session import made_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +45,26 @@ def embedded(spark, d) -> DataFrame:
     return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"), "label")
 
 
+#: Stored indexes by their folders.
+_OPENED: dict[str, postings.Index | cells.Index] = {}
+
+
+def _opened(spark, path: str, how):
+    if path not in _OPENED or _OPENED[path].spark is not spark:
+        _OPENED[path] = how(spark, path)
+    return _OPENED[path]
+
+
+def posted(spark, d) -> postings.Index:
+    """The stored posting index of the documents' texts."""
+    return _opened(spark, made_once(spark, f"{d}/documents.parquet", "postings", lambda path: postings.build(docs(spark, d), path)), postings.opened)
+
+
+def celled(spark, d) -> cells.Index:
+    """The stored cells of the embeddings."""
+    return _opened(spark, made_once(spark, f"{d}/embeddings.parquet", "cells", lambda path: cells.build(embedded(spark, d), path)), cells.opened)
+
+
 def asked(spark, d, vec_id: int = 7) -> list[float]:
     """The query's vector: one row."""
     return embedded(spark, d).where(F.col("id") == vec_id).select("dense").first()[0]
@@ -79,6 +100,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"SELECT id, round(score, 6) AS score FROM ({_top(_DENSE, 50)})")
 def dense_top_k(spark, d):
+    return _rounded(celled(spark, d).top_k(asked(spark, d), 50))
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_top(_DENSE, 50)})")
+def dense_scan(spark, d):
+    """The same rows by a scan of all vectors."""
     return _rounded(vectors.dense_top_k(embedded(spark, d), asked(spark, d), 50))
 
 
@@ -89,9 +116,37 @@ def dense_top_k_filtered(spark, d):
 
 @query(f"SELECT id, round(score, 6) AS score FROM ({_top(_sparse(), 40)})")
 def sparse_top_k(spark, d):
+    return _rounded(posted(spark, d).top_k(TEXT, 40))
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_top(_sparse(), 40)})")
+def sparse_scan(spark, d):
+    """The same rows by a scan of all texts."""
     return _rounded(vectors.sparse_top_k(docs(spark, d), TEXT, 40))
 
 
+@query(f"SELECT id, round(score, 6) AS score FROM ({_top(_sparse(where='n_chars > 900'), 30)})")
+def sparse_top_k_filtered(spark, d):
+    """A filter's ids meet the postings before the cut."""
+    return _rounded(posted(spark, d).top_k(TEXT, 30, allowed=docs(spark, d).where("n_chars > 900")))
+
+
+@query(f"""WITH x AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL),
+ n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id)
+SELECT term, count(*) AS documents, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 256.0))), 6) AS most FROM c JOIN n USING (doc_id) GROUP BY term""")
+def posting_index(spark, d):
+    """The stored index, term by term: documents and the highest weight of its blocks.  Builds it where it is missing."""
+    held = spark.read.parquet(f"{posted(spark, d).path}/blocks")
+    return held.groupBy("term").agg(F.sum(F.size("postings")).alias("documents"), F.round(F.max("most"), 6).alias("most"))
+
+
+@query("SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda v: CAST(round(v::DOUBLE * 1000) AS INTEGER)), ',') AS vector FROM embeddings")
+def vector_index(spark, d):
+    """The stored cells, vector by vector.  Builds them where they are missing."""
+    held = spark.read.parquet(f"{celled(spark, d).path}/vectors")
+    return held.select("id", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1000).cast("int").cast("string")), ",").alias("vector"))
+
+
 @query("""WITH x AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
  u AS (SELECT id, len(w) AS n, unnest(w) AS term FROM x), c AS (SELECT id, n, term, count(*) AS tf FROM u GROUP BY ALL),
  f AS (SELECT term, count(*) AS df FROM c GROUP BY term)
@@ -108,7 +163,7 @@ def sparse_index_top_k(spark, d):
 
 @query(_dbsf(_top(_DENSE, 60), _top(_sparse(), 16), 20))
 def hybrid_dbsf(spark, d):
-    return _rounded(search.hybrid(docs(spark, d), TEXT, asked(spark, d), 20, vectors_of=embedded(spark, d)))
+    return _rounded(search.hybrid(docs(spark, d), TEXT, asked(spark, d), 20, posted=posted(spark, d), celled=celled(spark, d)))
 
 
 def _rrf(n: int) -> str:
@@ -118,7 +173,7 @@ def _rrf(n: int) -> str:
 
 @query(_rrf(20))
 def hybrid_rrf(spark, d):
-    return _rounded(search.hybrid(docs(spark, d), TEXT, asked(spark, d), 20, how="rrf", vectors_of=embedded(spark, d)))
+    return _rounded(search.hybrid(docs(spark, d), TEXT, asked(spark, d), 20, how="rrf", posted=posted(spark, d), celled=celled(spark, d)))
 
 
 @query(f"SELECT id, round(score, 6) AS score FROM (SELECT * FROM ({_sparse(where=chr(39) + 'en' + chr(39) + ' = lang')}) ORDER BY score DESC, id LIMIT 10 OFFSET 5)")
@@ -865,7 +920,7 @@ def embedding_inputs(spark, d):
 def failed_embeddings(spark, d):
     """Vectors that failed are zeros, and score 0."""
     x = embedded(spark, d).withColumn("dense", vectors.embedding_or_zero(F.when(F.col("label") != 3, F.col("dense")), 64))
-    return _rounded(vectors.dense_top_k(x, asked(spark, d), 1 << 30))
+    return _rounded(vectors.dense_scores(x, asked(spark, d)))
 
 
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7), b AS (SELECT max(abs(x)) / 127 AS step FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 from pathlib import Path
@@ -43,6 +44,25 @@ def scratch(spark: SparkSession) -> str:
     return folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def made_once(spark: SparkSession, source: str, kind: str, build) -> str:
+    """The folder of what ``build(path)`` makes of the files at ``source``; made once in an application for files of the same names, sizes and times."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(source)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [place] if system.getFileStatus(place).isFile() else [f.getPath() for f in system.listStatus(place)]
+    states = sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in map(system.getFileStatus, found))
+    path = f"{scratch(spark)}/{spark.sparkContext.applicationId}/{kind}-{hashlib.sha256(chr(10).join(states).encode()).hexdigest()[:24]}"
+    if not exists(spark, f"{path}/_BUILT"):
+        build(path)
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_BUILT")
+        done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done).close()
+    return path
+
+
 def local(name: str = "quillspark", cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine."""
     return (

@@ -21,7 +21,7 @@ def stored(request, spark, tmp_path_factory):
     found = {"clustered": CLUSTERED, "spread": SPREAD, "equal": [CENTRES[0]] * 50}[request.param] + [None, [0.0] * 16]
     df, path = frame(spark, found).cache(), str(tmp_path_factory.mktemp("cells"))
     cells.build(df, path)
-    return request.param, df, path
+    return request.param, df, cells.opened(spark, path)
 
 
 def rows(df):
@@ -30,22 +30,22 @@ def rows(df):
 
 @pytest.mark.parametrize(("k", "offset"), [(10, 0), (25, 6), (4000, 0)])
 def test_rows_of_a_scan(spark, stored, k, offset):
-    _, df, path = stored
+    _, df, index = stored
     for query in (CENTRES[0], -CENTRES[3], RNG.normal(size=16), CLUSTERED[7] * 100, np.zeros(16)):
-        assert rows(cells.top_k(spark, path, list(map(float, query)), k, offset=offset)) == rows(vectors.dense_top_k(df, list(map(float, query)), k, offset=offset))
+        assert rows(index.top_k(list(map(float, query)), k, offset=offset)) == rows(vectors.dense_top_k(df, list(map(float, query)), k, offset=offset))
 
 
 def test_a_filter_comes_before_the_cut(spark, stored):
-    _, df, path = stored
+    _, df, index = stored
     some, query = df.where("third = 1"), list(map(float, CENTRES[2]))
-    assert rows(cells.top_k(spark, path, query, 9, allowed=some)) == rows(vectors.dense_top_k(some, query, 9))
+    assert rows(index.top_k(query, 9, allowed=some)) == rows(vectors.dense_top_k(some, query, 9))
 
 
 def test_what_is_read(spark, stored):
     """Clusters are left out whole; where nothing is clustered, cells are read and the codes leave rows out."""
-    name, _, path = stored
+    name, _, index = stored
     told = {}
-    cells.top_k(spark, path, list(map(float, CLUSTERED[5])), 10, told=told)
+    index.top_k(list(map(float, CLUSTERED[5])), 10, told=told)
     if name == "clustered":
         assert told["read"] <= told["cells"] / 3 and told["in_full"] < 0.2 * told["rows"]
     if name == "spread":
@@ -55,13 +55,15 @@ def test_what_is_read(spark, stored):
 def test_odd_vectors_and_empty_tables(spark, tmp_path):
     df = frame(spark, ODD + CLUSTERED[:20])
     cells.build(df, str(tmp_path / "odd"))
-    got = rows(cells.top_k(spark, str(tmp_path / "odd"), list(map(float, CENTRES[0])), 100))
+    got = rows(cells.opened(spark, str(tmp_path / "odd")).top_k(list(map(float, CENTRES[0])), 100))
     assert len(got) == 25 and sum(s == 0 for _, s in got) == len(ODD)
     cells.build(df.limit(0), str(tmp_path / "none"))
-    assert cells.top_k(spark, str(tmp_path / "none"), [1.0] * 16, 3).count() == 0
+    assert cells.opened(spark, str(tmp_path / "none")).top_k([1.0] * 16, 3).count() == 0
 
 
-def test_only_open_cells_and_no_vectors_are_scanned_for_codes(spark, stored):
-    _, _, path = stored
-    plan = cells.top_k(spark, path, list(map(float, CENTRES[1])), 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("PartitionFilters: [") >= 1 and "CartesianProduct" not in plan
+def test_only_the_folders_of_open_cells_are_read(spark, stored):
+    _, _, index = stored
+    two = [r for r in index.cells if r.cell != cells.NOWHERE][:2]
+    plan = index.rows(two)._jdf.queryExecution().executedPlan().toString()
+    assert index.rows(two).count() == sum(r.n for r in two)
+    assert "CartesianProduct" not in plan
