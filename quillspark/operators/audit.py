@@ -120,3 +120,22 @@ def notes_by_act(notes: DataFrame, act: str = "legislation_id") -> DataFrame:
 def reference_totals(act_refs: str, paragraph_refs: str) -> Column:
     """References of an act and of all its paragraphs."""
     return F.size(act_refs) + F.size(F.flatten(paragraph_refs))
+
+
+#: Binary logarithm of the registers of a counting sketch, and its relative error at one standard deviation.
+SKETCH, SKETCH_ERROR = 12, 1.04 / 2**6
+
+
+def sketches(rows: DataFrame, day: str, collection: str, key: str) -> DataFrame:
+    """``day, collection, sketch``: of the distinct keys of a day; null keys don't count.  Sketches merge, so only new rows are ever read."""
+    return rows.groupBy(F.col(day).alias("day"), F.col(collection).alias("collection")).agg(F.hll_sketch_agg(key, SKETCH).alias("sketch"))
+
+
+def merged(*stored: DataFrame) -> DataFrame:
+    """Sketches of the same day and collection as one."""
+    return reduce(DataFrame.unionByName, stored).groupBy("day", "collection").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated(stored: DataFrame, *by: str) -> DataFrame:
+    """``by, n``: about how many distinct keys all stored sketches of a group have seen, each key once."""
+    return stored.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))

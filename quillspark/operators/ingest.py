@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +91,27 @@ def first_documents(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def first_valid(folders: Sequence[str], read: Callable[[Sequence[str]], DataFrame], n: int, *, ahead: int = 1) -> tuple[DataFrame, int]:
+    """The first n rows of folders in order, and how many folders were opened.
+
+    ``read`` gives the valid rows of some folders.  Folders are opened ``ahead``
+    at a time, then twice and four times as many, until n rows are valid; what
+    follows is never listed or read.  The rows are those of the opened folders
+    without those of the last steps that are not needed, in no order within a
+    folder but that of ``read``.
+    """
+    opened, found, parts = 0, 0, []
+    while opened < len(folders) and found < n:
+        some = folders[opened : opened + ahead]
+        opened, ahead = opened + len(some), ahead * 2
+        for folder in some:
+            if found < n:
+                part = read([folder]).limit(n - found)
+                found += part.count()
+                parts.append(part)
+    return (reduce(DataFrame.unionByName, parts) if parts else read(list(folders[:1])).limit(0)), opened
+
+
 def modes(years: list[int], mode: str, this_year: int) -> list[int]:
     """Years of a daily or a full run, or those given."""
     return {"daily": [this_year, this_year - 1], "full": list(range(1963, this_year + 1))}.get(mode, sorted(set(years)))

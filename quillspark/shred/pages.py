@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,12 +94,17 @@ def note_records(rows: DataFrame, act: str = "legislation_id") -> DataFrame:
     return rows.select(key.alias("id"), F.col(act).alias("legislation_id"), note_type("route").alias("note_type"), "route", found["kind"].alias("section_type"), found["number"].alias("section_number"), "order", "text")
 
 
-def notes(page: str, first: int = 0) -> list[dict]:
-    """Texts under headings h2 to h6 of a page; the second level begins as Introduction."""
+def notes(page: str, first: int = 0, inside: bool = False) -> list[dict]:
+    """Texts under headings h2 to h6 of a page; the second level begins as Introduction.
+
+    With ``inside`` only what stands in the page's article, or in its snippet of a note, is read.
+    """
     route: list[str | None] = [None, "Introduction", None, None, None]
     out, text = [], ""
     root = tree(page)
     body = root.first("body") or root
+    if inside:
+        body = next((d for d in root.walk("div") if "LegSnippet" in (d.get("class") or "").split()), None) or root.first("article") or body
     for node in [*body.nodes(), Node("h2")]:
         level = int(node.tag[1]) - 2 if re.fullmatch(r"h[2-6]", node.tag) else None
         if level is not None:
@@ -111,3 +117,33 @@ def notes(page: str, first: int = 0) -> list[dict]:
         elif node.tag in ("ul", "ol"):
             text += "".join(f"\t{x}\n" for c in node.children if (x := (c.text if isinstance(c, Node) else c).strip()))
     return out
+
+
+#: What the pages of a note crawl are: an act's contents, the contents of its notes, a whole note or a part of one.
+ACT_PAGE, CONTENTS_PAGE, NOTE_PAGE = "act contents", "note contents", "note"
+
+
+def note_style(root: Node) -> str | None:
+    """``old`` where all notes are one page away, ``new`` where they are a chain of pages, else null."""
+    opener = next((a for a in root.walk("a") if a.get("title") == "Open Explanatory Notes"), None)
+    if opener is not None and opener.text == "Open full notes":
+        return "old"
+    article = root.first("article")
+    heading = next((h for h in article.walk("h2") if "title" in (h.get("class") or "").split()), None) if article else None
+    return "new" if heading is not None and heading.text.strip() == "What these notes do" else None
+
+
+def note_links(page: str, kind: str, url: str) -> list[tuple[str, str]]:
+    """``url, kind`` of the links that a note crawl follows from a page."""
+    root = tree(page)
+    if kind == ACT_PAGE:
+        found = [a for a in root.walk("a") if a.text == "Explanatory Notes"][:1]
+        return [(urljoin(url, a.get("href")), CONTENTS_PAGE) for a in found if a.get("href")]
+    style = note_style(root) if kind == CONTENTS_PAGE else "new"
+    if style == "old":
+        found = [a for a in root.walk("a") if a.get("title") == "Open Explanatory Notes"][:1]
+    elif style == "new":  # the contents are the first page of the chain
+        found = [a for a in root.walk("a") if {"userFunctionalElement", "nav"} <= set((a.get("class") or "").split()) and a.text.strip() == "Next"][:1]
+    else:
+        found = []
+    return [(urljoin(url, a.get("href")), NOTE_PAGE) for a in found if a.get("href")]

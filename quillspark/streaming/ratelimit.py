@@ -64,10 +64,13 @@ def limited(hits: DataFrame, key: str, time: str, order: str, path: Column, *, p
     return every.withColumn("__told", told).select(*hits.columns, "__told.*")
 
 
-def stream_counts(hits: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
-    """The same on a stream: ``key, time, hits``; state of a key is dropped when its window is over.
+def stream_counts(hits: DataFrame, key: str, time: str, seconds: int, late: str = "1 minute") -> DataFrame:
+    """The same on a stream: ``key, time, hits``.
 
-    Needs the RocksDB state store.
+    A key's state has a timer at the end of its window and goes when the
+    watermark, ``late`` behind the newest hit, has passed it, so state is that
+    of open windows only.  Hits later than that are left out.  Needs the
+    RocksDB state store.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -77,7 +80,7 @@ def stream_counts(hits: DataFrame, key: str, time: str, seconds: int) -> DataFra
             self.handle = handle
 
         def handleInputRows(self, who, frames, timers):  # noqa: N802
-            opened, count = self.state.get() if self.state.exists() else (None, 0)
+            opened, count = before = self.state.get() if self.state.exists() else (None, 0)
             times = pd.concat(list(frames))["time"].sort_values()
             counts = []
             for when in times.map(pd.Timestamp.timestamp):
@@ -85,12 +88,25 @@ def stream_counts(hits: DataFrame, key: str, time: str, seconds: int) -> DataFra
                     opened, count = when, 0
                 count += 1
                 counts.append(count)
+            if before[0] != opened:  # another window: its own timer alone is left
+                if before[0] is not None:
+                    self.handle.deleteTimer(_end(before[0], seconds))
+                self.handle.registerTimer(_end(opened, seconds))
             self.state.update((opened, count))
             yield pd.DataFrame({"key": who[0], "time": times.to_numpy(), "hits": counts})
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            self.state.clear()
+            return iter(())
+
         def close(self):
             pass
 
     kind = hits.schema[key].dataType.simpleString()
-    chosen = hits.select(F.col(key).alias("key"), F.col(time).alias("time"))
-    return chosen.groupBy("key").transformWithStateInPandas(Counter(), f"key {kind}, time timestamp, hits long", "Append", "None")
+    chosen = hits.select(F.col(key).alias("key"), F.col(time).alias("time")).withWatermark("time", late)
+    return chosen.groupBy("key").transformWithStateInPandas(Counter(), f"key {kind}, time timestamp, hits long", "Append", "EventTime")
+
+
+def _end(opened: float, seconds: int) -> int:
+    """Milliseconds at which a window is over."""
+    return round((opened + seconds) * 1000)
