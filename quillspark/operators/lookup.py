@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.uri import uuid5
+from quillspark.functions.uri import normalise_uri, parent_section, uuid5
 
 #: Texts of one act in one row are bounded by this many provisions.
 MOST_PROVISIONS = 1000
@@ -85,3 +85,11 @@ def missing(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def point_lookup(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows with the given keys; a few keys are broadcast by size, many are shuffled."""
     return rows.join(ids.select(key), key, "left_semi")
+
+
+def texts_of_edges(edges: DataFrame, provisions: DataFrame, url: str, *, uri: str = "uri", text: str = "text", most: int = 8000, mark: str = "... [truncated]") -> DataFrame:
+    """Edges with ``provision_text`` of the section that a URL lies in, under any spelling of it; cut with a mark, null where no section has a text."""
+    section = lambda c: F.coalesce(parent_section(normalise_uri(c)), normalise_uri(c))
+    held = provisions.where(F.length(F.trim(text)) > 0).select(section(uri).alias("__k"), F.col(text).alias("__t")).groupBy("__k").agg(F.min("__t").alias("__t"))
+    cut = F.when(F.length("__t") > most, F.concat(F.substring("__t", 1, most), F.lit(mark))).otherwise(F.col("__t"))
+    return edges.withColumn("__k", section(url)).join(held, "__k", "left").withColumn("provision_text", cut).drop("__k", "__t")

@@ -1100,4 +1100,4 @@ def rate_limit_decisions(spark, d):
     return out.select("event_id", "status", "left_minute", "left_hour")
 
 
-from quillspark.plans import flows, forms, stored  # noqa: E402, F401 - they register their queries here
+from quillspark.plans import flows, forms, injected, stored  # noqa: E402, F401 - they register their queries here

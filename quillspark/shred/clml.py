@@ -190,3 +190,29 @@ def provision_text(text: str, most: int = 8000) -> str:
     parts = [s for x in parse(text).walk("Text") if len(s := _flat(x)) > 3]
     joined = "\n".join(parts)
     return joined if len(joined) <= most else joined[:most] + "…"
+
+
+SCAN = "legislation_id string, pdf_url string, legislation_type string, identifier string, title string"
+
+
+def scans(text: str) -> list[dict]:
+    """The scan of an act that has no body: its address, and the type and identifier that its own address holds."""
+    root = parse(text)
+    if root.first("Body", "EUBody") is not None:
+        return []
+    link = next((x for x in root.walk("link") if x.get("type") == "application/pdf" and x.get("title") == "Original PDF"), None)
+    act = root.get("IdURI") or _flat(root.first("identifier")) or ""
+    parts = act.split("/")
+    return [{"legislation_id": act or None, "pdf_url": link.get("href") if link else None, "legislation_type": parts[4] if len(parts) > 4 else None, "identifier": "/".join(parts[5:]) or None, "title": _flat(root.first("title")) or None}]
+
+
+#: Letters of a fetched provision, and what stands after a cut.
+MOST_LETTERS, CUT = 8000, "... [truncated]"
+
+
+def fetched_text(text: str) -> str | None:
+    """What the elements of a provision begin with, where it is over three letters, cut with a mark; None without any."""
+    root = parse(text)
+    parts = [s for n in (root, *root.walk()) if n.children and isinstance(n.children[0], str) and len(s := n.children[0].strip()) > 3]
+    joined = " ".join(parts)
+    return (joined if len(joined) <= MOST_LETTERS else joined[:MOST_LETTERS] + CUT) or None
