@@ -32,6 +32,8 @@ from .common import small_batches, table
 #: Elements whose content is never text of the page.
 _SILENT = "script|style|template|svg|math|iframe|object|canvas|textarea|select|title|noscript|video|audio|map"
 _SILENT_NAMES = frozenset(_SILENT.split("|"))
+#: Of these, those that ``/>`` closes; it means nothing on an element of HTML, scripts and styles among them.
+_FOREIGN = frozenset(("svg", "math"))
 _CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in _SILENT_NAMES}
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -40,8 +42,8 @@ _REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     """``start, end, name, closes, attributes`` of every tag in order; comments, declarations and silent elements have no name.
 
-    A silent element goes to its closing tag; without one, or closed by ``/>``,
-    it is its tag alone.  A quote that never closes ends the reading of quotes
+    A silent element goes to its closing tag; without one, or as a foreign
+    element closed by ``/>``, it is its tag alone.  A quote that never closes ends the reading of quotes
     for the rest of the page, so each place is read a bounded number of times.
     """
     at, quotes = 0, True
@@ -71,7 +73,7 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         if name not in _SILENT_NAMES or m[1]:
             yield start, at, name, bool(m[1]), attributes
             continue
-        if not attributes.endswith("/") and name not in unclosed:
+        if not (attributes.endswith("/") and name in _FOREIGN) and name not in unclosed:
             if closing := _CLOSING[name].search(page, at):
                 at = closing.end()
             else:

@@ -303,3 +303,8 @@ def test_precision_and_recall_of_contexts(spark):
     print(f"precision {right / max(1, len(found)):.3f}, recall {right / len(wanted):.3f}")
     assert right >= 0.95 * len(found)
     assert right >= 0.9 * len(wanted)
+
+
+def test_only_foreign_elements_close_themselves():
+    page = '<article><script src="a.js"/>alert(1)</script><p>Text of the page.</p><style/>p{color:red}</style><p>More of it.</p><svg class="i"/><p>And the end.</p></article>'
+    assert htmltext.main_text(page) == "Text of the page.\nMore of it.\nAnd the end."
