@@ -92,6 +92,7 @@ def _tile(threshold: float, kind: str):
         block, copies = (rows.column(c).to_numpy() for c in ("block", "copies"))
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         v = np.frombuffer(b"".join(rows.column("v").to_pylist()), kind).reshape(rows.num_rows, -1).astype(np.float64)
+        v = np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])  # by a power of two, which is exact: no square is too large or too small
         q, step, lost = _quantise(v)
         norm = np.linalg.norm(v, axis=1)
         # both vectors have length one, so float32 loses at most 2 ** -24 of about one in each of d additions; the rest is for steps and bounds

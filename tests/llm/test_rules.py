@@ -308,3 +308,9 @@ def test_precision_and_recall_of_contexts(spark):
 def test_only_foreign_elements_close_themselves():
     page = '<article><script src="a.js"/>alert(1)</script><p>Text of the page.</p><style/>p{color:red}</style><p>More of it.</p><svg class="i"/><p>And the end.</p></article>'
     assert htmltext.main_text(page) == "Text of the page.\nMore of it.\nAnd the end."
+
+
+def test_vectors_of_any_size_are_compared(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e180]), (2, [1e-200, 0.0]), (3, [0.0, 1e-200]), (4, [3.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (0, 3), 4: (3, 0)}
