@@ -125,24 +125,54 @@ def case_header(text) -> Column:
     return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
-#: What becomes of line ends and of brackets around the marks of paragraphs, in Java's and in Python's expressions alike:
-#: no line end after a bullet or a letter's mark, one for many elsewhere, and ``(a)`` or ``a)`` as ``a.``.
-_MARKS = [(r"(?<=•)\n+|(?<=[A-Za-z]\.)\n+|(?<=[a-z]\))\n+", ""), (r"\n+", "\n"), (r"\((?=[a-z0-9])", ""), (r"(?<=[a-z0-9])\)", ".")]
+#: Letters and digits that a bracket makes a mark of.
+_SMALL = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _line(line: str) -> str:
+    """A line whose bracketed marks, ``(a)`` or ``a)``, are ``a.``; other brackets stay."""
+    first, *others = line.split("(")
+    opened = first + "".join(x if x[:1] in _SMALL else f"({x}" for x in others)
+    *before, last = opened.split(")")
+    return "".join(f"{x}." if x[-1:] in _SMALL else f"{x})" for x in before) + last
+
+
+def _leads_on(line: str) -> bool:
+    """Whether a line is, or ends with, a mark that the next line belongs to: a bullet or a letter's mark; a number stands alone."""
+    return line[-1:] == "•" or line[-1:] == "." and line[-2:-1].isascii() and line[-2:-1].isalpha()
 
 
 def marked(text: str) -> str:
-    """A text with the marks of its paragraphs in one form."""
-    for pattern, put in _MARKS:
-        text = re.sub(pattern, put, text)
-    return text
+    """A text with the marks of its paragraphs in one form, read line by line.
+
+    Blank lines go, what follows a bullet or a letter's mark comes up to it, and
+    a line end at the start or the end of the text stays.
+    """
+    lines = text.split("\n")
+    out = ["\n"] if len(lines) > 1 and not lines[0] else []
+    held = [_line(x) for x in lines if x]
+    for n, line in enumerate(held):
+        ends = n < len(held) - 1 or not lines[-1]
+        out.append(f"{line}\n" if ends and not _leads_on(line) else line)
+    return "".join(out)
 
 
 def paragraph_marks(text) -> Column:
-    """``marked`` as a column."""
-    out = _c(text)
-    for pattern, put in _MARKS:
-        out = F.regexp_replace(out, pattern, put)
-    return out
+    """``marked`` as a column, by the same lines."""
+    small = lambda x: (x != "") & F.contains(F.lit("".join(sorted(_SMALL))), x)
+    whole = lambda parts, f: F.array_join(F.transform(parts, f), "")
+
+    def line(x: Column) -> Column:
+        opened = whole(F.split(x, r"\(", -1), lambda p, n: F.when((n == 0) | small(F.left(p, F.lit(1))), p).otherwise(F.concat(F.lit("("), p)))
+        parts = F.split(opened, r"\)", -1)
+        return whole(parts, lambda p, n: F.when(n == F.size(parts) - 1, p).when(small(F.right(p, F.lit(1))), F.concat(p, F.lit("."))).otherwise(F.concat(p, F.lit(")"))))
+
+    leads_on = lambda x: F.endswith(x, F.lit("•")) | F.regexp_like(x, F.lit(r"[A-Za-z]\.$(?!\n)"))
+    lines = F.split(_c(text), "\n", -1)
+    held = F.transform(F.filter(lines, lambda x: x != ""), line)
+    open_end = F.element_at(lines, -1) != ""
+    ended = whole(held, lambda x, n: F.when(leads_on(x) | (open_end & (n == F.size(held) - 1)), x).otherwise(F.concat(x, F.lit("\n"))))
+    return F.concat(F.when((F.size(lines) > 1) & (F.get(lines, F.lit(0)) == ""), "\n").otherwise(""), ended)
 
 
 def nested_text(value) -> Column:
