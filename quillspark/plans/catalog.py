@@ -155,6 +155,14 @@ def bm25_weights_idf(spark, d):
     return vectors.bm25_weights(docs(spark, d), idf=True).withColumn("weight", F.round("weight", 6))
 
 
+@query(f"SELECT doc_id AS id, CASE WHEN doc_id % 5 > 0 THEN len(list_distinct({_WORDS})) ELSE 0 END::BIGINT AS terms FROM documents")
+def sparse_failures(spark, d):
+    """A text that failed has an empty sparse vector: no terms, and its document stays."""
+    x = docs(spark, d).withColumn("text", F.when(F.col("id") % 5 > 0, F.col("text")))
+    terms = vectors.bm25_weights(x).groupBy("id").agg(F.count("*").alias("terms"))
+    return x.select("id").join(terms, "id", "left").select("id", F.coalesce("terms", F.lit(0).cast("long")).alias("terms"))
+
+
 @query(f"SELECT id, round(score, 6) AS score FROM ({_top(_sparse(), 25)})")
 def sparse_index_top_k(spark, d):
     stored = vectors.bm25_weights(docs(spark, d))

@@ -145,6 +145,18 @@ def document_stream(spark, d):
     return last.join(held, "url", "left").select("url", "status", "letters")
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 2 ELSE 1 END * length(coalesce(text, '')) AS letters FROM documents WHERE doc_id % 3 > 0""")
+def rescraped_documents(spark, d):
+    """Documents of labelled ids are fetched and read anew, with texts twice as long; broken ones leave what was."""
+    x, path = _documents(spark, d), _folder(spark)
+    run = loop.Loop(Table(spark, f"{path}/table", "id", "seq", 8), f"{path}/run", letters_of, "id long, letters long, seq long")
+    run.batch(x, 0)
+    asked = t(spark, d, "labels").where("quality = 1").select(_at("u/", F.col("doc_id")).alias("url"), F.lit("x").alias("type"), F.lit(0).alias("year"))
+    twice = F.regexp_replace("text", "(?s)>(.*)</a>$", ">$1$1</a>")
+    run.again(asked, crawl.from_table(x.select("url", twice.alias("html"))), 1)
+    return run.table.read().select(F.col("id").alias("doc_id"), "letters")
+
+
 @query("""WITH x AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3 DESC, o_orderkey DESC) AS n FROM orders)
 SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM x WHERE n = 1""")
 def versioned_upserts(spark, d):

@@ -86,6 +86,23 @@ def act_provisions_of_texts(spark, d):
     return y.select("doc_id", F.regexp_replace("number", "^article-", "").alias("number"), "provision_type", "title", "extent", F.size("paragraphs").alias("paragraphs"), F.get("paragraphs", F.lit(0))["text"].alias("first"))
 
 
+_UNION = (
+    '<Legislation IdURI="http://l/id/eur/2001/{doc_id}" RestrictExtent="E"><EURetained/><EUBody><Division><Title>On {source}</Title><P1 IdURI="http://l/id/eur/2001/{doc_id}/article/{doc_id % 9 + 1}" RestrictExtent="S"><Pnumber>Article {doc_id % 9 + 1}.</Pnumber>'
+    '<P1para><P IdURI="http://l/p/1"><Text>{m}</Text></P><P><Text>no address</Text></P><P IdURI="http://l/p/2"><Text>{lang}</Text></P></P1para></P1></Division></EUBody>'
+    '<Schedules><Schedule IdURI="http://l/id/eur/2001/{doc_id}/schedule/1"><Title>Annex</Title><ScheduleBody><P IdURI="u"><Text>{m}</Text></P></ScheduleBody></Schedule></Schedules></Legislation>'
+)
+
+
+@query(f"""SELECT doc_id, 'Article ' || (doc_id % 9 + 1) AS label, (doc_id % 9 + 1)::VARCHAR AS number, 'On ' || source AS title, 'E' AS extent, m || '|' || lang AS paragraphs FROM {_D}
+ UNION ALL SELECT doc_id, NULL, '1', 'Annex', 'E', m FROM {_D}""")
+def articles_of_texts(spark, d):
+    """Acts of the Union: articles with the title of their division, their own numbering and paragraphs that have an address."""
+    x = _docs(spark, d).select("doc_id", _fill(_UNION).alias("x"))
+    y = shred.rows(x, clml.provisions, clml.PROVISION, "x", "doc_id")[0]
+    shown = F.array_join(F.transform("paragraphs", lambda p: p["text"]), "|")
+    return y.select("doc_id", "label", F.regexp_replace("number", "^article-", "").alias("number"), "title", "extent", shown.alias("paragraphs"))
+
+
 @query(f"SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'http://l/' || doc_id || '.pdf' END AS pdf_url, 'ukpga' AS legislation_type, '2001/' || doc_id AS identifier, 'Act of ' || source AS title FROM {_D} WHERE doc_id % 7 IN (1, 2)")
 def discovered_scans(spark, d):
     """Acts without a body, with the address of their scan, type and identifier."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.shred.tree import Node, parse
 
 HEADER = "id string, uri string, title string, description string, enacted string, valid string, modified string, publisher string, category string, type string, year int, number int, status string, extent string, provisions int, has_body boolean, european boolean"
-PROVISION = "uri string, legislation_id string, title string, text string, extent string, provision_type string, number string, paragraphs array<struct<uri:string,text:string>>, commentary_refs array<string>"
+PROVISION = "uri string, legislation_id string, title string, text string, extent string, provision_type string, number string, paragraphs array<struct<uri:string,text:string>>, commentary_refs array<string>, label string"
 COMMENTARY = "legislation_id string, ref string, type string, text string, citation_id string, citation_uri string, citation_ref string, citation_type string"
 
 
@@ -154,23 +154,38 @@ def _number(uri: str, word: str) -> str:
 
 
 def provisions(text: str) -> list[dict]:
-    """Sections of the body, then schedules; no body gives no rows (the act is a scan only)."""
+    """Sections of the body, then schedules; no body gives no rows (the act is a scan only).
+
+    Retained acts of the Union have articles in divisions of their own.  ``label``
+    is the provision's number as it stands before it.
+    """
     root = parse(text)
     act, out = root.get("IdURI"), []
-    body = root.first("EUBody" if root.first("EURetained") else "Body", "Body", "EUBody")
+    european = root.first("EURetained") is not None
+    body = root.first("EUBody" if european else "Body", "Body", "EUBody")
+
+    def row(node: Node, kind: str, title: str, shown: str, extent: str | None, paragraphs: str) -> dict:
+        uri, label = node.get("IdURI"), _flat(node.first("Pnumber")).strip(".")
+        return {"uri": uri, "legislation_id": act, "title": title, "text": shown, "extent": extent, "provision_type": kind, "number": _number(uri, kind), "paragraphs": _paragraphs(node, paragraphs), "commentary_refs": _refs(node), "label": label or None}
+
     for p in body.walk("P1") if body else ():
-        uri = p.get("IdURI")
-        if not uri:
+        if not p.get("IdURI"):
+            continue
+        if european:  # an article has the title, the text and the divisions of the element around it, and the act's extent
+            around = p.parent
+            title = around.first("Title")
+            out.append(row(p, "section", _flat(title), markdown(around), root.get("RestrictExtent"), "P"))
             continue
         group, part = p.above("P1group"), p.above("Part")
         title = group.nodes("Title") if group else []
         extent = p.get("RestrictExtent") or (part and part.get("RestrictExtent")) or root.get("RestrictExtent")
-        out.append({"uri": uri, "legislation_id": act, "title": _flat(title[0]) if title else "", "text": markdown(p), "extent": extent, "provision_type": "section", "number": _number(uri, "section"), "paragraphs": _paragraphs(p, "P2"), "commentary_refs": _refs(p)})
+        out.append(row(p, "section", _flat(title[0]) if title else "", markdown(p), extent, "P2"))
     schedules = root.first("Schedules")
     for s in schedules.walk("Schedule") if schedules else ():
-        uri, title = s.get("IdURI"), s.first("Title")
-        if uri:
-            out.append({"uri": uri, "legislation_id": act, "title": _flat(title), "text": markdown(s) if title else "", "extent": s.get("RestrictExtent") or root.get("RestrictExtent"), "provision_type": "schedule", "number": _number(uri, "schedule"), "paragraphs": _paragraphs(s, "P1"), "commentary_refs": _refs(s)})
+        if s.get("IdURI"):
+            title = s.first("Title")
+            extent = root.get("RestrictExtent") if european else s.get("RestrictExtent") or root.get("RestrictExtent")
+            out.append(row(s, "schedule", _flat(title), markdown(s) if title else "", extent, "P" if european else "P1"))
     return out
 
 

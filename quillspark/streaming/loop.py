@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,16 +46,31 @@ class Loop:
 
     def batch(self, rows: DataFrame, number: int) -> None:
         """One batch of ``url, type, year, text``.  Of several rows of an address one of the largest text is read."""
-        spark, staged = rows.sparkSession, f"{self.path}/parsed/batch={number}"
-        if not exists(spark, f"{staged}/_SUCCESS"):
+
+        def todo() -> DataFrame:
             asked = rows.where("url is not null")
             asked = asked if self.types is None else asked.where(F.col("type").isin(list(self.types)))
             asked = asked if self.years is None else asked.where(F.col("year").isin(list(self.years)))
             log = self.log(but=number).where("status = 'success'")
-            todo = ingest.new_only(ingest.latest(asked, "url", "text"), log, "url", "url")
-            if self.limit is not None:
-                todo = todo.orderBy(F.desc("year"), "type", "url").limit(max(self.limit - log.count(), 0))
-            todo.select("url", "type", "year", shred.records(self.parse, self.schema, "text").alias("r")).write.mode("overwrite").parquet(staged)
+            left = ingest.new_only(ingest.latest(asked, "url", "text"), log, "url", "url")
+            return left if self.limit is None else left.orderBy(F.desc("year"), "type", "url").limit(max(self.limit - log.count(), 0))
+
+        self._done(rows.sparkSession, todo, number)
+
+    def again(self, asked: DataFrame, fetch: Callable[[DataFrame], DataFrame], number: int) -> None:
+        """Documents of ``url, type, year`` are fetched and read anew, whatever the log says; what ``fetch`` (``url, html``) does not give is left as it is."""
+
+        def todo() -> DataFrame:
+            once = asked.where("url is not null").dropDuplicates(["url"])
+            return once.join(fetch(once.select("url")).select("url", F.col("html").alias("text")), "url").where("text is not null")
+
+        self._done(self.table.spark, todo, number)
+
+    def _done(self, spark: SparkSession, todo: Callable[[], DataFrame], number: int) -> None:
+        """Parse, upsert and log; each step is a folder or a version of the batch's number, so doing it again changes nothing."""
+        staged = f"{self.path}/parsed/batch={number}"
+        if not exists(spark, f"{staged}/_SUCCESS"):
+            todo().select("url", "type", "year", shred.records(self.parse, self.schema, "text").alias("r")).write.mode("overwrite").parquet(staged)
         parsed = spark.read.parquet(staged)
         self.table.upsert(parsed.where("r.error is null").select(F.inline("r.rows")), batch=f"{self.path}#{number}")
         outcome = ingest.outcome(F.col("r.error"), F.lit(False))["status"]
