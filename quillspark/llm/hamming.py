@@ -14,8 +14,10 @@ a code's ids beyond the k + 1 smallest can't be among the first k.
 Defined results: a vector that is null, empty or holds null or NaN components
 has no code, so it finds nothing and is not found; a query does not find its own
 row; ties in distance go to the smaller id; with fewer than k other codes all
-are returned; codes of another width are not found; other columns are not read;
-an empty table gives an empty result.
+are returned; codes of another width are not found; other columns are not read,
+whatever their names; a row with a null id neither asks nor is found; rows that
+repeat an id and its code are one neighbour, but each of them that asks is
+answered; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -114,3 +114,10 @@ def test_hamming_against_brute_force(spark):
     few = hamming.top_k(df.where("vec_id < 3"), 7, is_query=F.lit(True))
     assert few.count() == 6
     assert hamming.top_k(df.limit(0)).count() == 0
+
+
+def test_hamming_of_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(0, [1.0, -1.0, 1.0]), (0, [1.0, -1.0, 1.0]), (1, [1.0, -1.0, 1.0]), (2, [1.0, 1.0, 1.0]), (2, [1.0, 1.0, 1.0]), (None, [1.0, -1.0, 1.0]), (3, None), (4, []), (5, [1.0])]
+    df = spark.createDataFrame([(*r, 9, "x", 1) for r in rows], "vec_id long, embedding array<double>, id long, code string, distance long")
+    got = sorted((r.query_id, r.rank, r.neighbour_id, r.distance) for r in hamming.top_k(df, 5, is_query=F.col("vec_id").isin(0, 2) | F.col("vec_id").isNull()).collect())
+    assert got == sorted([(0, 1, 1, 0), (0, 2, 2, 1)] * 2 + [(2, 1, 0, 1), (2, 2, 1, 1)] * 2)
