@@ -210,6 +210,30 @@ class _ListedReader(DataSourceReader):
             yield "all", year, page, address
 
 
+def http_page(address: str, options: dict[str, str]) -> str | None:
+    """A page of the network; None where the server has none.  ``timeout`` in seconds, ``tries`` of a server that is busy or fails, ``pause`` before another, doubled each time."""
+    import time
+    import urllib.error
+    import urllib.request
+
+    pause, tries = float(options.get("pause", "1")), int(options.get("tries", "4"))
+    for left in reversed(range(tries)):
+        try:
+            with urllib.request.urlopen(address, timeout=float(options.get("timeout", "30"))) as answer:  # noqa: S310 - the caller names the site
+                return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+        except urllib.error.HTTPError as problem:
+            if problem.code not in (429, 500, 502, 503, 504):
+                return None
+            if not left:
+                raise
+        except urllib.error.URLError:
+            if not left:
+                raise
+        time.sleep(pause)
+        pause *= 2
+    return None
+
+
 def stored_page(address: str, options: dict[str, str]) -> str | None:
     """A fetch from stored pages: the folder ``pages`` of Parquet ``url, html`` in 16 parts by CRC-32 of the address (``store_pages``)."""
     import pyarrow.compute as pc

@@ -84,11 +84,16 @@ class Table:
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, the newest by default."""
-        return self._rows(self.manifest(version))
+        held = self.manifest(version)
+        if held["schema"] is None:
+            raise ValueError(f"no table at {self.path}")
+        return self._rows(held)
 
     def lookup(self, *keys) -> DataFrame:
         """Rows of some keys, from their buckets alone."""
         held = self.manifest()
+        if held["schema"] is None:
+            raise ValueError(f"no table at {self.path}")
         kind = StructType.fromJson(held["schema"])[self.key].dataType.simpleString()
         asked = self.spark.createDataFrame([(k,) for k in keys], f"k {kind}").select(self._bucket("k"))
         return self._rows(held, {r[0] for r in asked.collect()}).where(F.col(self.key).isin(*keys))
@@ -120,6 +125,8 @@ class Table:
     def patch(self, patches: DataFrame, *columns: str) -> int:
         """Set some columns by key; null in a patch leaves what was, keys that are absent are left out."""
         held = self.manifest()
+        if held["schema"] is None:
+            raise ValueError(f"no table at {self.path}")
         touched = {r[0] for r in patches.select(self._bucket()).distinct().collect()}
         old = self._rows(held, touched)
         once = patches.groupBy(self.key).agg(*(F.max(c).alias(c) for c in columns))

@@ -1,7 +1,10 @@
 """Crawls in rounds and listings that fetch only what is asked for."""
 
 import re
+import threading
+import urllib.error
 import uuid
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
 import pytest
@@ -116,3 +119,29 @@ def test_judgments_and_changes(spark, tmp_path):
     assert [r[:3] for r in rows] == [("all", 2019, 1), ("all", 2019, 2)] and len(fetched) == 3
     with pytest.raises(Exception, match="no such listing"):
         read(spark, tmp_path / "c", kind="other", years="1")
+
+
+def test_pages_of_the_network():
+    answers = {"/a": [200], "/busy": [503, 429, 200], "/down": [500] * 9}
+    asked = []
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            asked.append(self.path)
+            code = answers[self.path].pop(0) if answers.get(self.path) else 404
+            self.send_response(code)
+            self.send_header("Content-Type", "text/html; charset=latin-1")
+            self.end_headers()
+            self.wfile.write("é".encode("latin-1"))
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    site, how = f"http://127.0.0.1:{server.server_port}", {"pause": "0.01", "tries": "3"}
+    assert listing.http_page(f"{site}/a", how) == listing.http_page(f"{site}/busy", how) == "é"
+    assert listing.http_page(f"{site}/none", how) is None and asked.count("/busy") == 3
+    with pytest.raises(urllib.error.HTTPError):
+        listing.http_page(f"{site}/down", how)
+    server.shutdown()

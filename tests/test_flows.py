@@ -78,6 +78,9 @@ def test_of_two_writers_of_a_version_one_fails(spark, tmp_path):
 
 def test_an_empty_table(spark, tmp_path):
     table = Table(spark, str(tmp_path), "id", "seq", 4)
+    for asked in (table.read, lambda: table.lookup("a"), lambda: table.patch(frame(spark, []), "v")):
+        with pytest.raises(ValueError, match="no table"):
+            asked()
     table.upsert(frame(spark, []))
     assert held(table) == [] and table.lookup("a").count() == 0
 
