@@ -34,6 +34,18 @@ def exported_years(spark, d):
     return parts[0].union(parts[1]).groupBy("folder", "year").agg(F.count("*").alias("n"))
 
 
+@query("SELECT day, year(o_orderdate)::INT AS year, count(*) AS n FROM orders, (VALUES ('2024-01-04'), ('2024-01-31')) AS f(day) GROUP BY ALL")
+def archives_kept(spark, d):
+    """Exports of three days, of which the oldest is past its time and deleted."""
+    path, rows = _folder(spark), t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
+    for day in (date(2024, 1, 3), date(2024, 1, 4), date(2024, 1, 31)):
+        sinks.export(rows, path, day, "year")
+    sinks.delete_expired(spark, path, date(2024, 2, 1))
+    held = spark.read.schema("o_orderkey long, year int").parquet(f"{path}/archive/*/*")
+    day = F.regexp_extract(F.input_file_name(), "archive/([^/]*)/", 1)
+    return held.select(day.alias("day"), F.regexp_extract(F.input_file_name(), r"year=(\d+)", 1).cast("int").alias("year")).groupBy("day", "year").agg(F.count("*").alias("n"))
+
+
 @query("SELECT collection, records FROM (SELECT 'customer' AS collection, count(*) AS records FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'total', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation))")
 def stored_manifest(spark, d):
     made = sinks.manifest(spark, {n: f"{d}/{n}.parquet" for n in ("customer", "nation")}, date(2024, 1, 2))

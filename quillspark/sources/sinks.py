@@ -60,6 +60,23 @@ def expired(days: DataFrame, column: str, today: date, weeks: int = 4) -> DataFr
     return days.where(F.col(column) < F.lit(today - timedelta(weeks=weeks)))
 
 
+def delete_expired(spark: SparkSession, path: str, today: date, weeks: int = 4) -> list[str]:
+    """Delete archives under ``path/archive`` older than the time of retention; gives their days.  Folders that are no day stay."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/archive")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in system.listStatus(place) if system.exists(place) else []:
+        name = status.getPath().getName()
+        try:
+            old = date.fromisoformat(name) < today - timedelta(weeks=weeks)
+        except ValueError:
+            continue
+        if old:
+            system.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 def log(records: DataFrame, path: str) -> None:
     """Append success and failure records, by kind of document, year and type."""
     records.write.mode("append").partitionBy("doc_type", "year", "type_value").json(path)

@@ -1,7 +1,7 @@
 """Tables with versions, the loop on a stream, state that goes, sketches, progress, table functions, early stops."""
 
 import resource
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import audit, ingest
 from quillspark.operators.progress import Watch
 from quillspark.shred import judgment, tables
+from quillspark.sources import sinks
 from quillspark.sources.table import Conflict, Table
 from quillspark.streaming import loop, ratelimit
 from test_shred import CASE, LAYOUTS
@@ -85,6 +86,14 @@ def test_an_empty_table(spark, tmp_path):
     assert held(table) == [] and table.lookup("a").count() == 0
 
 
+def test_archives_past_their_time_are_deleted(spark, tmp_path):
+    for name in ("2024-01-01", "2024-01-04", "2024-02-01", "latest"):
+        frame(spark, [("a", name, 1)]).write.parquet(f"{tmp_path}/archive/{name}")
+    assert sinks.delete_expired(spark, str(tmp_path), date(2024, 2, 1)) == ["2024-01-01"]
+    assert sorted(p.name for p in (tmp_path / "archive").iterdir()) == ["2024-01-04", "2024-02-01", "latest"]
+    assert sinks.delete_expired(spark, str(tmp_path / "none"), date(2024, 2, 1)) == []
+
+
 # --- the loop on a stream ---------------------------------------------------
 
 ARRIVING = "url string, type string, year int, text string"
