@@ -6,7 +6,9 @@ that it is never empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark import shred
@@ -16,8 +18,9 @@ from quillspark.functions import text as T
 from quillspark.functions import uri as U
 from quillspark.operators import ingest, lookup
 from quillspark.plans.catalog import query, t
+from quillspark.session import exists, scratch
 from quillspark.shred import clml, judgment, pages, pdf, references
-from quillspark.sources import web
+from quillspark.sources import files, web
 
 ID = "http://www.legislation.gov.uk/id/"
 _M = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')) || ' z'"
@@ -380,3 +383,76 @@ def cases_cited(spark, d):
 def outcomes_of_documents(spark, d):
     x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").select("doc_id", F.when(F.col("quality").isNotNull(), "bad").alias("error"), (F.col("quality") == 0).alias("terminal"))
     return x.select("doc_id", ingest.outcome(F.col("error"), F.col("terminal")).alias("o")).select("doc_id", "o.*")
+
+
+@query(f"""SELECT '{ID}ukpga/2000/' || doc_id AS uri, 2000 AS new_year, 'ukpga' AS new_type, doc_id::INT AS new_number FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0""")
+def metadata_corrected(spark, d):
+    """Acts whose year or type is not what their address says."""
+    wrong = F.when(F.col("doc_id") % 3 == 0, 1999).otherwise(2000)
+    x = t(spark, d, "documents").select(_fill(ID + "ukpga/2000/{doc_id}").alias("uri"), wrong.alias("year"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise("ukpga").alias("type"), F.col("doc_id").cast("int").alias("number"))
+    return U.corrected(x).select("uri", "new_year", "new_type", "new_number")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'curl' WHEN 1 THEN 'web_browser' WHEN 2 THEN 'bot' WHEN 3 THEN 'python_client' ELSE 'unknown' END AS agent,
+ CASE event_type WHEN 'click' THEN 'legislation' WHEN 'view' THEN 'caselaw' WHEN 'error' THEN 'health' ELSE 'other' END AS endpoint, '10.1.' || user_id % 200 || '.xxx' AS ip FROM events""")
+def clients_of_events(spark, d):
+    """Who asked for what: the kinds of agents and endpoints, and addresses without their last part."""
+    agent = _by("event_id", "curl/{event_id}", "Mozilla Chrome {event_id}", "Googlebot {event_id}", "python-httpx/{event_id}", None)
+    path = F.when(F.col("event_type") == "click", _fill("/legislation/{event_id}")).when(F.col("event_type") == "view", _fill("/caselaw/{event_id}")).when(F.col("event_type") == "error", "/healthcheck").otherwise(_fill("/zzz/{event_id}"))
+    x = t(spark, d, "events").select("event_id", agent.alias("a"), path.alias("p"), _fill("10.1.{user_id % 200}.{event_id % 250}").alias("i"))
+    return x.select("event_id", T.agent_kind("a").alias("agent"), T.endpoint_kind("p").alias("endpoint"), T.anonymous_ip("i").alias("ip"))
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY y DESC NULLS FIRST, n DESC NULLS FIRST, doc_id) - 1)::INT AS place FROM (SELECT doc_id, CASE WHEN doc_id % 11 > 0 THEN 1990 + doc_id % 7 END AS y, CASE WHEN doc_id % 13 > 0 THEN n_chars END AS n FROM documents) ORDER BY place LIMIT 80")
+def files_in_order(spark, d):
+    """The files that a loader reads first."""
+    x = t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 11 > 0, 1990 + F.col("doc_id") % 7).alias("y"), F.when(F.col("doc_id") % 13 > 0, F.col("n_chars")).alias("n"))
+    first = x.orderBy(*files.file_order("y", "n"), "doc_id").limit(80)
+    return first.select("doc_id", (F.row_number().over(Window.orderBy(*files.file_order("y", "n"), "doc_id")) - 1).alias("place"))
+
+
+def _put_files(path: str):
+    """Writes ``name, text`` rows as files, where Spark's own file system is."""
+
+    def put(rows) -> None:
+        from pyarrow import fs
+
+        for row in rows:
+            system, place = fs.FileSystem.from_uri(f"{path}/{row['name']}")
+            system.create_dir(place.rpartition("/")[0])
+            with system.open_output_stream(place) as out:
+                out.write(row["text"].encode())
+
+    return put
+
+
+@query("SELECT 'asp-' || (2000 + page_id % 3) || '-' || page_id || '.xml' AS file, (2000 + page_id % 3)::INT AS year, 'asp' AS type, page_id::INT AS number, coalesce(html, '') AS text FROM pages WHERE page_id % 3 < 2 AND page_id % 2 = 0 AND coalesce(html, '') <> ''")
+def files_of_pages(spark, d):
+    """Whole pages as files of a folder, by years and types: others are not opened."""
+    path = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+    path = path if ":" in path else f"file://{path}"
+    name = _by("page_id", "{2000 + page_id % 3}/asp-{2000 + page_id % 3}-{page_id}.xml", "{2000 + page_id % 3}/ukpga-{2000 + page_id % 3}-{page_id}.xml")
+    t(spark, d, "pages").where("html <> ''").select(name.alias("name"), F.col("html").alias("text")).foreachPartition(_put_files(path))
+    years = [y for y in (2000, 2001) if exists(spark, f"{path}/{y}")]
+    return files.xml_files(spark, path, years, ["asp"]).select("file", "year", "type", "number", "text")
+
+
+@query("SELECT url AS pdf_url, 'ukpga' AS legislation_type, CASE WHEN page_id % 2 = 0 THEN '2000/' || page_id END AS identifier FROM pages")
+def pdf_list_of_pages(spark, d):
+    """A list of scans as a CSV file with every page's address."""
+    path = f"{scratch(spark)}/list-{uuid.uuid4().hex}"
+    x = t(spark, d, "pages").select(F.col("url").alias("pdf_url"), F.lit("ukpga").alias("legislation_type"), F.when(F.col("page_id") % 2 == 0, _fill("2000/{page_id}")).alias("identifier"))
+    x.write.csv(path, header=True)
+    return files.pdf_list(spark, path)
+
+
+@query("""WITH y AS (SELECT DISTINCT 1962 + year(o_orderdate) % 4 AS year FROM orders), l AS (SELECT DISTINCT lang FROM documents)
+SELECT lang AS type, year::INT AS year, year >= 1963 AS modern, count(*) OVER (PARTITION BY year >= 1963) AS of_kind FROM y, l""")
+def tasks_of_tables(spark, d):
+    """Listing tasks of the types and years that two tables hold, modern ones first."""
+    types = [r[0] for r in t(spark, d, "documents").select("lang").distinct().collect()]  # as many as there are languages
+    years = [r[0] for r in t(spark, d, "orders").select((1962 + F.year("o_orderdate") % 4).alias("y")).distinct().collect()]
+    tasks = files.split_by_year(types, years)
+    kinds = [sum(m == modern for _, _, m in tasks) for _, _, modern in tasks]
+    assert [m for _, _, m in tasks] == sorted((m for _, _, m in tasks), reverse=True)
+    return spark.createDataFrame([(*task, n) for task, n in zip(tasks, kinds, strict=True)], "type string, year int, modern boolean, of_kind long")
