@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of
+from .common import small_batches, table, text_of, written
 
 #: Lags of one range; a document has at most ``RANGES`` of them, so long ones have wider ranges.
 LAGS, RANGES = 4096, 64
@@ -202,8 +202,11 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield _told(batch, _batch(batch.column(1).to_pylist(), [(1, None)] * batch.num_rows, min_exponent, min_length))
 
     many = (F.length("text") >= 2 * min_exponent * lags) & (F.regexp_count("text", F.lit(WORDS)) > min_exponent * lags)
-    short = rows.where(~many).mapInArrow(run, f"id {kind}, n_words long, {_RUNS_SQL}, collapsed string")
-    return short.union(_in_ranges(rows.where(many), kind, min_exponent, min_length, lags)).withColumnRenamed("id", id_col)
+    long = written(rows.where(many), "long")  # few: texts are read once for them and once for all others
+    found = rows.where(~many).mapInArrow(run, f"id {kind}, n_words long, {_RUNS_SQL}, collapsed string")
+    if not long.isEmpty():
+        found = found.union(_in_ranges(long, kind, min_exponent, min_length, lags))
+    return found.withColumnRenamed("id", id_col)
 
 
 def planted(doc_id: Column, text: Column) -> Column:

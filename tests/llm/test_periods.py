@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import periods
 
@@ -109,3 +110,19 @@ def test_the_query_by_the_letter_of_its_contract(spark):
     got = sorted(map(tuple, df.collect()))
     assert got == sorted(by_the_letter(*r) for r in docs)
     assert sum(r[1] > 0 for r in got) > 10
+
+
+def test_texts_without_words_among_those_that_get_repeats(spark):
+    ids = [n for n in range(400) if zlib.crc32(str(n).encode()) % 10 == 0]
+    texts = [None, "", " \t", "one", "one two", "a b c d e f g h i j k l m n o p q r s t"]
+    rows = [(n, texts[k % len(texts)]) for k, n in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in df.select("doc_id", periods.planted(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("text")).collect()}
+    for n, text in rows:
+        words = periods._WORDS.findall(text or "")
+        if words:
+            size, g = len(words), zlib.crc32(str(n).encode()) // 10
+            a = g % size
+            p = 1 + (size - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(size)]
+        assert periods._WORDS.findall(got[n]) == words
