@@ -15,7 +15,9 @@ import importlib
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import count
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -26,6 +28,8 @@ from quillspark.shred.pages import tree
 MODERN = 1963
 #: Judgments begin in this year.
 FIRST_JUDGMENTS = 2001
+#: Parts of stored pages, and pages of a row group.
+PARTS, GROUP = 16, 64
 #: Results of a page of judgments and of changes.
 CASES_A_PAGE, CHANGES_A_PAGE = 50, 100
 
@@ -235,24 +239,51 @@ def http_page(address: str, options: dict[str, str]) -> str | None:
 
 
 def stored_page(address: str, options: dict[str, str]) -> str | None:
-    """A fetch from stored pages: the folder ``pages`` of Parquet ``url, html`` in 16 parts by CRC-32 of the address (``store_pages``)."""
-    import pyarrow.compute as pc
-    import pyarrow.dataset as ds
-    from pyarrow import fs
+    """A fetch from stored pages: the folder ``pages`` of Parquet ``url, html`` in 16 parts by CRC-32 of the address (``store_pages``).
+
+    What a part's files hold is read once by a worker; a fetch then reads the one row group that can hold the address.
+    """
+    import pyarrow.parquet as pq
 
-    system, path = fs.FileSystem.from_uri(options["pages"])
-    part = f"{path}/part={zlib.crc32(address.encode()) % 16}"
-    if system.get_file_info(part).type == fs.FileType.NotFound:
+    system, firsts, groups = _stored(options["pages"], zlib.crc32(address.encode()) % PARTS)
+    at = bisect_right(firsts, address) - 1
+    if at < 0 or groups[at][1] < address:
         return None
-    found = ds.dataset(part, filesystem=system, format="parquet").to_table(["html"], filter=pc.field("url") == address)
-    return found.column(0)[0].as_py() if found.num_rows else None
+    _, _, file, group, footer = groups[at]
+    with system.open_input_file(file) as held:
+        found = pq.ParquetFile(held, metadata=footer).read_row_group(group, columns=["url", "html"])
+    place = found.column("url").index(address).as_py()
+    return found.column("html")[place].as_py() if place >= 0 else None
+
+
+@lru_cache(maxsize=4 * PARTS)
+def _stored(pages: str, part: int):
+    """The file system of stored pages, and of a part's row groups the first addresses, and all of them with their last one, file, number and footer."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(pages)
+    folder, groups = f"{path}/part={part}", []
+    if system.get_file_info(folder).type != fs.FileType.NotFound:
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            if not info.path.endswith(".parquet"):
+                continue
+            with system.open_input_file(info.path) as held:
+                file = pq.ParquetFile(held)
+                for n in range(file.metadata.num_row_groups):
+                    urls = file.read_row_group(n, columns=["url"]).column(0)
+                    groups.append((urls[0].as_py(), urls[-1].as_py(), info.path, n, file.metadata))
+    groups.sort(key=lambda g: g[:4])
+    return system, [g[0] for g in groups], groups
 
 
 def store_pages(pages, path: str) -> None:
-    """Pages ``url, html`` for ``stored_page``."""
+    """Pages ``url, html`` for ``stored_page``: parts in the order of their addresses, in row groups of ``GROUP``."""
     from pyspark.sql import functions as F
 
-    pages.select("url", "html", (F.crc32("url") % 16).cast("int").alias("part")).write.mode("overwrite").partitionBy("part").parquet(path)
+    placed = pages.select("url", "html", (F.crc32("url") % PARTS).cast("int").alias("part"))
+    ordered = placed.repartitionByRange("part", "url").sortWithinPartitions("part", "url")
+    ordered.write.mode("overwrite").option("parquet.block.row.count.limit", str(GROUP)).partitionBy("part").parquet(path)
 
 
 def court_years(years: list[int]) -> list[int]:

@@ -161,3 +161,25 @@ def test_listed_pages(spark):
     rows = spark.createDataFrame([(page,)], "html string")
     assert sorted(r.link for r in web.listed_acts(rows, "html", "ukpga").collect()) == ["/ukpga/2001/7", "/ukpga/2001/8"]
     assert rows.select(web.next_page("html")).first()[0] == "/next?page=2"
+
+
+def test_a_stored_page_reads_one_row_group(spark, tmp_path, monkeypatch):
+    """A fetch opens one file and reads no more of it when there are more pages."""
+    import pyarrow.parquet as pq
+
+    from quillspark.sources import listing
+
+    read = []
+    real = pq.ParquetFile.read_row_group
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda self, n, columns: read.append((out := real(self, n, columns=columns)).num_rows) or out)
+    for n in (2000, 20000):
+        rows = spark.range(n).select(F.concat(F.lit("/p?page="), F.col("id").cast("string")).alias("url"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 2000)).alias("html"))
+        path = f"{tmp_path}/{n}"
+        listing.store_pages(rows.repartition(12), path)
+        options = {"pages": f"file://{path}"}
+        assert [listing.stored_page(f"/p?page={k}", options).split()[0] for k in (0, 7, n - 1)] == ["0", "7", str(n - 1)]
+        assert listing.stored_page("/q", options) is listing.stored_page("", options) is listing.stored_page(f"/p?page={n}", options) is None
+        read.clear()
+        assert all(listing.stored_page(f"/p?page={k}", options).split()[0] == str(k) for k in (0, 7, n - 1))
+        assert len(read) == 3
+        assert max(read) <= listing.GROUP
