@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark import shred
 from quillspark.shred import clml, judgment, pages, references
@@ -124,3 +125,20 @@ def test_rows_and_quarantine(spark):
     good, bad = shred.rows(docs, clml.provisions, clml.PROVISION, "xml", "id")
     assert good.count() == 3
     assert [r.id for r in bad.collect()] == [2]
+
+
+def test_rows_are_given_out_as_they_are_made(spark):
+    """One pass over the texts for rows, whatever a batch holds; repeated rows and errors stay."""
+    docs = spark.range(40).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("x")).coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        if text == "t7":
+            raise ValueError("no")
+        return [{"a": text}] * 2
+
+    good, bad = shred.rows(docs, read, "a string", "x", "id")
+    assert sorted(map(tuple, good.collect())) == sorted([(n, f"t{n}") for n in range(40) if n != 7] * 2)
+    assert seen.value == 40
+    assert [tuple(r) for r in bad.collect()] == [(7, "ValueError: no")]
