@@ -11,14 +11,15 @@ score is never read.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,41 +40,54 @@ def build(rows: DataFrame, path: str, *, id_col: str = "id", text_col: str = "te
     """Write the index of ``rows`` under ``path``.
 
     Ids are distinct.  Null and empty texts have no postings and are never
-    found.  Shuffles: documents by their order, weights to their documents, and
-    blocks by ranges of terms; no group is larger than a segment or a text.
+    found.  Shuffles: documents with their weights by their order, and blocks by
+    ranges of terms; no group is larger than a segment or a text.
     """
-    spark = rows.sparkSession
-    _weights(rows, id_col, text_col, k1, b, average).write.mode("overwrite").parquet(f"{path}/weights")
-    held = spark.read.parquet(f"{path}/weights")
-    heaviest = held.groupBy("id").agg(F.max(F.struct("weight", "term")).alias("top"))
-    ordered = heaviest.repartitionByRange(F.col("top.term"), F.desc("top.weight"), "id").sortWithinPartitions("top.term", F.desc("top.weight"), "id")
-    # rows of a partition are numbered one after another
-    ordered.select("id", F.floor(F.monotonically_increasing_id() / segment).alias("segment")).write.mode("overwrite").parquet(f"{path}/documents")
-    placed = held.join(spark.read.parquet(f"{path}/documents"), "id").withColumn("folder", (F.crc32("term") % folders).cast("int"))
-    # a common term is many segments: ranges split it, and its blocks need no other shuffle
-    ranged = placed.repartitionByRange("folder", "term", "segment")
-    blocks = ranged.groupBy("folder", "term", "segment").agg(F.max("weight").alias("most"), F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("postings"))
+    spark, kind = rows.sparkSession, rows.schema[id_col].dataType.simpleString()
+    vectors.weighed(rows, id_col, text_col, k1, b, average).write.mode("overwrite").parquet(f"{path}/documents")
+    order = ("top", F.desc("most"), "id")
+    ordered = spark.read.parquet(f"{path}/documents").repartitionByRange(*order).sortWithinPartitions(*order)
+    # rows of a partition are numbered one after another, so a segment lies in one partition
+    placed = ordered.withColumn("segment", F.floor(F.monotonically_increasing_id() / segment))
+    made = placed.select("id", "segment", "terms", "weights").mapInArrow(_blocks(folders), f"folder int, term string, segment long, most double, postings array<struct<id: {kind}, weight: double>>")
+    made.write.mode("overwrite").parquet(f"{path}/staged")
+    # a common term is many segments: ranges split it
+    blocks = spark.read.parquet(f"{path}/staged").repartitionByRange("folder", "term", "segment")
     blocks.sortWithinPartitions("folder", "term", "segment").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
 
 
-def _weights(rows: DataFrame, id_col: str, text_col: str, k1: float, b: float, average: float) -> DataFrame:
-    """The rows of ``vectors.bm25_weights``; a text's words are counted where it is read, an Arrow batch at a time."""
-    kind = rows.schema[id_col].dataType.simpleString()
-    word = re.compile("[a-z0-9]+")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(folders: int):
+    """Blocks of segments whose documents follow one another: postings of a term by id, with their highest weight."""
+
+    def of(segment: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, _, terms, weights = (c.combine_chunks() for c in pa.Table.from_batches(held).combine_chunks().columns)
+        flat = pa.table({"term": terms.flatten(), "id": ids.take(pc.list_parent_indices(terms)), "weight": weights.flatten()})
+        ordered = flat.sort_by([("term", "ascending"), ("id", "ascending")]).combine_chunks()
+        term, owner, weight = (c.combine_chunks() for c in ordered.columns)
+        runs = pc.run_end_encode(term)
+        starts = np.concatenate([[0], runs.run_ends.to_numpy()[:-1]])
+        postings = pa.ListArray.from_arrays(pa.array([*starts, len(term)], pa.int32()), pa.StructArray.from_arrays([owner, weight], ["id", "weight"]))
+        named = pa.array([_folder(t, folders) for t in runs.values.to_pylist()], pa.int32())
+        most = pa.array(np.maximum.reduceat(weight.to_numpy(zero_copy_only=False), starts), pa.float64())
+        return pa.RecordBatch.from_arrays([named, runs.values, pa.array(np.full(len(starts), segment), pa.int64()), most, postings], ["folder", "term", "segment", "most", "postings"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
         for batch in batches:
-            owners, terms, weights = [], [], []
-            for n, text in enumerate(batch.column(1).to_pylist()):
-                found = word.findall(text or "")
-                norm = k1 * (1 - b + b * len(found) / average)
-                counts = Counter(found)
-                owners += [n] * len(counts)
-                terms += counts
-                weights += [tf * (k1 + 1) / (tf + norm) for tf in counts.values()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(terms, pa.string()), pa.array(weights, pa.float64())], ["id", "term", "weight"])
-
-    return rows.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text")).mapInArrow(count, f"id {kind}, term string, weight double")
+            segments, first = batch.column(1).to_pylist(), 0
+            while first < len(segments):
+                last = bisect_right(segments, segments[first])
+                if held and segments[first] != at:
+                    yield of(at, held)
+                    held = []
+                at = segments[first]
+                held.append(batch.slice(first, last - first))
+                first = last
+        if held:
+            yield of(at, held)
+
+    return run
 
 
 @dataclass(frozen=True)

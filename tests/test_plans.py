@@ -59,3 +59,11 @@ def test_latest_is_limited_before_the_shuffle(spark):
 
     rows = spark.range(100).withColumn("k", F.col("id") % 3)
     assert "WindowGroupLimit" in plan(latest(rows, "k", "id"))
+
+
+def test_weights_of_terms_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, "b c")], "id long, text string")
+    assert "Exchange" not in plan(vectors.bm25_weights(rows))
+    text = plan(vectors.bm25_weights(rows, idf=True))
+    assert "SortMergeJoin" not in text
+    assert text.count("Exchange hashpartitioning") <= 2  # the weights, and counts of documents

@@ -66,3 +66,11 @@ def test_no_block_is_larger_than_a_segment(spark, index):
 def test_an_empty_table(spark, corpus, tmp_path):
     postings.build(corpus.where("text is null"), str(tmp_path / "none"))
     assert postings.opened(spark, str(tmp_path / "none")).top_k("w1 w2", 5).count() == 0
+
+
+def test_postings_meet_their_segments_without_a_join(corpus, tmp_path, monkeypatch):
+    def join(*_, **__):
+        raise AssertionError("a join of all postings")
+
+    monkeypatch.setattr(type(corpus), "join", join)
+    postings.build(corpus, str(tmp_path / "index"), segment=16)
