@@ -1,8 +1,12 @@
+import gc
+import weakref
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark import shred
 from quillspark.shred import clml, judgment, pages, references
+from quillspark.shred.tree import parse
 
 ACT = """<Legislation xmlns="urn:x" xmlns:dc="urn:dc" xmlns:ukm="urn:ukm" IdURI="http://l/id/ukpga/2001/5" DocumentURI="http://l/ukpga/2001/5" RestrictExtent="E+W" {count}>
 <ukm:Metadata><dc:title>A Test Act</dc:title><ukm:Year Value="2001"/><ukm:Number Value="5"/><ukm:DocumentMainType Value="UnitedKingdomPublicGeneralAct"/></ukm:Metadata>
@@ -142,3 +146,18 @@ def test_rows_are_given_out_as_they_are_made(spark):
     assert sorted(map(tuple, good.collect())) == sorted([(n, f"t{n}") for n in range(40) if n != 7] * 2)
     assert seen.value == 40
     assert [tuple(r) for r in bad.collect()] == [(7, "ValueError: no")]
+
+
+@pytest.mark.parametrize("read", [parse, pages.tree])
+def test_a_tree_goes_with_its_root(read):
+    """No tree waits for the garbage collector, whatever the number of documents."""
+    gc.disable()
+    try:
+        root = read("<a><b>one<c>two</c></b></a>")
+        inner = root.first("c")
+        assert (inner.parent, inner.above("a").tag, root.parent) == (root.first("b"), "a", None)
+        inner = weakref.ref(inner)
+        del root
+        assert inner() is None
+    finally:
+        gc.enable()
